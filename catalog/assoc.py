@@ -16,23 +16,24 @@ PS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 def edges_cte(view: str, c: str, name: str) -> str:
     qs = ", ".join(f"quantile_cont({c}, {p})" for p in PS)
-    return f"{name} AS (SELECT list_sort(list_distinct([{qs}])) AS e FROM {view})"
+    return (
+        f"{name}_q AS (SELECT list_sort(list_distinct([{qs}])) AS e FROM {view}), "
+        f"{name} AS (SELECT any_value(e) AS e, min({c}) FILTER ({c} > e[1]) AS second FROM {view}, {name}_q)"
+    )
 
 
 def bin_sql(c: str, name: str) -> str:
     """Right-closed bin of c; minimum and null go to the bin of the next larger value."""
-    inner = lambda v: f"len(list_filter(list_slice({name}.e, 2, len({name}.e) - 1), lambda b: b < {v})) + 1"
-    second = f"(SELECT min({c}) FROM src_{name} WHERE {c} > {name}.e[1])"
-    return f"CAST(CASE WHEN {c} > {name}.e[1] THEN {inner(c)} ELSE {inner(second)} END AS INTEGER)"
 
+    def inner(v: str) -> str:
+        return f"len(list_filter(list_slice({name}.e, 2, len({name}.e) - 1), lambda b: b < {v})) + 1"
 
-def _src(view: str, name: str) -> str:
-    return f"src_{name} AS (SELECT * FROM {view})"
+    return f"CAST(CASE WHEN {c} > {name}.e[1] THEN {inner(c)} ELSE {inner(name + '.second')} END AS INTEGER)"
 
 
 @query("bin_quintiles", sql("line_nulls", f"""
 SELECT key, {bin_sql('qty', 'eq')} AS qty_bin, {bin_sql('price', 'ep')} AS price_bin FROM line_nulls, eq, ep""", ",\n".join([
-    _src("line_nulls", "eq"), _src("line_nulls", "ep"), edges_cte("line_nulls", "qty", "eq"), edges_cte("line_nulls", "price", "ep")])))
+    edges_cte("line_nulls", "qty", "eq"), edges_cte("line_nulls", "price", "ep")])))
 def bin_quintiles(spark, d):
     return assoc.bin_quintiles(fx.line_nulls(spark, d), ["qty", "price"]).select("key", "qty_bin", "price_bin")
 
@@ -45,7 +46,7 @@ def contingency_table(spark, d):
 
 @query("contingency_table_binned", sql("cust_model", f"""
 SELECT CAST({bin_sql('acctbal', 'ea')} AS VARCHAR) AS level_a, segment AS level_b, count(*) AS n
-FROM cust_model, ea GROUP BY 1, 2""", _src("cust_model", "ea") + "," + edges_cte("cust_model", "acctbal", "ea")))
+FROM cust_model, ea GROUP BY 1, 2""", edges_cte("cust_model", "acctbal", "ea")))
 def contingency_table_binned(spark, d):
     return assoc.contingency_table(fx.cust_model(spark, d), "acctbal", "segment")
 
@@ -83,7 +84,7 @@ _RANK = ["acctbal", "n_orders", "total", "mean_price"]
 
 
 @query("cramers_v_ranking", sql("cust_model", _V, ",\n".join(
-    [f"{_src('cust_model', 'e' + c)}, {edges_cte('cust_model', c, 'e' + c)}" for c in _RANK]) + "," + cramer_ctes(
+    [edges_cte('cust_model', c, 'e' + c) for c in _RANK]) + "," + cramer_ctes(
     " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({bin_sql(c, 'e' + c)} AS VARCHAR) AS level, segment AS target_level "
                        f"FROM cust_model, e{c}" for c in _RANK)
     + " UNION ALL SELECT 'region', region, segment FROM cust_model UNION ALL SELECT 'nation', nation, segment FROM cust_model")))
@@ -129,7 +130,8 @@ def _shifted_cte(view: str, columns: list[str], keep: str) -> str:
 def _chosen_sql(scores: str) -> str:
     return f"""
 SELECT variable, transform, {R('score')} AS score,
-  row_number() OVER (PARTITION BY variable ORDER BY score DESC NULLS LAST, pos) = 1 AS chosen FROM ({scores})"""
+  row_number() OVER (PARTITION BY variable ORDER BY score < best - 1e-12, pos) = 1 AS chosen
+FROM (SELECT *, max(score) OVER (PARTITION BY variable) AS best FROM ({scores}))"""
 
 
 @query("best_transform_corr", sql("event_model", _chosen_sql(" UNION ALL ".join(
@@ -153,7 +155,7 @@ _WIDE = "wide AS MATERIALIZED (SELECT segment, " + ", ".join(f"{e} AS {_slug(i)}
 @query("best_transform_cramer", sql("cust_model", _chosen_sql(
     "SELECT names.variable, names.transform, names.pos, v AS score FROM vs JOIN names ON names.slug = vs.variable"),
     _shifted_cte("cust_model", ["acctbal", "total"], "segment") + "," + _WIDE + ",\n" + ",\n".join(
-        f"{_src('wide', 'e' + _slug(i))}, {edges_cte('wide', _slug(i), 'e' + _slug(i))}" for i in range(len(_TC)))
+        edges_cte('wide', _slug(i), 'e' + _slug(i)) for i in range(len(_TC)))
     + "," + cramer_ctes(" UNION ALL ".join(
         f"SELECT '{_slug(i)}' AS variable, CAST({bin_sql(_slug(i), 'e' + _slug(i))} AS VARCHAR) AS level, segment AS target_level "
         f"FROM wide, e{_slug(i)}" for i in range(len(_TC))))

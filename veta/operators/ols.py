@@ -111,8 +111,8 @@ def ols(m: Moments, spec: ModelSpec | None = None, gram: np.ndarray | None = Non
     back[0, 1:] = -m.shift[at] / m.scale[at]
     coef = back @ beta * scale_y
     coef[0] += m.shift[m.y - 1]
-    sse *= scale_y**2
-    sst = (gram[m.y, m.y] - gram[0, m.y] ** 2 / n) * scale_y**2
+    sse = float(sse * scale_y**2)
+    sst = float((gram[m.y, m.y] - gram[0, m.y] ** 2 / n) * scale_y**2)
     sigma2 = sse / (n - rank) if n > rank else float("nan")
     raw = m.raw_gram(gram)[np.ix_(cols, cols)]
     eigen = np.linalg.eigvalsh(raw)

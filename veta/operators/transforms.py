@@ -15,6 +15,8 @@ from .schema import split_types
 
 SHIFT = 1.0001  # fixed value: the minimum lands just above zero
 
+TIE = 1e-12  # scores this close are equal up to summation order
+
 # Result names of the candidate transformations, in order of preference.
 CANDIDATES = ["x", "logx", "expx", "sqrx", "sqrtx", "cuartax", "raiz4"]
 
@@ -58,7 +60,8 @@ def shifted_columns(df: DataFrame, columns: list[str]) -> dict[str, Column]:
 def _choose(scores: dict[tuple[str, str], float | None], columns: list[str]) -> list[tuple]:
     rows = []
     for c in columns:
-        best = max(CANDIDATES, key=lambda t: (-1.0 if scores[(c, t)] is None else scores[(c, t)]))
+        value = {t: -1.0 if scores[(c, t)] is None else scores[(c, t)] for t in CANDIDATES}
+        best = next(t for t in CANDIDATES if value[t] >= max(value.values()) - TIE)
         rows += [(c, t, scores[(c, t)], t == best) for t in CANDIDATES]
     return rows
 
