@@ -48,7 +48,7 @@ def contingency_table(spark, d):
 SELECT CAST({bin_sql('acctbal', 'ea')} AS VARCHAR) AS level_a, segment AS level_b, count(*) AS n
 FROM cust_model, ea GROUP BY 1, 2""", edges_cte("cust_model", "acctbal", "ea")))
 def contingency_table_binned(spark, d):
-    return assoc.contingency_table(fx.cust_model(spark, d), "acctbal", "segment")
+    return assoc.contingency_table(fx.cust_table(spark, d), "acctbal", "segment")
 
 
 @query("row_normalized_crosstab", sql("doc_model", f"""
@@ -89,14 +89,14 @@ _RANK = ["acctbal", "n_orders", "total", "mean_price"]
                        f"FROM cust_model, e{c}" for c in _RANK)
     + " UNION ALL SELECT 'region', region, segment FROM cust_model UNION ALL SELECT 'nation', nation, segment FROM cust_model")))
 def cramers_v_ranking(spark, d):
-    return rounded(assoc.cramers_v_ranking(fx.cust_model(spark, d), [*_RANK, "region", "nation"], "segment"), chi2=5)
+    return rounded(assoc.cramers_v_ranking(fx.cust_table(spark, d), [*_RANK, "region", "nation"], "segment"), chi2=5)
 
 
 @query("cramers_v", sql("doc_model", _V, cramer_ctes(
     "SELECT 'toxic' AS variable, CAST(toxic AS VARCHAR) AS level, CAST(quality AS VARCHAR) AS target_level FROM doc_model")))
 def cramers_v(spark, d):
     """Two binary columns: the corrected 2 x 2 case."""
-    return rounded(assoc.cramers_v(fx.doc_model(spark, d), "toxic", "quality"), chi2=5)
+    return rounded(assoc.cramers_v(fx.doc_table(spark, d), "toxic", "quality"), chi2=5)
 
 
 _PAIRS = [("y", "price"), ("y", "qty"), ("tax", "disc")]
@@ -162,7 +162,7 @@ _WIDE = "wide AS MATERIALIZED (SELECT segment, " + ", ".join(f"{e} AS {_slug(i)}
     + ", names(slug, variable, transform, pos) AS (VALUES " + ", ".join(
         f"('{_slug(i)}', '{c}', '{t}', {i})" for i, (c, t, _) in enumerate(_TC.values())) + ")"))
 def best_transform_cramer(spark, d):
-    return rounded(transforms.best_transform_cramer(fx.cust_model(spark, d), ["acctbal", "total"], "segment"))
+    return rounded(transforms.best_transform_cramer(fx.cust_table(spark, d), ["acctbal", "total"], "segment"))
 
 
 @query("auto_transform")
@@ -202,7 +202,7 @@ SELECT doc_id, letters, """ + ", ".join(
 def align_design_columns(spark, d):
     """Training never sees level d: it gets zeros."""
     letters = F.col("letters")
-    df = fx.doc_model(spark, d).select("doc_id", "letters").withColumn(
+    df = fx.doc_table(spark, d).select("doc_id", "letters").withColumn(
         "source", F.when(letters > 0.8, "d").when(letters > 0.75, "c").when(letters > 0.7, "b").otherwise("a")
     )
     train, other = df.where("source <> 'd'"), df.where("letters > 0.72")
@@ -246,7 +246,7 @@ fair AS (SELECT quality, ceil(0.2 * sum(count(*)) OVER ()) * count(*) / sum(coun
 quotas AS (SELECT quality, floor(f) + CASE WHEN row_number() OVER (ORDER BY f - floor(f) DESC, quality)
              <= wanted - sum(floor(f)) OVER () THEN 1 ELSE 0 END AS quota FROM fair)"""))
 def stratified_split(spark, d):
-    df = split.train_test_split(fx.doc_model(spark, d), "doc_id", stratify="quality", exact=True)
+    df = split.train_test_split(fx.doc_table(spark, d), "doc_id", stratify="quality", exact=True)
     return df.select("doc_id", "quality", "split")
 
 
@@ -268,4 +268,4 @@ folded AS (SELECT r.doc_id, r.quality, CAST(e.f AS INTEGER) AS fold FROM
 
 @query("stratified_kfold", sql("doc_model", "SELECT doc_id, quality, fold FROM folded", STRAT_FOLDS))
 def stratified_kfold(spark, d):
-    return split.stratified_kfold(fx.doc_model(spark, d), "doc_id", "quality").select("doc_id", "quality", "fold")
+    return split.stratified_kfold(fx.doc_table(spark, d), "doc_id", "quality").select("doc_id", "quality", "fold")

@@ -59,7 +59,7 @@ def density_by_group(spark, d):
 
 @query("density_by_target", _density_sql("doc_model", "letters", "quality"))
 def density_by_target(spark, d):
-    return rounded(charts.density_by_group(fx.doc_model(spark, d), "letters", "quality"), density=8)
+    return rounded(charts.density_by_group(fx.doc_table(spark, d), "letters", "quality"), density=8)
 
 
 @query("qq_points", sql("event_model", " UNION ALL ".join(

@@ -95,11 +95,11 @@ def ols_summary(spark, d):
 _PRED = f"pred AS (SELECT key, y, flag, {_xb('fit')} AS fitted FROM line_model, fit)"
 
 
-@query("ols_predict", sql("line_model", f"SELECT key, {R('fitted')} AS fitted, {R('y - fitted')} AS residual FROM pred",
+@query("ols_predict", sql("line_model", f"SELECT key, {R('fitted', 3)} AS fitted, {R('y - fitted', 3)} AS residual FROM pred",
                           _fit_ctes() + "," + _PRED))
 def ols_predict(spark, d):
     df, m = _fit(spark, d)
-    return rounded(ols.ols_predict(df, ols.ols(m), "y").select("key", "fitted", "residual"))
+    return rounded(ols.ols_predict(df, ols.ols(m), "y").select("key", "fitted", "residual"), 3)
 
 
 _TRAIN = "tr AS (SELECT * FROM line_split WHERE split = 'train')," + _fit_ctes("tr") + f""",
@@ -457,11 +457,11 @@ def significance(spark, d):
     return fx.event_model(spark, d).select("event_id", significance_code(F.col("value") / 1000).alias("code"))
 
 
-@query("model_roundtrip", sql("line_model", f"SELECT key, {R('fitted')} AS fitted FROM pred", _fit_ctes() + "," + _PRED))
+@query("model_roundtrip", sql("line_model", f"SELECT key, {R('fitted', 3)} AS fitted FROM pred", _fit_ctes() + "," + _PRED))
 def model_roundtrip(spark, d):
     """Fit, save, reload by name, score."""
     df, m = _fit(spark, d)
     base = spark.conf.get("spark.checkpoint.dir", None)
     path = tempfile.mkdtemp(prefix="veta-out-") if base is None else f"{base}/veta-{uuid.uuid4().hex}"
     models.save_models(spark, {"full": ols.ols(m)}, path)
-    return rounded(df.select("key", models.load_model(spark, path, "full").predict(df).alias("fitted")))
+    return rounded(df.select("key", models.load_model(spark, path, "full").predict(df).alias("fitted")), 3)

@@ -37,7 +37,7 @@ _LL = "sum(quality * ln(p) + (1 - quality) * ln(1 - p))"
 
 
 def _fit(spark, d):
-    df = fx.doc_model(spark, d)
+    df = fx.doc_table(spark, d)
     return df, logit.logit_fit(df, SPEC, "quality")
 
 
@@ -198,7 +198,7 @@ SELECT fold, CAST(sum(t) AS BIGINT) AS positives, CAST(sum(1 - t) AS BIGINT) AS
     + g.newton("nw", "dm", COLS, "quality", STEPS, 1.0, "(SELECT f::INT AS model, -1 AS pmask FROM range(5) t(f))",
                where="s.fold <> w.model")))
 def cv_logit_auc(spark, d):
-    df = split.stratified_kfold(fx.doc_model(spark, d), "doc_id", "quality")
+    df = split.stratified_kfold(fx.doc_table(spark, d), "doc_id", "quality")
     return rounded(evaluate.cv_logit_auc(df, SPEC, "quality", "fold"))
 
 
@@ -320,7 +320,7 @@ _CMP_COLS = ", ".join(f"{R(c)} AS {c}" for c in ("pseudo_r2_train", "pseudo_r2_t
 
 
 def _comparison(spark, d):
-    df = split.train_test_split(fx.doc_model(spark, d), "doc_id")
+    df = split.train_test_split(fx.doc_table(spark, d), "doc_id")
     return evaluate.model_comparison_logit(df, MODELS, "quality")
 
 

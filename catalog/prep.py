@@ -22,23 +22,21 @@ def _union(template: str, columns: list[str]) -> str:
 
 
 def _describe_sql(view: str, columns: list[str]) -> str:
-    body = _union(
-        "SELECT '{c}' AS variable, count({c}) AS n, " + R("avg({c})") + " AS mean, " + R("stddev_samp({c})")
-        + " AS std, " + R("min({c})") + " AS min, " + ", ".join(
-            R(f"quantile_cont({{c}}, {p})") + f" AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))
-        + ", " + R("max({c})") + " AS max, " + R("skewness({c})") + " AS skew, " + R("kurtosis({c})")
-        + f" AS kurtosis FROM {view}", columns)
-    return sql(view, body)
+    parts = [("avg({c})", "mean"), ("stddev_samp({c})", "std"), ("min({c})", "min"), ("max({c})", "max"),
+             ("skewness({c})", "skew"), ("kurtosis({c})", "kurtosis")]
+    parts += [(f"quantile_cont({{c}}, {p})", f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
+    listed = ", ".join(f"{R(e, 8)} AS {n}" for e, n in parts)
+    return sql(view, _union(f"SELECT '{{c}}' AS variable, count({{c}}) AS n, {listed} FROM {view}", columns))
 
 
 @query("describe_numeric", _describe_sql("line_nulls", LINE_NUM))
 def describe_numeric(spark, d):
-    return rounded(profile.describe_numeric(fx.line_nulls(spark, d), LINE_NUM))
+    return rounded(profile.describe_numeric(fx.line_nulls(spark, d), LINE_NUM), 8)
 
 
 @query("describe_numeric_events", _describe_sql("event_model", ["value", "k"]))
 def describe_numeric_events(spark, d):
-    return rounded(profile.describe_numeric(fx.event_model(spark, d), ["value", "k"]))
+    return rounded(profile.describe_numeric(fx.event_model(spark, d), ["value", "k"]), 8)
 
 
 _QS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -219,10 +217,10 @@ def fill_null_median(spark, d):
 
 
 @query("complete_cases", sql("line_nulls", """
-SELECT key, qty, tax, round(y, 6) + 0.0 AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
+SELECT key, qty, tax, round(y, 10) + 0.0 AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
 def complete_cases(spark, d):
     df = schema.complete_cases(fx.line_nulls(spark, d), "y", ["qty", "tax"]).select("key", "qty", "tax", "y")
-    return rounded(df)
+    return rounded(df, 10)
 
 
 @query("binarize_by_quantile", sql("line_nulls", """

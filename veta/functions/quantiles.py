@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 5_000_000  # values over all columns and groups
 SAMPLE_ROWS = 10_000
 MAX_GROUPS = 10_000
 SEED = 20_011
@@ -98,43 +98,45 @@ def exact_quantiles(
 class _Bracket:
     """Interval (lo, hi) known, or believed, to hold the value of one rank."""
 
-    def __init__(self, rank: int, rows: int, sample_rows: int):
+    def __init__(self, rank: int, rows: int, sample_rows: int, guess: tuple[float, float, float] | None):
         self.rank, self.sample_rows = rank, sample_rows
         self.lo, self.hi = -math.inf, math.inf
         self.inside, self.below = rows, 0  # exact, for the last proven interval
         self.proven = (self.lo, self.hi)
-        self.expected = rows
+        self.expected = float(rows)
         self.margin = 4.0
-        self.started = False
-        self.read = rows <= sample_rows
+        if guess is not None:
+            self.lo, self.hi, self.expected = guess
         self.value: float | None = None
+        self.next_value: float | None = None  # value of the following rank, when seen
 
     @property
     def keep(self) -> float:
-        return 2.0 if self.read else min(2.0, self.sample_rows / max(self.expected, 1.0))
-
-    def update(self, counts: tuple[int, int, int, int] | None, sample: list[float]) -> None:
-        if self.read:  # every value inside was returned
-            self.value = sample[self.rank - self.below]
-            return
-        if self.started:
-            lt_lo, le_lo, lt_hi, le_hi = counts
-            if lt_lo <= self.rank < le_lo:
-                self.value = self.lo
-            elif lt_hi <= self.rank < le_hi:
-                self.value = self.hi
-            elif le_lo <= self.rank < lt_hi:
-                self.below, self.inside = le_lo, lt_hi - le_lo
-                self.proven, self.expected = (self.lo, self.hi), self.inside
-                self.read = self.inside <= self.sample_rows
-                if not self.read:
-                    self._narrow(sample)
-            else:  # the sample missed: return to the proven interval, look wider
-                (self.lo, self.hi), self.expected = self.proven, self.inside
-                self.margin *= 2
-        else:
-            self.started = True
-            self._narrow(sample)
+        """Share of the inside rows to return; everything (2 > any draw) when few."""
+        return 2.0 if 2 * self.expected <= self.sample_rows else min(2.0, self.sample_rows / self.expected)
+
+    def update(self, counts: tuple[int, int, int, int], sample: list[float]) -> None:
+        lt_lo, le_lo, lt_hi, le_hi = counts
+        rank = self.rank
+        if lt_lo <= rank < le_lo:
+            self.value, self.next_value = self.lo, self.lo if rank + 1 < le_lo else None
+        elif lt_hi <= rank < le_hi:
+            self.value, self.next_value = self.hi, self.hi if rank + 1 < le_hi else None
+        elif le_lo <= rank < lt_hi:
+            self.below, self.inside = le_lo, lt_hi - le_lo
+            self.proven, self.expected = (self.lo, self.hi), float(self.inside)
+            at = rank - self.below
+            if len(sample) == self.inside:  # every value inside was returned
+                self.value = sample[at]
+                if at + 1 < len(sample):
+                    self.next_value = sample[at + 1]
+                elif rank + 1 < le_hi:
+                    self.next_value = self.hi
+            elif 2 * self.inside > self.sample_rows:
+                self._narrow(sample)
+        else:  # the sample missed: return to the proven interval, look wider
+            (self.lo, self.hi), self.expected = self.proven, float(self.inside)
+            self.margin *= 2
 
     def _narrow(self, sample: list[float]) -> None:
         size = len(sample)
@@ -157,10 +159,16 @@ def order_statistics(
     by: Iterable[str] = (),
     counts: dict[Group, dict[str, int]] | None = None,
     sample_rows: int | None = None,
+    guesses: dict[Target, tuple[float, float, float]] | None = None,
 ) -> dict[Target, float]:
-    """Values at 0-based ranks {(group, column, rank): value} among non-null rows."""
-    by, targets = list(by), sorted(set(targets), key=repr)
+    """Values at 0-based ranks {(group, column, rank): value} among non-null rows.
+
+    A guess (lo, hi, rows expected between) saves the first round where the
+    distribution is known; a wrong one only costs a round.
+    """
+    by, targets = list(by), sorted(set(targets), key=lambda t: (repr(t[:2]), t[2]))
     size = SAMPLE_ROWS if sample_rows is None else sample_rows
+    guesses = guesses or {}
     columns = sorted({c for _, c, _ in targets})
     if not targets:
         return {}
@@ -169,15 +177,23 @@ def order_statistics(
     if by and len(columns) > 1:
         found = {}
         for c in columns:
-            found |= order_statistics(df, [t for t in targets if t[1] == c], by, counts, size)
+            found |= order_statistics(df, [t for t in targets if t[1] == c], by, counts, size, guesses)
         return found
     values = df.select(
         *by, *[F.col(c).cast("double").alias(c) for c in columns], F.rand(SEED).alias("_draw")
     )
-    brackets = {t: _Bracket(t[2], counts[t[0]][t[1]], size) for t in targets}
-    while active := {t: b for t, b in brackets.items() if b.value is None}:
-        _search_round(values, by, active)
-    return {t: b.value for t, b in brackets.items()}
+    brackets = {t: _Bracket(t[2], counts[t[0]][t[1]], size, guesses.get(t)) for t in targets}
+    while True:
+        for (g, c, k), b in brackets.items():  # a rank next to a found one often came along
+            before = brackets.get((g, c, k - 1))
+            if b.value is None and before is not None and before.next_value is not None:
+                b.value = before.next_value
+        active = {t: b for t, b in brackets.items() if b.value is None}
+        if not active:
+            return {t: b.value for t, b in brackets.items()}
+        # of two adjacent ranks only the lower one is searched at a time
+        leading = {t: b for t, b in active.items() if (t[0], t[1], t[2] - 1) not in active}
+        _search_round(values, by, leading)
 
 
 def _search_round(df: DataFrame, by: list[str], active: dict[Target, _Bracket]) -> None:
@@ -203,9 +219,8 @@ def _search_round(df: DataFrame, by: list[str], active: dict[Target, _Bracket])
             F.count_if(v < hi).alias(f"c{j}"),
             F.count_if(v <= hi).alias(f"d{j}"),
         ]
-        everything = (lo == -math.inf) & (hi == math.inf)
-        inside = everything | ((v > lo) & (v < hi))
-        aggs.append(F.collect_list(F.when(inside & (F.col("_draw") < keep), v)).alias(f"s{j}"))
+        drawn = (F.col("_draw") < keep) & (v > lo) & (v < hi)
+        aggs.append(F.collect_list(F.when(drawn, v)).alias(f"s{j}"))
     for row in df.groupBy(*by).agg(*aggs).collect():
         for j, t in enumerate(slots.get(tuple(row[b] for b in by), [])):
             active[t].update(tuple(row[f"{k}{j}"] for k in "abcd"), sorted(row[f"s{j}"]))

@@ -22,10 +22,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df once to the checkpoint folder and continue from the written copy."""
+def stage(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Write df once to the checkpoint folder and continue from the written copy.
+
+    ``spread`` is for rows that will be scanned many times: a table with fewer
+    partitions than cores (so, a small one) is dealt out evenly before it is reused.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    staged = df.checkpoint(eager=True)
+    if spread:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if staged.rdd.getNumPartitions() < cores:
+            return staged.repartition(cores).checkpoint(eager=True)
+    return staged
 
 
 def few_tasks(df: DataFrame) -> DataFrame:

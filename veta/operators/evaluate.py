@@ -65,13 +65,12 @@ def cv_logit_auc(df: DataFrame, spec: ModelSpec, y: str, fold: str, l2: float =
     data = logit_data(df, spec, y, fold)
     folds = sorted(data.fold_rows)
     fits = fit_many(data, [Candidate(spec, left_out=f) for f in folds], l2)
-    rows = data.design.complete(df, y)
+    each = data.probabilities(fits)
     p = None
-    for f, fit in zip(folds, fits):
-        mine = F.col(fold) == f
-        p = F.when(mine, fit.probability(rows)) if p is None else p.when(mine, fit.probability(rows))
-    scored = rows.select(F.col(fold).cast("int").alias("fold"), number(rows, y).alias("y"), p.alias("p"))
-    return roc_auc(scored, "y", "p", ["fold"])
+    for i, f in enumerate(folds):
+        mine = F.col("fold") == f
+        p = F.when(mine, F.col(f"p{i}")) if p is None else p.when(mine, F.col(f"p{i}"))
+    return roc_auc(each.select("fold", "y", p.alias("p")), "y", "p", ["fold"])
 
 
 def _score_groups(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
@@ -82,20 +81,14 @@ def _score_groups(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame
     return running_totals(counted, "_down", ["pos", "neg"], by)
 
 
-def _class_totals(scored: DataFrame, y: str, p: str) -> tuple[int, int]:
-    row = scored.where(F.col(p).isNotNull()).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
-    ).first()
-    return row["pos"], row["neg"]
-
-
 def roc_curve(scored: DataFrame, y: str, p: str = "p") -> DataFrame:
     """False and true positive rates at every distinct score, plus the origin."""
-    pos, neg = _class_totals(scored, y, p)
-    curve = _score_groups(scored, y, p, []).select(
+    groups = _score_groups(scored, y, p, [])
+    row = groups.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    curve = groups.select(
         (-F.col("_down")).alias("threshold"),
-        (F.col("cum_neg") / F.lit(float(neg) or None)).alias("fpr"),
-        (F.col("cum_pos") / F.lit(float(pos) or None)).alias("tpr"),
+        (F.col("cum_neg") / F.lit(float(row["neg"] or 0) or None)).alias("fpr"),
+        (F.col("cum_pos") / F.lit(float(row["pos"] or 0) or None)).alias("tpr"),
     )
     origin = report(scored.sparkSession, [(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return origin.unionByName(curve)
@@ -228,15 +221,12 @@ def model_comparison_logit(
     df: DataFrame, specs: dict[str, ModelSpec], y: str, split: str = "split", l2: float = 1.0, cut: float = 0.5
 ) -> DataFrame:
     """Pseudo-R2 and accuracy on train and test per model; one scoring pass for all."""
-    train = df.where(F.col(split) == "train")
-    data = logit_data(train, union_spec(specs.values()), y)
-    fits = dict(zip(specs, fit_many(data, [Candidate(s) for s in specs.values()], l2)))
-    rows = data.design.complete(df, y)
-    one = number(rows, y)
-    scored = rows.select(
-        F.col(split).alias("split"), one.alias("y"),
-        *[f.probability(rows).alias(f"p{i}") for i, f in enumerate(fits.values())],
-    )
+    spec = union_spec(specs.values())
+    design = DesignSpec.fit(df.where(F.col(split) == "train"), spec)
+    part = df.withColumn("_part", (F.col(split) == "test").cast("int"))
+    data = logit_data(part, spec, y, "_part", design)  # fitted without part 1, scored on both
+    fits = dict(zip(specs, fit_many(data, [Candidate(s, left_out=1) for s in specs.values()], l2)))
+    scored = data.probabilities(fits.values())
     aggs = [F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("ones")]
     for i in range(len(fits)):
         right = (F.col(f"p{i}") >= F.lit(cut)) == (F.col("y") == 1)
@@ -244,14 +234,14 @@ def model_comparison_logit(
             F.sum(log_lik_term(F.col("y"), F.col(f"p{i}"))).alias(f"ll{i}"),
             F.avg(right.cast("int")).alias(f"acc{i}"),
         ]
-    parts = {r["split"]: r for r in scored.groupBy("split").agg(*aggs).collect()}
+    parts = {r["fold"]: r for r in scored.groupBy("fold").agg(*aggs).collect()}
     table = []
     for i, (name, s) in enumerate(specs.items()):
         def pr2(part):
             null = null_log_lik(part["n"], part["ones"])
             return 1 - part[f"ll{i}"] / null if null else None
 
-        a, b = parts["train"], parts["test"]
+        a, b = parts[0], parts[1]
         table.append((
             name, pr2(a), pr2(b), a[f"acc{i}"], b[f"acc{i}"], fits[name].n_params, len(s.cont), len(s.categ),
         ))

@@ -110,18 +110,34 @@ class LogitData:
         return [n for n, s in zip(self.names, self.scale) if s == 0]
 
 
-def logit_data(df: DataFrame, spec: ModelSpec, y: str, fold: str | None = None) -> LogitData:
-    design = DesignSpec.fit(df, spec)
-    complete = design.complete(df, y)
+    def probabilities(self, fits: Iterable[LogitFit]) -> DataFrame:
+        """Staged rows as (fold, y, p0, p1, ...), scored without the raw table."""
+        where = {n: i for i, n in enumerate(self.names)}
+        scores = []
+        for f in fits:
+            total = F.lit(float(f.coef[0]))
+            for n, c in zip(f.names, f.coef[1:]):
+                if c:
+                    total = total + F.lit(float(c)) * F.col(f"_x{where[n]}")
+            scores.append(logistic(total))
+        return self.rows.select(
+            F.col("_fold").alias("fold"), F.col("_y").alias("y"), *[p.alias(f"p{i}") for i, p in enumerate(scores)]
+        )
+
+
+def logit_data(
+    df: DataFrame, spec: ModelSpec, y: str, fold: str | None = None, design: DesignSpec | None = None
+) -> LogitData:
+    design = DesignSpec.fit(df, spec) if design is None else design
     names = design.columns
-    expressions = design.expressions(complete)
-    flat = complete.select(
-        (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"),
-        number(complete, y).alias("_y"),
-        *[expressions[c].alias(f"_x{i}") for i, c in enumerate(names)],
-    )
-    rows = stage(flat)
+    expressions = design.expressions(df)
     columns = [f"_x{i}" for i in range(len(names))]
+    flat = df.select(
+        (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), number(df, y).alias("_y"),
+        *[expressions[c].alias(x) for c, x in zip(names, columns)],
+    )
+    # missing rows are dropped from the staged copy, so features are computed once
+    rows = stage(flat, spread=True).dropna(subset=["_y", *columns])
     shift, scale, _ = centre_and_scale(rows, columns)
     counts = rows.groupBy("_fold").agg(
         F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("ones"),
@@ -131,10 +147,6 @@ def logit_data(df: DataFrame, spec: ModelSpec, y: str, fold: str | None = None)
         raise ValueError(f"{y} holds values other than 0 and 1")
     if not counts:
         raise ValueError("no complete rows to fit on")
-    spread = rows.agg(
-        *[(F.max(c) - F.min(c)).alias(c) for c in columns]
-    ).first() if columns else {}
-    scale = np.array([scale[i] if spread[c] else 0.0 for i, c in enumerate(columns)])
     return LogitData(
         design, names, rows, shift, scale, sum(r["n"] for r in counts), sum(r["ones"] for r in counts),
         {r["_fold"]: (r["n"], r["ones"]) for r in counts},

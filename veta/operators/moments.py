@@ -92,14 +92,13 @@ def _gram_kernel(n_groupings: int, shift: np.ndarray, scale: np.ndarray):
 
 
 def centre_and_scale(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and population deviation per column; deviation 0 marks a constant column."""
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(columns):
-        aggs += [F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_pop(f"`{c}`").alias(f"s{i}")]
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), (F.max(c) - F.min(c)).alias(f"r{i}")]
     row = df.agg(*aggs).first()
     shift = np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))])
-    scale = np.array([row[f"s{i}"] or 1.0 for i in range(len(columns))])
-    # a spread at rounding level is a constant column
-    scale[scale <= 1e-13 * np.abs(shift)] = 1.0
+    scale = np.array([(row[f"s{i}"] or 0.0) if row[f"r{i}"] else 0.0 for i in range(len(columns))])
     return shift, scale, row["n"]
 
 
@@ -123,6 +122,7 @@ def moments(df: DataFrame, design: DesignSpec, y: str, groupings: Iterable[str]
     shift, scale, n = centre_and_scale(flat, numeric)
     if n == 0:
         raise ValueError("no complete rows to fit on")
+    scale[scale == 0] = 1.0
     n_groupings = max(1, len(groupings))
     kernel = _gram_kernel(n_groupings, shift, scale)
     partial = few_tasks(flat).mapInArrow(kernel, "grouping int, cell string, gram array<double>")

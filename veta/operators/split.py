@@ -31,28 +31,39 @@ def _exact_cut(df: DataFrame, key: str, by: list[str], seed: int, share: float)
     drawn = df.select(*by, u.alias("_u"), F.col(key).cast("string").alias("_key"))
     counts = group_counts(drawn, ["_u"], by)
     quota = _quotas({g: n["_u"] for g, n in counts.items()}, share)
-    asked = {g: (g, "_u", q - 1) for g, q in quota.items() if q > 0}
-    cuts = order_statistics(drawn, asked.values(), by, counts)
+    targets, guesses = [], {}
+    for g, q in quota.items():
+        n = counts[g]["_u"]
+        wide = 6 * math.sqrt(q * max(n - q, 1) / n) / n if n else 0.0  # draws are uniform
+        for rank in (q - 1, q):
+            if 0 <= rank < n:
+                targets.append((g, "_u", rank))
+                guesses[targets[-1]] = (q / n - wide - 2 / n, q / n + wide + 2 / n, 2 * (wide * n + 2))
+    draws = order_statistics(drawn, targets, by, counts, guesses=guesses)
     condition = F.lit(False)
-    for g, target in asked.items():
-        cut = cuts[target]
+    for g, q in quota.items():
+        if not q:
+            continue
+        cut, following = draws[(g, "_u", q - 1)], draws.get((g, "_u", q))
         group = F.lit(True)
         for b, v in zip(by, g):
             group = group & F.col(b).eqNullSafe(F.lit(v))
-        row = drawn.where(group).agg(
-            F.count_if(F.col("_u") < cut).alias("below"), F.count_if(F.col("_u") == cut).alias("ties")
-        ).first()
-        needed = quota[g] - row["below"]
         inside = u <= F.lit(cut)
-        if needed < row["ties"]:
-            if row["ties"] > MAX_TIES:
-                raise ValueError(f"{key} is not a unique row key: {row['ties']} rows share one draw")
-            keys = sorted(r["_key"] for r in drawn.where(group & (F.col("_u") == cut)).collect())
-            inside = (u < F.lit(cut)) | F.col(key).cast("string").isin(keys[:needed])
+        if cut == following:  # equal draws on both sides of the cut: the key decides
+            inside = _break_ties(drawn.where(group), u, F.col(key).cast("string"), cut, q, key)
         condition = condition | (group & inside)
     return condition
 
 
+def _break_ties(drawn: DataFrame, u: Column, key: Column, cut: float, quota: int, name: str) -> Column:
+    below = drawn.where(F.col("_u") < cut).count()
+    tied = drawn.where(F.col("_u") == cut).select("_key").limit(MAX_TIES + 1).collect()
+    if len(tied) > MAX_TIES:
+        raise ValueError(f"{name} is not a unique row key: more than {MAX_TIES} rows share one draw")
+    first = sorted(r["_key"] for r in tied)[: quota - below]
+    return (u < F.lit(cut)) | ((u == F.lit(cut)) & key.isin(first))
+
+
 def train_test_split(
     df: DataFrame, key: str, test: float = 0.2, seed: int = 123, stratify: str | None = None, exact: bool = False
 ) -> DataFrame:

@@ -28,7 +28,7 @@ def logistic_track(
 ) -> LogisticResult:
     spark = df.sparkSession
     binary = schema.to_binary_target(df.select(key, y, *spec.raw), y)
-    table = stage(train_test_split(binary, key, test, seed, stratify=y))
+    table = stage(train_test_split(stage(binary), key, test, seed, stratify=y, exact=True))
     train = table.where(F.col("split") == "train")
     data = logit.logit_data(train, spec, y)
     chosen = select.run_grid_logit(data, l2=l2, k=criterion_k)
