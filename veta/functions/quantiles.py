@@ -9,14 +9,17 @@ sample only decides how many rounds are needed, never the result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 5_000_000  # values over all columns and groups
-SAMPLE_ROWS = 10_000
+DIRECT_ROWS = 400_000  # values over all columns and groups
+SAMPLE_ROWS = 30_000
 MAX_GROUPS = 10_000
 SEED = 20_011
 
@@ -113,7 +116,7 @@ class _Bracket:
     @property
     def keep(self) -> float:
         """Share of the inside rows to return; everything (2 > any draw) when few."""
-        return 2.0 if 2 * self.expected <= self.sample_rows else min(2.0, self.sample_rows / self.expected)
+        return 2.0 if self.expected <= 1.5 * self.sample_rows else self.sample_rows / self.expected
 
     def update(self, counts: tuple[int, int, int, int], sample: list[float]) -> None:
         lt_lo, le_lo, lt_hi, le_hi = counts
@@ -132,7 +135,7 @@ class _Bracket:
                     self.next_value = sample[at + 1]
                 elif rank + 1 < le_hi:
                     self.next_value = self.hi
-            elif 2 * self.inside > self.sample_rows:
+            elif self.inside > 1.5 * self.sample_rows:
                 self._narrow(sample)
         else:  # the sample missed: return to the proven interval, look wider
             (self.lo, self.hi), self.expected = self.proven, float(self.inside)
@@ -144,6 +147,7 @@ class _Bracket:
             return
         share = (self.rank - self.below + 0.5) / self.inside
         spread = self.margin * math.sqrt(max(share * (1 - share), 1.0 / size) / size)
+        spread = min(spread, 0.2)  # a bracket always shrinks
         left = math.floor((share - spread) * size) - 1
         right = math.ceil((share + spread) * size) + 1
         if left >= 0:
@@ -179,11 +183,9 @@ def order_statistics(
         for c in columns:
             found |= order_statistics(df, [t for t in targets if t[1] == c], by, counts, size, guesses)
         return found
-    values = df.select(
-        *by, *[F.col(c).cast("double").alias(c) for c in columns], F.rand(SEED).alias("_draw")
-    )
+    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     brackets = {t: _Bracket(t[2], counts[t[0]][t[1]], size, guesses.get(t)) for t in targets}
-    while True:
+    for round_ in itertools.count():
         for (g, c, k), b in brackets.items():  # a rank next to a found one often came along
             before = brackets.get((g, c, k - 1))
             if b.value is None and before is not None and before.next_value is not None:
@@ -193,11 +195,15 @@ def order_statistics(
             return {t: b.value for t, b in brackets.items()}
         # of two adjacent ranks only the lower one is searched at a time
         leading = {t: b for t, b in active.items() if (t[0], t[1], t[2] - 1) not in active}
-        _search_round(values, by, leading)
+        _search_round(values.withColumn("_draw", F.rand(SEED + round_)), by, leading)
 
 
 def _search_round(df: DataFrame, by: list[str], active: dict[Target, _Bracket]) -> None:
-    """One pass: exact counts at both ends of every bracket, a sample of its inside."""
+    """Exact counts at both ends of every bracket, and a sample of its inside.
+
+    Both passes stay in generated code; the sample that reaches the driver is bounded
+    by the number of brackets times the sample size.
+    """
     slots: dict[Group, list[Target]] = {}
     for t in active:
         slots.setdefault(t[0], []).append(t)
@@ -205,35 +211,46 @@ def _search_round(df: DataFrame, by: list[str], active: dict[Target, _Bracket])
     if by:
         df = _join_limits(df, by, slots, active, width)
     some = next(iter(slots.values()))
-    aggs = []
+    counts, draws, named, wanted = [], [], [], {}
     for j in range(width):
-        b = active[some[j]] if not by else None
-        lo, hi, keep = (
-            (F.col(f"_lo{j}"), F.col(f"_hi{j}"), F.col(f"_keep{j}")) if by
-            else (F.lit(b.lo), F.lit(b.hi), F.lit(b.keep))
-        )
-        v = F.col(some[0][1] if by else some[j][1])
-        aggs += [
-            F.count_if(v < lo).alias(f"a{j}"),
-            F.count_if(v <= lo).alias(f"b{j}"),
-            F.count_if(v < hi).alias(f"c{j}"),
-            F.count_if(v <= hi).alias(f"d{j}"),
-        ]
-        drawn = (F.col("_draw") < keep) & (v > lo) & (v < hi)
-        aggs.append(F.collect_list(F.when(drawn, v)).alias(f"s{j}"))
-    for row in df.groupBy(*by).agg(*aggs).collect():
-        for j, t in enumerate(slots.get(tuple(row[b] for b in by), [])):
-            active[t].update(tuple(row[f"{k}{j}"] for k in "abcd"), sorted(row[f"s{j}"]))
+        if by:
+            column, key = some[0][1], (j,)
+            lo, hi, keep = F.col(f"_lo{j}"), F.col(f"_hi{j}"), F.col(f"_keep{j}")
+        else:
+            b, column = active[some[j]], some[j][1]
+            key = (column, b.lo, b.hi, b.keep)
+            lo, hi, keep = F.lit(b.lo), F.lit(b.hi), F.lit(b.keep)
+        if key not in wanted:  # equal brackets of a column are asked once
+            wanted[key] = j
+            v = F.col(column)
+            counts += [
+                F.count_if(v < lo).alias(f"a{j}"), F.count_if(v <= lo).alias(f"b{j}"),
+                F.count_if(v < hi).alias(f"c{j}"), F.count_if(v <= hi).alias(f"d{j}"),
+            ]
+            draws.append((F.col("_draw") < keep) & (v > lo) & (v < hi))
+        named.append(wanted[key])
+    columns = sorted({t[1] for t in active})
+    group = F.col("_group") if by else F.lit(0).alias("_group")
+    drawn = df.where(reduce(lambda a, b: a | b, draws)).select(group, "_draw", *columns).toArrow()
+    sample = {c: drawn.column(c).to_numpy() for c in drawn.column_names}
+    ends = {r["_group"]: r for r in df.groupBy(group).agg(*counts).collect()}
+    for i, targets in enumerate(slots.values()):
+        mine = sample["_group"] == i
+        draw = sample["_draw"][mine]
+        for n, t in zip(named, targets):
+            b, v = active[t], sample[t[1]][mine]
+            inside = np.sort(v[(draw < b.keep) & (v > b.lo) & (v < b.hi)]).tolist()
+            b.update(tuple(ends[i][f"{k}{n}"] for k in "abcd"), inside)
 
 
 def _join_limits(df, by, slots, active, width) -> DataFrame:
-    """Attach each group's limits; the limits table has one row per checked group."""
+    """Attach each group's number and limits; the table has one row per checked group."""
     rows = []
-    for g, ts in slots.items():
+    for i, (g, ts) in enumerate(slots.items()):
         cells = [(active[t].lo, active[t].hi, active[t].keep) for t in ts]
         cells += [(0.0, 0.0, 0.0)] * (width - len(ts))
-        rows.append((*g, *[x for c in cells for x in c]))
-    fields = [f"_g{i} {df.schema[b].dataType.simpleString()}" for i, b in enumerate(by)]
+        rows.append((i, *g, *[x for c in cells for x in c]))
+    fields = ["_group int", *[f"_g{i} {df.schema[b].dataType.simpleString()}" for i, b in enumerate(by)]]
     fields += [f"_lo{j} double, _hi{j} double, _keep{j} double" for j in range(width)]
     limits = df.sparkSession.createDataFrame(rows, ", ".join(fields))
     on = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]

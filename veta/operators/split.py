@@ -29,7 +29,7 @@ def _exact_cut(df: DataFrame, key: str, by: list[str], seed: int, share: float)
     """Condition that holds for exactly the quota of rows with the smallest draws."""
     u = portable_uniform(key, seed)
     drawn = df.select(*by, u.alias("_u"), F.col(key).cast("string").alias("_key"))
-    counts = group_counts(drawn, ["_u"], by)
+    counts = {g: {"_u": n["_key"]} for g, n in group_counts(drawn, ["_key"], by).items()}
     quota = _quotas({g: n["_u"] for g, n in counts.items()}, share)
     targets, guesses = [], {}
     for g, q in quota.items():
