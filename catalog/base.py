@@ -28,16 +28,17 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round every double column, so both engines print the same digits."""
+    """Round every double column half-even, by the same operations as ``R`` in SQL."""
     cols = {}
     for name, kind in df.dtypes:
         if kind == "double":
-            cols[name] = F.round(F.col(name), special.get(name, digits)) + F.lit(0.0)
+            unit = F.lit(float(10 ** special.get(name, digits)))
+            cols[name] = F.rint(F.col(name) * unit) / unit + F.lit(0.0)
     return df.withColumns(cols) if cols else df
 
 
 def R(expression: str, digits: int = 6) -> str:
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits} + 0.0)"
 
 
 def uniform_sql(key: str, seed: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veta.functions.staging import stage
+from veta.functions.staging import spread_few_files, stage
 
 from .base import uniform_sql
 
@@ -14,10 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process: few files would mean few busy cores."""
+    return spread_few_files(table(spark, sf_dir, name))
+
+
 def line_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with a constructed continuous and binary target."""
     y = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) / 1000
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents.cast("string")).alias("key"),
         F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
@@ -52,7 +57,7 @@ def _share(pattern: str):
 
 def doc_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with character shares; ``quality`` is the binary target."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
     return docs.join(labels, "doc_id").select(

@@ -207,9 +207,7 @@ SELECT 'Infinity'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr U
 SELECT p, {R('sum(sum(1 - y)) OVER (ORDER BY p DESC) / (SELECT sum(1 - y) FROM doc_scored)')},
   {R('sum(sum(y)) OVER (ORDER BY p DESC) / (SELECT sum(y) FROM doc_scored)')} FROM doc_scored GROUP BY p"""))
 def roc_curve(spark, d):
-    return evaluate.roc_curve(fx.doc_scored(spark, d), "y").withColumns(
-        {c: F.round(c, 6) + 0.0 for c in ("fpr", "tpr")}
-    )
+    return rounded(evaluate.roc_curve(fx.doc_scored(spark, d), "y"))
 
 
 @query("roc_auc", sql("doc_scored", f"""

@@ -217,7 +217,7 @@ def fill_null_median(spark, d):
 
 
 @query("complete_cases", sql("line_nulls", """
-SELECT key, qty, tax, round(y, 10) + 0.0 AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
+SELECT key, qty, tax, " + R('y', 10) + " AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
 def complete_cases(spark, d):
     df = schema.complete_cases(fx.line_nulls(spark, d), "y", ["qty", "tax"]).select("key", "qty", "tax", "y")
     return rounded(df, 10)

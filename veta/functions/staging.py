@@ -37,6 +37,16 @@ def stage(df: DataFrame, spread: bool = False) -> DataFrame:
     return staged
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer files than cores over all cores.
+
+    A file is read by as many tasks as it has row groups, often one.  Tables of many
+    files pass through untouched, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def few_tasks(df: DataFrame) -> DataFrame:
     """Bound the number of tasks that each send a partial matrix to the reducers."""
     limit = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism

@@ -64,7 +64,7 @@ def cv_logit_auc(df: DataFrame, spec: ModelSpec, y: str, fold: str, l2: float =
     """ROC AUC of every fold; all fold models are fitted in the same passes."""
     data = logit_data(df, spec, y, fold)
     folds = sorted(data.fold_rows)
-    fits = fit_many(data, [Candidate(spec, left_out=f) for f in folds], l2)
+    fits = fit_many(data, [Candidate(spec, left_out=f) for f in folds], l2, quick=True)
     each = data.probabilities(fits)
     p = None
     for i, f in enumerate(folds):
@@ -225,7 +225,7 @@ def model_comparison_logit(
     design = DesignSpec.fit(df.where(F.col(split) == "train"), spec)
     part = df.withColumn("_part", (F.col(split) == "test").cast("int"))
     data = logit_data(part, spec, y, "_part", design)  # fitted without part 1, scored on both
-    fits = dict(zip(specs, fit_many(data, [Candidate(s, left_out=1) for s in specs.values()], l2)))
+    fits = dict(zip(specs, fit_many(data, [Candidate(s, left_out=1) for s in specs.values()], l2, quick=True)))
     scored = data.probabilities(fits.values())
     aggs = [F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("ones")]
     for i in range(len(fits)):
@@ -269,7 +269,7 @@ def effect_sizes_logit(data: LogitData, spec: ModelSpec | None = None, l2: float
     """Pseudo-R2 lost when each unit leaves; all reduced models share the passes."""
     spec = data.design.spec if spec is None else spec
     reduced = _without(spec)
-    fits = fit_many(data, [Candidate(s) for s in (spec, *reduced.values())], l2)
+    fits = fit_many(data, [Candidate(s) for s in (spec, *reduced.values())], l2, quick=True)
     null = null_log_lik(data.n, data.ones)
     full = fits[0].log_lik
     rows = [(u, (f.log_lik - full) / null) for u, f in zip(reduced, fits[1:])]

@@ -21,6 +21,7 @@ from .ols import _restrict
 
 MAX_STEPS = 60
 STEP_TOLERANCE = 1e-9
+LAST_STEP = 1e-5  # after a step this small the next one would be below 1e-9
 
 
 @dataclass
@@ -208,7 +209,8 @@ def _evaluate(data: LogitData, models: list[tuple[list[int], np.ndarray, int | N
 class _Newton:
     """State of one candidate in standardised units."""
 
-    def __init__(self, data: LogitData, candidate: Candidate, l2: float):
+    def __init__(self, data: LogitData, candidate: Candidate, l2: float, quick: bool):
+        self.quick = quick
         self.names = data.design.columns_of(candidate.spec)
         where = {n: i for i, n in enumerate(data.names)}
         self.at = np.array([where[n] for n in self.names], dtype=int)
@@ -242,17 +244,27 @@ class _Newton:
         slope = gradient - self.penalty * self.w
         hessian = info + np.diag(self.penalty)
         step = np.linalg.lstsq(hessian, slope, rcond=1e-13)[0]  # minimum norm if columns repeat
-        if np.max(np.abs(step)) < STEP_TOLERANCE:
+        size = np.max(np.abs(step))
+        if self.quick and size < LAST_STEP:  # take the step, its gain known to second order
+            self.log_lik += float(gradient @ step - 0.5 * step @ info @ step)
+            self.w = self.w + step
+        if size < (LAST_STEP if self.quick else STEP_TOLERANCE):
             self.done = self.converged = True
             return
         self.base, self.step = self.w, step
         self.w = self.w + step
 
 
-def fit_many(data: LogitData, candidates: Iterable[Candidate], l2: float = 1.0) -> list[LogitFit]:
-    """Fit all candidates together; each pass over the rows advances every unfinished one."""
+def fit_many(
+    data: LogitData, candidates: Iterable[Candidate], l2: float = 1.0, quick: bool = False
+) -> list[LogitFit]:
+    """Fit all candidates together; each pass over the rows advances every unfinished one.
+
+    ``quick`` saves the last pass where coefficients and log-likelihood are wanted but
+    standard errors are not.
+    """
     candidates = list(candidates)
-    states = [_Newton(data, c, l2) for c in candidates]
+    states = [_Newton(data, c, l2, quick) for c in candidates]
     for _ in range(MAX_STEPS):
         active = [s for s in states if not s.done]
         if not active:

@@ -102,11 +102,16 @@ def centre_and_scale(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.
     return shift, scale, row["n"]
 
 
-def moments(df: DataFrame, design: DesignSpec, y: str, groupings: Iterable[str] = ()) -> Moments:
+def moments(
+    df: DataFrame, design: DesignSpec, y: str, groupings: Iterable[str] = (),
+    centre: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Moments:
     """Moment matrix of the complete rows: one aggregate for means, one pass for products.
 
     ``groupings`` are columns (split, folds of each repetition) whose cells get their
-    own matrix from the same pass.
+    own matrix from the same pass.  ``centre`` gives shifts and scales known already
+    (design columns, then the target) and saves the first aggregate; they steady the
+    sums and do not change what is computed.
     """
     groupings = list(groupings)
     rows = design.complete(df, y)
@@ -119,10 +124,13 @@ def moments(df: DataFrame, design: DesignSpec, y: str, groupings: Iterable[str]
         number(rows, y).alias("_y"),
     )
     numeric = [*[f"_x{i}" for i in range(len(names))], "_y"]
-    shift, scale, n = centre_and_scale(flat, numeric)
-    if n == 0:
-        raise ValueError("no complete rows to fit on")
-    scale[scale == 0] = 1.0
+    if centre is None:
+        shift, scale, n = centre_and_scale(flat, numeric)
+        if n == 0:
+            raise ValueError("no complete rows to fit on")
+        scale[scale == 0] = 1.0
+    else:
+        shift, scale = centre
     n_groupings = max(1, len(groupings))
     kernel = _gram_kernel(n_groupings, shift, scale)
     partial = few_tasks(flat).mapInArrow(kernel, "grouping int, cell string, gram array<double>")

@@ -30,6 +30,7 @@ class OlsFit:
     sse: float
     sst: float
     condition: float
+    centre: tuple[np.ndarray, np.ndarray]  # shift and scale of the design columns
 
     @property
     def coefficients(self) -> dict[str, float]:
@@ -118,7 +119,8 @@ def ols(m: Moments, spec: ModelSpec | None = None, gram: np.ndarray | None = Non
     eigen = np.linalg.eigvalsh(raw)
     condition = math.sqrt(eigen[-1] / eigen[0]) if eigen[0] > 0 else math.inf
     cov = back @ inverse @ back.T * sigma2
-    return OlsFit(_restrict(m.design, spec), names, coef, cov, round(n), rank, sse, sst, condition)
+    centre = (m.shift[at], m.scale[at])
+    return OlsFit(_restrict(m.design, spec), names, coef, cov, round(n), rank, sse, sst, condition, centre)
 
 
 def ols_fit(df: DataFrame, spec: ModelSpec, y: str) -> OlsFit:
@@ -161,7 +163,10 @@ def regression_errors(scored: DataFrame, y: str, fitted: str = "fitted", by: Ite
 def breusch_pagan(df: DataFrame, fit: OlsFit, y: str) -> DataFrame:
     """Regress the squared residuals on the same design."""
     e = number(df, y) - fit.predictor(df)
-    aux = ols(moments(fit.design.complete(df, y).withColumn("_e2", e * e), fit.design, "_e2"))
+    mean = fit.sse / fit.n or 1.0  # of the squared residuals
+    centre = (np.append(fit.centre[0], mean), np.append(fit.centre[1], mean))
+    squared = fit.design.complete(df, y).withColumn("_e2", e * e)
+    aux = ols(moments(squared, fit.design, "_e2", centre=centre))
     k, n, r2 = aux.rank, aux.n, aux.r2
     lm = n * r2
     f = (r2 / (k - 1)) / ((1 - r2) / (n - k))

@@ -143,7 +143,7 @@ def select_logit(
         fresh = [o for o in options if o and tuple(o) not in cache]
         fits = fit_many(data, [
             Candidate(spec.restrict(o), start=start.coefficients if start else None) for o in fresh
-        ], l2) if fresh else []
+        ], l2, quick=True) if fresh else []
         cache.update({tuple(o): f for o, f in zip(fresh, fits)})
         values = []
         for o in options:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_counts, order_statistics
+from ..functions.quantiles import MAX_GROUPS, group_counts, order_statistics
 from ..functions.scalars import interval_index, portable_uniform
 
 MAX_TIES = 1_000
@@ -94,7 +94,10 @@ def stratified_kfold(df: DataFrame, key: str, target: str, k: int = 5, out: str
     classes in order of their first key.  Block borders are order statistics of the
     key, so no class has to be sorted in one task.
     """
-    rows = df.groupBy(target).agg(F.count("*").alias("n"), F.min(key).alias("first")).collect()
+    rows = df.groupBy(target).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    rows = rows.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{target} has more than {MAX_GROUPS} classes")
     rows.sort(key=lambda r: r["first"])
     counts, asked, start = {}, {}, 0
     for r in rows:
