@@ -233,14 +233,14 @@ def train_test_split(spark, d):
 
 @query("train_test_split_exact", sql("line_model", f"""
 SELECT key, CASE WHEN row_number() OVER (ORDER BY u, key) <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT key, {uniform_sql('key', 123)} AS u FROM line_model)"""))
+FROM (SELECT key, {uniform_sql('key', 'split-123')} AS u FROM line_model)"""))
 def train_test_split_exact(spark, d):
     return split.train_test_split(fx.line_model(spark, d), "key", exact=True).select("key", "split")
 
 
 @query("stratified_split", sql("doc_model", f"""
 SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY u, doc_id) <= quota THEN 'test' ELSE 'train' END AS split
-FROM (SELECT doc_id, quality, {uniform_sql('doc_id', 123)} AS u FROM doc_model) JOIN quotas USING (quality)""", """
+FROM (SELECT doc_id, quality, {uniform_sql('doc_id', 'split-123')} AS u FROM doc_model) JOIN quotas USING (quality)""", """
 fair AS (SELECT quality, ceil(0.2 * sum(count(*)) OVER ()) * count(*) / sum(count(*)) OVER () AS f,
            ceil(0.2 * sum(count(*)) OVER ()) AS wanted FROM doc_model GROUP BY quality),
 quotas AS (SELECT quality, floor(f) + CASE WHEN row_number() OVER (ORDER BY f - floor(f) DESC, quality)
@@ -251,7 +251,7 @@ def stratified_split(spark, d):
 
 
 @query("kfold_assign", sql("line_model", "SELECT key, " + ", ".join(
-    f"CAST(floor({uniform_sql('key', 123 + r)} * 5) AS INTEGER) AS fold_{r}" for r in range(3)) + " FROM line_model"))
+    f"CAST(floor({uniform_sql('key', f'fold-{123 + r}')} * 5) AS INTEGER) AS fold_{r}" for r in range(3)) + " FROM line_model"))
 def kfold_assign(spark, d):
     return split.kfold_assign(fx.line_model(spark, d), "key", 5, 3).select("key", "fold_0", "fold_1", "fold_2")
 

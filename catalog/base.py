@@ -41,5 +41,5 @@ def R(expression: str, digits: int = 6) -> str:
     return f"(round_even(({expression}) * 1e{digits}, 0) / 1e{digits} + 0.0)"
 
 
-def uniform_sql(key: str, seed: int) -> str:
+def uniform_sql(key: str, seed: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 13))::BIGINT / 4503599627370496.0)"

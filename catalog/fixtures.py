@@ -158,7 +158,7 @@ _CUST = """
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 _SPLIT = f"""
-  SELECT *, CASE WHEN {uniform_sql('key', 123)} < 0.2 THEN 'test' ELSE 'train' END AS split FROM line_model"""
+  SELECT *, CASE WHEN {uniform_sql('key', 'split-123')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM line_model"""
 
 VIEWS = {
     "line_model": (_LINE, []), "line_dirty": (_DIRTY, ["line_model"]), "line_nulls": (_NULLS, ["line_dirty"]),

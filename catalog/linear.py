@@ -320,7 +320,7 @@ def _cv_ctes() -> str:
     p = len(CCOLS)
     yy = g.cell(p, p)
     reps = " UNION ALL ".join(
-        f"SELECT m.*, {r} AS rep, CAST(floor({uniform_sql('key', 123 + r)} * 5) AS INTEGER) AS fold FROM line_model m" for r in range(REPS))
+        f"SELECT m.*, {r} AS rep, CAST(floor({uniform_sql('key', f'fold-{123 + r}')} * 5) AS INTEGER) AS fold FROM line_model m" for r in range(REPS))
     train = ", ".join(f"t.{g.cell(i, j)} - f.{g.cell(i, j)} AS {g.cell(i, j)}" for i, j in g.cells(p + 1))
     total = ", ".join(f"sum({g.cell(i, j)}) AS {g.cell(i, j)}" for i, j in g.cells(p + 1))
     masks = ", ".join(f"('{n}', {2 * m + 1})" for n, m in CV_MASKS.items())

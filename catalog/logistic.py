@@ -299,7 +299,7 @@ _MASKS = {"Backward AIC": 0b1111111, "Forward BIC": 0b0000111, "Stepwise BIC": 0
 
 _PART_LL = "sum(quality * ln(p) + (1 - quality) * ln(1 - p))"
 _COMPARISON = ",\n".join([
-    f"""ds AS MATERIALIZED (SELECT *, CASE WHEN {fx.uniform_sql('doc_id', 123)} < 0.2 THEN 'test' ELSE 'train' END AS split FROM doc_model)""",
+    f"""ds AS MATERIALIZED (SELECT *, CASE WHEN {fx.uniform_sql('doc_id', 'split-123')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM doc_model)""",
     "tr AS MATERIALIZED (SELECT * FROM ds WHERE split = 'train')",
     "models(model, pmask, n_cont, n_categ) AS (VALUES " + ", ".join(
         f"('{n}', {_MASKS[n]}, {len(s.cont)}, {len(s.categ)})" for n, s in MODELS.items()) + ")",

@@ -29,9 +29,9 @@ def _describe_sql(view: str, columns: list[str]) -> str:
     return sql(view, _union(f"SELECT '{{c}}' AS variable, count({{c}}) AS n, {listed} FROM {view}", columns))
 
 
-@query("describe_numeric", _describe_sql("line_nulls", LINE_NUM))
+@query("describe_numeric", _describe_sql("line_nulls", LINE_NUM[:4]))
 def describe_numeric(spark, d):
-    return rounded(profile.describe_numeric(fx.line_nulls(spark, d), LINE_NUM), 8)
+    return rounded(profile.describe_numeric(fx.line_nulls(spark, d), LINE_NUM[:4]), 8)
 
 
 @query("describe_numeric_events", _describe_sql("event_model", ["value", "k"]))
@@ -216,8 +216,8 @@ def fill_null_median(spark, d):
     return schema.fill_null_median(fx.line_nulls(spark, d), ["qty", "tax"]).select("key", "qty", "tax")
 
 
-@query("complete_cases", sql("line_nulls", """
-SELECT key, qty, tax, " + R('y', 10) + " AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
+@query("complete_cases", sql("line_nulls", f"""
+SELECT key, qty, tax, {R('y', 10)} AS y FROM line_nulls WHERE qty IS NOT NULL AND tax IS NOT NULL AND y IS NOT NULL"""))
 def complete_cases(spark, d):
     df = schema.complete_cases(fx.line_nulls(spark, d), "y", ["qty", "tax"]).select("key", "qty", "tax", "y")
     return rounded(df, 10)
@@ -433,7 +433,7 @@ def _random_sql(column: str, view: str, seed: int = 123, key: str = "key") -> st
     return sql(view, f"""
 SELECT v.{key}, coalesce(v.{column}, r.value) AS {column} FROM
  (SELECT {key}, {column}, CASE WHEN {column} IS NULL
-    THEN greatest(CAST(ceil({uniform_sql(key, seed)} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM {view}) v
+    THEN greatest(CAST(ceil({uniform_sql(key, f'impute-{column}-{seed}')} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM {view}) v
 LEFT JOIN ranked r ON v.rk <= r.cum AND v.rk > r.cum - r.n""", _ranked(column, view))
 
 
@@ -445,7 +445,7 @@ def impute_numeric_random(spark, d):
 @query("impute_numeric_random_below", sql("line_nulls", f"""
 SELECT v.key, coalesce(v.qty, r.value) AS qty FROM
  (SELECT key, qty, CASE WHEN qty IS NULL THEN greatest(f, CAST(floor(
-    (f / (SELECT n FROM total) + {uniform_sql('key', 123)} * (1 - f / (SELECT n FROM total))) * (SELECT n FROM total)) AS BIGINT)) END AS rk
+    (f / (SELECT n FROM total) + {uniform_sql('key', 'impute-qty-123')} * (1 - f / (SELECT n FROM total))) * (SELECT n FROM total)) AS BIGINT)) END AS rk
   FROM line_nulls, (SELECT min(cum) AS f FROM ranked)) v
 LEFT JOIN ladder r ON v.rk >= r.cum AND v.rk < r.upto""",
        _ranked("qty", "line_nulls") + ", ladder AS (SELECT value, cum, lead(cum, 1, 9000000000000) OVER (ORDER BY value) AS upto FROM ranked)"))
@@ -468,7 +468,7 @@ def impute_categorical_random(spark, d):
 @query("impute_by_distribution", sql("line_nulls", f"""
 SELECT v.key, coalesce(v.status, r.value) AS status FROM
  (SELECT key, status, CASE WHEN status IS NULL
-    THEN greatest(CAST(ceil({uniform_sql('key', 7)} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM holes) v
+    THEN greatest(CAST(ceil({uniform_sql('key', 'impute-status-7')} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM holes) v
 LEFT JOIN ranked r ON v.rk <= r.cum AND v.rk > r.cum - r.n""",
        "holes AS (SELECT key, CASE WHEN lineno <> 3 THEN status END AS status FROM line_nulls)," + _ranked("status", "holes")))
 def impute_by_distribution(spark, d):
@@ -479,7 +479,7 @@ def impute_by_distribution(spark, d):
 @query("treat_missing", sql("line_nulls", f"""
 SELECT key, flag, price, qty, coalesce(qty_cat, r.value) AS qty_cat FROM
  (SELECT *, CASE WHEN qty_cat IS NULL
-    THEN greatest(CAST(ceil({uniform_sql('key', 123)} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM t4) v
+    THEN greatest(CAST(ceil({uniform_sql('key', 'impute-qty_cat-123')} * (SELECT n FROM total)) AS BIGINT), 1) END AS rk FROM t4) v
 LEFT JOIN ranked r ON v.rk <= r.cum AND v.rk > r.cum - r.n""", """
 t1 AS (SELECT key, coalesce(flag, 'Unknown') AS flag, CASE WHEN lineno <> 5 THEN price END AS price, qty FROM line_nulls
        WHERE tax IS NOT NULL),

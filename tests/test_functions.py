@@ -151,3 +151,11 @@ def test_stage_uses_the_session_folder(spark):
     staged = staging.stage(spark.range(10), spread=True)
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
     assert staged.rdd.getNumPartitions() >= 4 and staged.count() == 10
+
+
+def test_split_and_folds_draw_independently(spark):
+    from veta.operators.split import kfold_assign, train_test_split
+
+    df = kfold_assign(train_test_split(spark.range(4000), "id"), "id", 5, 2)
+    counts = df.where("split = 'train'").groupBy("fold_0").count().collect()
+    assert len(counts) == 5 and min(r["count"] for r in counts) > 500

@@ -32,11 +32,12 @@ def number(df: DataFrame, name: str) -> Column:
     return nan_to_null(col) if is_float(dtype) else col
 
 
-def portable_uniform(key: str | Column, seed: int) -> Column:
+def portable_uniform(key: str | Column, seed: int | str) -> Column:
     """Uniform draw in [0, 1) that depends on seed and row key only.
 
     The draw does not change with partitioning, retries or engine, so splits,
-    folds and random imputation can be repeated and checked elsewhere.
+    folds and random imputation can be repeated and checked elsewhere.  Each use puts
+    its own word in the seed: equal draws would tie folds to the split.
     """
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))

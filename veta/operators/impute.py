@@ -54,7 +54,7 @@ def _impute_random(df: DataFrame, column: str, method: str, key: str | None, see
     ranked, rows, distinct = value_ranks(df, column)
     if rows == 0:
         return df
-    u = portable_uniform(key, seed)
+    u = portable_uniform(key, f"impute-{column}-{seed}")
     missing = F.col(column).isNull()
     if method == "random":
         rank = F.greatest(F.ceil(u * F.lit(rows)), F.lit(1))

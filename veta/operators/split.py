@@ -27,7 +27,7 @@ def _quotas(counts: dict, share: float) -> dict:
 
 def _exact_cut(df: DataFrame, key: str, by: list[str], seed: int, share: float) -> Column:
     """Condition that holds for exactly the quota of rows with the smallest draws."""
-    u = portable_uniform(key, seed)
+    u = portable_uniform(key, f"split-{seed}")
     drawn = df.select(*by, u.alias("_u"), F.col(key).cast("string").alias("_key"))
     counts = {g: {"_u": n["_key"]} for g, n in group_counts(drawn, ["_key"], by).items()}
     quota = _quotas({g: n["_u"] for g, n in counts.items()}, share)
@@ -76,14 +76,14 @@ def train_test_split(
     if exact:
         in_test = _exact_cut(df, key, [stratify] if stratify else [], seed, test)
     else:
-        in_test = portable_uniform(key, seed) < F.lit(test)
+        in_test = portable_uniform(key, f"split-{seed}") < F.lit(test)
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def kfold_assign(df: DataFrame, key: str, k: int = 5, reps: int = 1, seed: int = 123) -> DataFrame:
     """Add ``fold_0`` ... ``fold_{reps-1}``: shuffled folds, seed + repetition each."""
     return df.withColumns({
-        f"fold_{r}": F.floor(portable_uniform(key, seed + r) * F.lit(k)).cast("int") for r in range(reps)
+        f"fold_{r}": F.floor(portable_uniform(key, f"fold-{seed + r}") * F.lit(k)).cast("int") for r in range(reps)
     })
 
 
