@@ -57,15 +57,19 @@ def running_totals(
     values: Iterable[str],
     by: Iterable[str] = (),
     single_rows: int | None = None,
+    staged_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<value>``: inclusive totals in ascending ``order`` within ``by``.
 
-    ``df`` holds one row per (by, order), e.g. the result of a groupBy.
+    ``df`` holds one row per (by, order), e.g. the result of a groupBy.  It is staged
+    here, unless the caller did so and gives the number of its rows.
     """
     by, values = list(by), list(values)
     single_rows = SINGLE_WINDOW_ROWS if single_rows is None else single_rows
-    df = stage(df)
-    rows = df.count()
+    if staged_rows is None:
+        df = stage(df)
+        staged_rows = df.count()
+    rows = staged_rows
     if rows <= single_rows:
         w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values})
@@ -97,8 +101,11 @@ def value_ranks(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     )
-    ranked = running_totals(counted, "value", ["n"])
-    size = ranked.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
+    counted = stage(counted)
+    size = counted.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
+    ranked = running_totals(counted, "value", ["n"], staged_rows=size["distinct"])
+    if size["distinct"] > SINGLE_WINDOW_ROWS:
+        ranked = stage(ranked)  # looked up more than once
     return ranked, size["rows"] or 0, size["distinct"]
 
 

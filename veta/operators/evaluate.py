@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import running_totals
-from ..functions.scalars import interval_index, number
+from ..functions.scalars import interval_index
+from ..functions.staging import stage
 from ..functions.tables import report
 from .design import DesignSpec, ModelSpec
 from .logit import Candidate, LogitData, fit_many, log_lik_term, logit_data, null_log_lik
@@ -75,10 +76,12 @@ def cv_logit_auc(df: DataFrame, spec: ModelSpec, y: str, fold: str, l2: float =
 
 def _score_groups(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """Positives and negatives per distinct score, accumulated from the highest down."""
-    counted = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(
-        *by, (-F.col(p)).alias("_down")
-    ).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    return running_totals(counted, "_down", ["pos", "neg"], by)
+    # no filter on the score: pushed below its projection, it would compute scores twice
+    known = F.col(p).isNotNull()
+    counted = stage(scored.groupBy(*by, (-F.col(p)).alias("_down")).agg(
+        F.count_if(known & (F.col(y) == 1)).alias("pos"), F.count_if(known & (F.col(y) == 0)).alias("neg")
+    )).where(F.col("pos") + F.col("neg") > 0)
+    return running_totals(counted, "_down", ["pos", "neg"], by, staged_rows=counted.count())
 
 
 def roc_curve(scored: DataFrame, y: str, p: str = "p") -> DataFrame:
@@ -151,9 +154,10 @@ def cutoff_sweep(
     """
     cuts = sorted(cuts if cuts is not None else cut_grid())
     spark = scored.sparkSession
-    index = interval_index(F.col(p), cuts, inclusive)
-    counted = scored.where(F.col(p).isNotNull()).groupBy(index.alias("i")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    known = F.col(p).isNotNull()
+    index = F.coalesce(interval_index(F.col(p), cuts, inclusive), F.lit(0))
+    counted = scored.groupBy(index.alias("i")).agg(
+        F.count_if(known & (F.col(y) == 1)).alias("pos"), F.count_if(known & (F.col(y) == 0)).alias("neg")
     )
     every = report(spark, [(i, 0, 0) for i in range(len(cuts) + 1)], "i int, pos long, neg long")
     filled = every.unionByName(counted).groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
