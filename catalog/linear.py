@@ -423,6 +423,14 @@ def lookup_model_by_name(spark, d):
     return schema.lookup_by_name(evaluate.model_comparison_ols(df, CV_SPECS, "y"), "Stepwise BIC").select("model", "n_params")
 
 
+@query("lookup_winner", sql("line_split", """
+SELECT model, n_params FROM comparison ORDER BY r2_test DESC, n_params, model LIMIT 1""", _comparison_ctes()))
+def lookup_winner(spark, d):
+    df = split.train_test_split(fx.line_model(spark, d), "key")
+    table = evaluate.model_comparison_ols(df, CV_SPECS, "y")
+    return schema.lookup_winner(table, table.limit(1)).select("model", "n_params")
+
+
 @query("box_stats_scores", sql("line_model", f"""
 SELECT model, {R('q1', 8)} AS q25, {R('q2', 8)} AS median, {R('q3', 8)} AS q75, count(*) AS n,
   {R('min(r2) FILTER (r2 BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 8)} AS whisker_low,

@@ -180,6 +180,14 @@ def cumulative_frequency(spark, d):
     return rounded(profile.cumulative_frequency(fx.event_model(spark, d), "value"))
 
 
+@query("share_over_group", sql("line_model", f"""
+SELECT status, flag, count(*) AS n, {R("count(*) / sum(count(*)) OVER (PARTITION BY status)")} AS share
+FROM line_model GROUP BY status, flag"""))
+def share_over_group(spark, d):
+    counts = fx.line_model(spark, d).groupBy("status", "flag").agg(F.count("*").alias("n"))
+    return rounded(profile.share_over_group(counts, ["status"]))
+
+
 # --- repair ---------------------------------------------------------------------------
 
 @query("cast_columns", sql("doc_model", """
