@@ -165,10 +165,21 @@ def best_transform_cramer(spark, d):
     return rounded(transforms.best_transform_cramer(fx.cust_table(spark, d), ["acctbal", "total"], "segment"))
 
 
-@query("auto_transform")
+_EVENT_SCORES = " UNION ALL ".join(
+    f"SELECT 'value' AS variable, '{t}' AS transform, {i} AS pos, abs(corr({e.format(x='s_value')}, target)) AS score FROM shifted"
+    for i, (t, e) in enumerate(_T.items()))
+
+
+@query("auto_transform", sql("event_model", f"""
+SELECT event_id, transform || 'value' AS name, {R('CASE transform ' + ' '.join(
+    f"WHEN '{t}' THEN {e.format(x='s_value')}" for t, e in _T.items()) + ' END', 3)} AS value
+FROM shifted, (SELECT transform FROM ({_chosen_sql(_EVENT_SCORES)}) WHERE chosen)""",
+    _shifted_cte("(SELECT *, k AS target FROM event_model)", ["value"], "event_id, target")))
 def auto_transform(spark, d):
-    """Names of the result columns depend on the data, so the check is a unit test."""
-    return rounded(transforms.auto_transform(fx.event_model(spark, d), ["value"], "k", keep=["event_id"]))
+    """The result column is named after the winner, so its name is a value here."""
+    out = transforms.auto_transform(fx.event_model(spark, d), ["value"], "k", keep=["event_id"])
+    name = out.columns[1]
+    return rounded(out.select("event_id", F.lit(name).alias("name"), F.col(name).alias("value")), 3)
 
 
 # --- design ---------------------------------------------------------------------------
