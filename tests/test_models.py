@@ -355,3 +355,10 @@ def test_logistic_track(frame):
     assert 0.1 <= result.cut <= 0.9
     assert result.reports["auc"].first()["auc"] > 0.6
     assert result.reports["evaluation"].first()["n_params"] == result.fit.n_params
+
+
+def test_omnibus_and_jarque_bera_against_a_published_summary():
+    # printed with three digits of skewness and kurtosis, hence the tolerance
+    n, s, k = 6488, 0.200, 4.407
+    assert ols._skew_z(s, n) ** 2 + ols._kurtosis_z(k, n) ** 2 == pytest.approx(242.255, rel=2e-3)
+    assert n / 6 * (s * s + (k - 3) ** 2 / 4) == pytest.approx(578.606, rel=2e-3)
