@@ -56,7 +56,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')) AS size,
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
     ('0x' || substr(md5(concat_ws('|', 'mix-1', doc_id)), 1, 13))::BIGINT AS h
   FROM documents
 ), totals AS (
