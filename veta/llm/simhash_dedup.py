@@ -102,7 +102,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), component_id.
+    """One row per row of docs: doc_id, fp (long), root (the component's own name), component_id.
 
     Texts are lower-cased (A-Z), cut into word shingles with repeats, and each bit of the
     fingerprint is the majority of the shingle hashes. Fingerprints within `max_bits` link;
@@ -119,11 +119,11 @@ def near_duplicates(
     # the smallest id of a component is not that of its smallest fingerprint
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = classes.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     return (
         prints.join(named, "fp")
         .withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats")))
-        .select("doc_id", "fp", "component_id")
+        .select("doc_id", "fp", "root", "component_id")
     )
 
 
@@ -138,18 +138,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least text hash stays, and of equal rows one; of a component without ids likewise.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    members = found.groupBy("fp").agg(F.first("component_id").alias("_component")).withColumnRenamed("fp", "_fp")
+    members = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")).distinct()
     keeps = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    # only rows with a kept id can stay: the text goes no further than this join
-    likely = docs.join(keeps, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
     own = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    likely = likely.select(*(F.col(c).alias(own[c]) for c in docs.columns))
+    renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
+    # only rows with a kept id can stay: the text goes no further than this join
+    likely = renamed.join(keeps, F.col(own[id_col]).eqNullSafe(F.col("_id")), "left_semi")
     text = text_or_empty(F.col(own[text_col]))
     marked = likely.withColumn("_t", F.xxhash64(text))
     hashed = marked.select(F.col(own[id_col]).alias("doc_id"), F.col("_t").alias("_key"), shingle_hashes(lower_ascii(text), shingle).alias("_hs"))
     again = simhash(hashed, ["doc_id", "_key"], F.col("_hs")).select(F.col("doc_id").alias("_id"), "_key", F.col("fp").alias("_fp"))
     again = again.join(members, "_fp").filter(F.col("_id").eqNullSafe(F.col("_component")))
-    first = W.partitionBy("_component", F.when(F.col("_component").isNull(), F.col("_fp"))).orderBy("_key")
+    first = W.partitionBy("_root").orderBy("_key")
     chosen = again.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_id", "_key")
     kept = marked.join(chosen, (F.col(own[id_col]).eqNullSafe(F.col("_id"))) & (F.col("_t") == F.col("_key")), "left_semi")
     return kept.dropDuplicates([own[id_col], "_t"]).select(*(F.col(o).alias(c) for c, o in own.items()))
