@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veta.llm.simhash import hex16, simhash
 from veta.llm.simhash_dedup import signed
-from veta.llm.text import shingle_hashes, text_or_empty
+from veta.llm.text import shingle_hashes, store, text_or_empty
 
 TERM_WORDS = 2
 BITS = 128
@@ -112,10 +112,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).select(*keys, "_s.is_edited", F.col("_s.text").alias("_t"))
     prints = fingerprints(both, [*keys, "is_edited"], F.col("_t"))
     pick = lambda c, edited: F.max(F.when(F.col("is_edited") == edited, F.col(c)))
-    one = prints.groupBy(*keys).agg(
+    one = store(prints.groupBy(*keys).agg(  # read twice below
         F.max("repeats").alias("repeats"), pick("fp", False).alias("fp"), pick("fp2", False).alias("fp2"),
         pick("fp", True).alias("efp"), pick("fp2", True).alias("efp2"),
-    )
+    ))
     by_text = one.groupBy(F.col("key").alias("next_key"), F.col("n_chars").alias("next_chars")).agg(F.max("fp").alias("nfp"), F.max("fp2").alias("nfp2"))
     near_next = likeness(F.col("fp"), F.col("fp2"), F.col("nfp"), F.col("nfp2"))
     return (
