@@ -9,6 +9,7 @@ ship with the task, are joined by word.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veta.llm import gru
-from veta.llm.text import lower_ascii, store, text_or_empty, words
+from veta.llm.text import store, text_or_empty
 
 SHIPPED = 50_000  # most frequent words whose counts travel with the task; the rest is joined
 HELD_TOKENS = 400_000  # tokens a training task gathers before it learns them
 SCORED_TOKENS = 4_000_000  # tokens scored side by side
+COUNTED_WORDS = 300_000  # distinct words a task counts before it hands the counts on
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -35,6 +37,25 @@ def _tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """word, c: how often each word occurs; tasks count first, Spark adds."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            found = [w.decode("utf-8", "surrogatepass") for w in into]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(into.values(), pa.int64())], ["word", "c"])
+
+        into: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                into.update(_tokens(text.as_py()))
+                if len(into) > COUNTED_WORDS:
+                    yield flush()
+                    into.clear()
+        yield flush()
+
+    return texts.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
 def _averaged(rows: DataFrame) -> np.ndarray | None:
     """Mean of (weights array, tokens) rows by tokens, summed in Spark entry by entry."""
     each = rows.select("tokens", F.posexplode("weights").alias("i", "w"))
@@ -79,7 +100,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     training = base.filter(~F.col("held_out"))
 
     # counts of all training tokens; the end is no word and is counted apart
-    counts = store(training.select(F.explode(words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    counts = store(_counted(training.select("text")))
     n_train = training.count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = (sums["n"] or 0) + n_train, sums["v"] + (n_train > 0)
@@ -109,20 +130,22 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds_, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
 
-        log_half = [math.log10(c + 0.5) for c in range(1000)]
-        log_of = {w: (log_half[c] if c < 1000 else math.log10(c + 0.5)) for w, c in known.items()}
+        place = {w: i for i, w in enumerate(known)}  # listed words come first
+        log_of = np.log10(np.array([*known.values(), 0]) + 0.5)
         log_end = math.log10(n_train + 0.5)
         rows, size = [], 0
         for batch in batches:
             for doc, out, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 tokens = _tokens(text.as_py())
-                ids = np.array([number.get(w, gru.OTHER) for w in tokens] + [end])
-                rare = [w.decode("utf-8", "surrogatepass") for w in tokens if w not in log_of]
-                logs = [log_of[w] for w in tokens if w in log_of]
-                unlisted = [log_of[w] for w in tokens if w in log_of and w not in number]
+                at = np.array([place.get(w, -1) for w in tokens], dtype=int)
+                shipped = at >= 0
+                logs = log_of[at]
+                other_words = (at < 0) | (at >= len(listed))
+                ids = np.append(np.where(other_words, gru.OTHER, at), end)
+                rare = [tokens[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(~shipped)]
                 rows.append((
-                    doc.as_py(), out.as_py(), ids, len(logs) + (n_train > 0), math.fsum(logs) + log_end,
-                    math.fsum(unlisted) - int((ids == gru.OTHER).sum()) * log_other, rare,
+                    doc.as_py(), out.as_py(), ids, int(shipped.sum()) + (n_train > 0), float(logs[shipped].sum()) + log_end,
+                    float(logs[shipped & other_words].sum()) - int(other_words.sum()) * log_other, rare,
                 ))
                 size += len(ids)
                 if size >= SCORED_TOKENS:
