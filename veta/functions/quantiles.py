@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veta.functions.scalars import is_float, nan_to_null
+
 DIRECT_ROWS = 400_000  # values over all columns and groups
 SAMPLE_ROWS = 30_000
 MAX_GROUPS = 10_000
@@ -51,10 +53,11 @@ def exact_quantiles(
 ) -> dict[Group, dict[str, dict[float, float | None]]]:
     """Linear-interpolated quantiles {group: {column: {p: value}}}.
 
-    Columns must be double with NULL as the only missing value.  The single group
+    Columns must be double; NaN counts as missing, like NULL.  The single group
     of an ungrouped call is the empty tuple.
     """
     by = list(by)
+    df = df.withColumns({c: nan_to_null(F.col(c)) for c in probabilities if c not in by and is_float(df.schema[c].dataType)})
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
     wanted = {c: sorted(set(ps)) for c, ps in probabilities.items() if ps}
     if not wanted:

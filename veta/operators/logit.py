@@ -297,7 +297,9 @@ def logit_predict(df: DataFrame, fit: LogitFit, out: str = "p") -> DataFrame:
 
 
 def log_lik_term(y: Column, p: Column) -> Column:
-    return F.log(F.when(y == 1, p).otherwise(1 - p))
+    """Logarithm of the probability given to the class; minus infinity, not null, where it is 0."""
+    given = F.when(y == 1, p).otherwise(1 - p)
+    return F.when(given <= 0, F.lit(float("-inf"))).otherwise(F.log(given))
 
 
 def logit_loglik(scored: DataFrame, y: str, p: str = "p", by: Iterable[str] = ()) -> DataFrame:
