@@ -159,3 +159,9 @@ def test_split_and_folds_draw_independently(spark):
     df = kfold_assign(train_test_split(spark.range(4000), "id"), "id", 5, 2)
     counts = df.where("split = 'train'").groupBy("fold_0").count().collect()
     assert len(counts) == 5 and min(r["count"] for r in counts) > 500
+
+
+def test_nan_in_exact_quantiles_counts_as_missing(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(11)] + [(float("nan"),), (None,)], "x double")
+    for direct in (None, 1):
+        assert quantiles.exact_quantiles(df, {"x": [0.5]}, direct_rows=direct)[()]["x"][0.5] == 5.0
