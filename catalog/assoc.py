@@ -280,3 +280,16 @@ folded AS (SELECT r.doc_id, r.quality, CAST(e.f AS INTEGER) AS fold FROM
 @query("stratified_kfold", sql("doc_model", "SELECT doc_id, quality, fold FROM folded", STRAT_FOLDS))
 def stratified_kfold(spark, d):
     return split.stratified_kfold(fx.doc_table(spark, d), "doc_id", "quality").select("doc_id", "quality", "fold")
+
+
+@query("stratified_kfold_big_key", sql("doc_model", "SELECT doc_id, quality, fold FROM folded", STRAT_FOLDS))
+def stratified_kfold_big_key(spark, d):
+    """Keys beyond 2^53, which doubles cannot tell apart."""
+    df = fx.doc_table(spark, d).withColumn("big_key", F.col("doc_id") + F.lit(2**60))
+    return split.stratified_kfold(df, "big_key", "quality").select("doc_id", "quality", "fold")
+
+
+@query("stratified_kfold_text_key", sql("doc_model", "SELECT doc_id, quality, fold FROM folded", STRAT_FOLDS))
+def stratified_kfold_text_key(spark, d):
+    df = fx.doc_table(spark, d).withColumn("text_key", F.lpad(F.col("doc_id").cast("string"), 18, "0"))
+    return split.stratified_kfold(df, "text_key", "quality").select("doc_id", "quality", "fold")

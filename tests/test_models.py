@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veta.functions import cumulative
 from veta.operators import charts, decide, design, evaluate, logit, moments, ols, select, split, transforms
 from veta.operators.assoc import bin_quintiles, cramers_v
 from veta.operators.design import DesignSpec, ModelSpec
@@ -267,6 +268,57 @@ def test_splits(spark, frame):
         assert max(v[k] for v in sizes.values()) - min(v[k] for v in sizes.values()) <= 1
 
 
+def _dealt(classes, k):
+    """Brute force: class-sorted rows dealt out in turn, then blocks of those sizes by key."""
+    want, start = {}, 0
+    for c in sorted(classes, key=lambda c: classes[c][0]):
+        keys = classes[c]
+        at = 0
+        for f in range(k):
+            size = sum(1 for p in range(start, start + len(keys)) if p % k == f)
+            for key in keys[at : at + size]:
+                want[c, key] = f
+            at += size
+        start += len(keys)
+    return want
+
+
+@pytest.mark.parametrize("ranges", [False, True])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_folds_on_native_keys(spark, monkeypatch, kind, ranges):
+    if ranges:  # totals over key ranges, as on large tables
+        monkeypatch.setattr(cumulative, "SINGLE_WINDOW_ROWS", 10)
+        monkeypatch.setattr(cumulative, "RANGE_ROWS", 200)
+    make = (lambda i: 2**60 + i) if kind == "long" else (lambda i: f"key {i:05d}")
+    classes = {c: [make(i) for i in range(1000) if (i % 3 == 0) == c] for c in (False, True)}
+    rows = [(key, c) for c, keys in classes.items() for key in keys]
+    df = spark.createDataFrame(rows, f"id {kind}, t boolean").repartition(4)
+    got = {(r["t"], r["id"]): r["fold"] for r in split.stratified_kfold(df, "id", "t", 5).collect()}
+    assert got == _dealt(classes, 5)
+
+
+def test_folds_keep_rows_without_key_or_class(spark):
+    rows = [(None if i < 4 else i, None if i % 2 else "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    folds = split.stratified_kfold(df, "id", "t", 5)
+    assert folds.where("fold is null").count() == 0
+    assert {(r["fold"], r["t"]): r["count"] for r in folds.groupBy("fold", "t").count().collect()} == {
+        (f, t): 20 for f in range(5) for t in (None, "a")
+    }
+    assert split.stratified_kfold(df.limit(0), "id", "t", 5).collect() == []
+    assert {r["fold"] for r in split.stratified_kfold(df.withColumn("id", F.lit(None).cast("long")), "id", "t", 5).collect()} == {4}
+
+
+def test_design_names_that_clash_are_refused(spark):
+    df = spark.createDataFrame([("q", "c", 1.0), ("b_c", "d", 2.0), ("a", "b", 3.0)], "a string, a_b string, x double")
+    twins = df.withColumn("a_b", F.when(F.col("a_b") == "b", "a").otherwise(F.col("a_b")))
+    with pytest.raises(ValueError, match="two design columns"):
+        design.one_hot(twins, ["a", "a_b"])
+    numbers = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, a_b double")
+    with pytest.raises(ValueError, match="two terms"):
+        design.design_matrix(numbers, ModelSpec.of(["a_b"], (), [("a", "b")]))
+
+
 def test_design_edges(spark, frame):
     assert design.design_matrix(frame, ModelSpec(), keep=["id"]).columns == ["id"]
     with pytest.raises(ValueError):

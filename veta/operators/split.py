@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import MAX_GROUPS, group_counts, order_statistics
-from ..functions.scalars import interval_index, portable_uniform
+from ..functions.cumulative import running_totals
+from ..functions.quantiles import group_counts, order_statistics
+from ..functions.scalars import portable_uniform
+from ..functions.staging import stage
 
 MAX_TIES = 1_000
 
@@ -88,34 +91,37 @@ def kfold_assign(df: DataFrame, key: str, k: int = 5, reps: int = 1, seed: int =
 
 
 def stratified_kfold(df: DataFrame, key: str, target: str, k: int = 5, out: str = "fold") -> DataFrame:
-    """Unshuffled stratified folds: blocks of consecutive numeric keys per class.
+    """Unshuffled stratified folds: blocks of consecutive keys per class.
 
-    Fold sizes per class follow from dealing the class-sorted rows out in turn,
-    classes in order of their first key.  Block borders are order statistics of the
-    key, so no class has to be sorted in one task.
+    Fold sizes per class follow from dealing the class-sorted rows out in turn, classes in
+    order of their first key.  Border keys are found by running totals over key ranges and
+    compared in the key's own type, so 64-bit, decimal and text keys are exact.  Rows of
+    equal keys stay together; rows without a key precede all others of their class, and
+    together they count as one key.
     """
-    rows = df.groupBy(target).agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    rows = rows.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{target} has more than {MAX_GROUPS} classes")
-    rows.sort(key=lambda r: r["first"])
-    counts, asked, start = {}, {}, 0
-    for r in rows:
-        end = start + r["n"]
-        sizes = [(end - 1 - f) // k - (start - 1 - f) // k for f in range(k)]
-        start = end
-        counts[(r[target],)] = {key: r["n"]}
-        done, borders = 0, []
-        for s in sizes[:-1]:
-            done += s
-            borders.append(done)
-        asked[(r[target],)] = borders
-    targets = [(g, key, b) for g, bs in asked.items() for b in bs if b < counts[g][key]]
-    keys = order_statistics(df.select(target, key), targets, [target], counts)
-    fold = None
-    for g, bs in asked.items():
-        first_keys = [keys.get((g, key, b), math.inf) for b in bs]
-        index = interval_index(F.col(key).cast("double"), first_keys, inclusive=True)
-        mine = F.col(target).eqNullSafe(F.lit(g[0]))
-        fold = F.when(mine, index) if fold is None else fold.when(mine, index)
-    return df.withColumn(out, fold.cast("int"))
+    counted = stage(df.groupBy(F.col(target).alias("_class"), F.col(key).alias("_key")).agg(F.count("*").alias("_n")))
+    no_key = F.sum(F.when(F.col("_key").isNull(), F.col("_n")).otherwise(0))
+    before = W.orderBy(F.col("_first").asc_nulls_first(), F.col("_of")).rowsBetween(W.unboundedPreceding, -1)  # a row per class
+    classes = counted.groupBy(F.col("_class").alias("_of")).agg(
+        F.sum("_n").alias("_rows"), no_key.alias("_no_key"), F.min("_key").alias("_first")
+    ).withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    start, end = F.col("_start"), F.col("_start") + F.col("_rows")
+
+    def dealt(upto: Column, folds: int) -> Column:
+        """How many of the first ``upto`` rows the first ``folds`` folds get."""
+        rest = F.pmod(upto, F.lit(k))
+        return ((upto - rest) / k).cast("long") * folds + F.least(rest, F.lit(folds).cast("long"))
+
+    borders = F.array(*[dealt(end, f) - dealt(start, f) for f in range(1, k)]).cast("array<long>")
+    classes = classes.withColumn("_borders", borders)
+    passed = F.size(F.filter("_borders", lambda b: b < F.col("_no_key")))  # borders among the rows without a key
+    ranked = running_totals(counted.where(F.col("_key").isNotNull()), "_key", ["_n"], by=["_class"], staged_rows=counted.count())
+    last = F.col("_no_key") + F.col("cum__n")
+    held = F.filter("_borders", lambda b: (b >= last - F.col("_n")) & (b < last))
+    keys = ranked.join(classes, F.col("_class").eqNullSafe(F.col("_of"))).select("_class", "_key", F.explode(held))
+    keys = keys.groupBy("_class").agg(F.collect_list("_key").alias("_keys"))  # at most k - 1 keys per class
+    limits = classes.join(keys, F.col("_of").eqNullSafe(F.col("_class")), "left").select("_of", passed.alias("_passed"), "_keys")
+    reached = F.size(F.filter(F.coalesce("_keys", F.array().cast(keys.schema["_keys"].dataType)), lambda b: b <= F.col(key)))
+    fold = F.col("_passed") + F.when(F.col(key).isNull(), 0).otherwise(reached)
+    joined = df.join(limits, F.col(target).eqNullSafe(F.col("_of")))
+    return joined.withColumn(out, fold.cast("int")).select(*[c for c in df.columns if c != out], out)
