@@ -97,10 +97,27 @@ class DesignSpec:
         text = _text_columns(df)
         wanted = [c for c in spec.raw if c in spec.categ or c in text]
         design = DesignSpec(spec, category_levels(df, wanted, max_levels))
+        design._refuse_clashes()
         if len(design.columns) > MAX_COLUMNS:
             raise ValueError(f"{len(design.columns)} design columns, at most {MAX_COLUMNS} are supported")
         return design
 
+    def _refuse_clashes(self) -> None:
+        """One name must not stand for two different units or two different columns."""
+        units: dict[str, tuple] = {}
+        columns: dict[str, tuple] = {}
+        named = [(c, ((c, level),), n) for c in (*self.spec.cont, *self.spec.categ) for n, level in self._parts(c)]
+        for a, b in self.spec.inter:
+            named += [
+                (f"{a}_{b}", ((a, i), (b, j)), f"{x}_{y}") for x, i in self._parts(a) for y, j in self._parts(b)
+            ]
+        for unit, parts, name in named:
+            variables = tuple(v for v, _ in parts)
+            if units.setdefault(unit, variables) != variables:
+                raise ValueError(f"{unit} names two terms, {units[unit]} and {variables}: rename a variable")
+            if columns.setdefault(name, parts) != parts:
+                raise ValueError(f"{name} names two design columns, {columns[name]} and {parts}: rename a variable or level")
+
     def _parts(self, variable: str) -> list[tuple[str, str | None]]:
         if variable in self.levels:
             return [(f"{variable}_{v}", v) for v in self.levels[variable][1:]]
