@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -271,6 +272,9 @@ def fit_many(
             break
         for s, r in zip(active, _evaluate(data, [(s.cols, s.w, s.left_out) for s in active])):
             s.update(*r)
+    open_ = [c.spec.formula() for c, s in zip(candidates, states) if not s.done]
+    if open_:
+        warnings.warn(f"no convergence in {MAX_STEPS} steps: {'; '.join(open_)}", RuntimeWarning, stacklevel=2)
     return [_raw_units(data, c, s) for c, s in zip(candidates, states)]
 
 
