@@ -24,9 +24,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(1) / (F32(1) + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Works in x itself, which no caller keeps."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The entry `goal` of every row's log softmax; works in x itself."""
+    x -= x.max(axis=-1, keepdims=True)
+    wanted = x[np.arange(len(x)), goal]
+    return wanted - np.log(np.exp(x, out=x).sum(axis=-1))
+
+
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """Stable order; numbers of words and classes fit 16 bits, which numpy sorts by digits."""
+    return np.argsort(numbers.astype(np.uint16), kind="stable")
 
 
 @dataclass
@@ -76,7 +91,7 @@ class Model:
     def by_class(self, targets: np.ndarray):
         """(class, rows of that class) for the listed targets."""
         klass = targets // CLASS_WORDS
-        order = np.argsort(klass, kind="stable")
+        order = _order(klass)
         ends = np.searchsorted(klass[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             if ends[c] < ends[c + 1]:
@@ -85,11 +100,10 @@ class Model:
     def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm; of an unlisted word only that it is one."""
         klass = targets // CLASS_WORDS
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(targets)), klass].astype(float)
+        out = _log_softmax_at(h @ self.to_class + self.class_bias, klass).astype(float)
         for c, rows in self.by_class(targets):
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            logs = _log_softmax(h[rows] @ self.to_word[words].T + self.word_bias[words])
-            out[rows] += logs[np.arange(len(rows)), targets[rows] - c * CLASS_WORDS]
+            out[rows] += _log_softmax_at(h[rows] @ self.to_word[words].T + self.word_bias[words], targets[rows] - c * CLASS_WORDS)
         return out
 
 
@@ -134,14 +148,14 @@ class Trainer:
             return h
         scale = F32(1 / len(real))
         x, y = flat[real], goal[real]
-        d_class = np.exp(_log_softmax(x @ m.to_class + m.class_bias))
+        d_class = _softmax(x @ m.to_class + m.class_bias)
         d_class[np.arange(len(y)), y // CLASS_WORDS] -= 1
         d_class *= scale
         dx = d_class @ m.to_class.T
         d_to_word, d_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
         for c, rows in m.by_class(y):
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            d = np.exp(_log_softmax(x[rows] @ m.to_word[words].T + m.word_bias[words]))
+            d = _softmax(x[rows] @ m.to_word[words].T + m.word_bias[words])
             d[np.arange(len(rows)), y[rows] - c * CLASS_WORDS] -= 1
             d *= scale
             d_to_word[words] = d.T @ x[rows]
@@ -165,7 +179,7 @@ class Trainer:
             dh = (dh * z + back @ m.state.T) * keep[t]
         d_inputs = np.zeros_like(m.inputs)
         used = inputs.ravel()
-        order = np.argsort(used, kind="stable")
+        order = _order(used)
         word, begin = np.unique(used[order], return_index=True)
         d_inputs[word] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
         self._update([d_inputs, d_state, x.T @ d_class, d_class.sum(axis=0), d_to_word, d_word_bias])
