@@ -10,7 +10,7 @@ from veta.operators.design import ModelSpec
 from . import fixtures as fx
 from . import sqlgen as g
 from .assoc import STRAT_FOLDS
-from .base import R, query, rounded
+from .base import R, query, rounded, uniform_sql
 from .fixtures import sql
 from .linear import path_cte, winner_sql
 
@@ -289,6 +289,14 @@ def accuracy_train_test(spark, d):
     return rounded(evaluate.accuracy_by(fx.doc_scored(spark, d), "y", by="lang"))
 
 
+@query("accuracy_by_split", sql("doc_scored", f"""
+SELECT CASE WHEN {uniform_sql("doc_id", "split-123")} < 0.2 THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+  {R('avg(CAST((p >= 0.5) = (y = 1) AS INTEGER))')} AS accuracy FROM doc_scored GROUP BY 1"""))
+def accuracy_by_split(spark, d):
+    """Accuracy on the train and on the test part."""
+    return rounded(evaluate.accuracy_by(split.train_test_split(fx.doc_scored(spark, d), "doc_id"), "y", by="split"))
+
+
 # --- comparison and winner ------------------------------------------------------------
 
 MODELS = {

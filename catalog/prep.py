@@ -138,6 +138,15 @@ def duplicate_rows(spark, d):
     return profile.duplicate_rows(fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
+@query("duplicate_rows_all_columns", """
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS duplicates
+FROM (SELECT *, count(*) AS c FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL)""")
+def duplicate_rows_all_columns(spark, d):
+    """Whole rows, the first line of every order being there twice."""
+    lines = fx.table(spark, d, "lineitem")
+    return profile.duplicate_rows(lines.unionByName(lines.where("l_linenumber = 1")))
+
+
 @query("class_balance", sql("doc_model", f"""
 SELECT quality AS class, count(*) AS n, {R("count(*) * 100.0 / sum(count(*)) OVER ()")} AS pct
 FROM doc_model GROUP BY quality"""))
@@ -317,6 +326,16 @@ def parquet_roundtrip(spark, d):
     return tables.read_parquet(spark, path, ["split"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
+@query("parquet_roundtrip_rows", sql("line_split", "SELECT * FROM line_split"))
+def parquet_roundtrip_rows(spark, d):
+    """Every column of every row, read back."""
+    from veta.operators.split import train_test_split
+
+    split = train_test_split(fx.line_model(spark, d), "key")
+    path = tables.write_parquet(split, _shared(spark), ["split"])
+    return tables.read_parquet(spark, path).select(*split.columns)
+
+
 @query("report_roundtrip", sql("line_nulls", _union(
     "SELECT '{c}' AS variable, {c} AS value, count(*) AS n FROM line_nulls GROUP BY {c}", _FREQ)))
 def report_roundtrip(spark, d):

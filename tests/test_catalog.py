@@ -20,7 +20,8 @@ TABLES = (
 FEW = [
     "describe_numeric", "frequency_pct", "null_correlation", "outliers_to_null_counts", "impute_numeric_random_below",
     "treat_missing", "cramers_v", "bin_quintiles", "stratified_split", "stratified_kfold",
-    "stratified_kfold_big_key", "stratified_kfold_text_key", "one_hot", "cv_logit_auc", "ols_coefficients", "select_stepwise_bic_ols",
+    "stratified_kfold_big_key", "stratified_kfold_text_key", "one_hot", "cv_logit_auc", "duplicate_rows_all_columns",
+    "parquet_roundtrip_rows", "accuracy_by_split", "ols_coefficients", "select_stepwise_bic_ols",
     "repeated_cv_ols", "logit_fit", "optimal_cutoff", "roc_curve", "density_by_group",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("VETA_ALL_QUERIES") else FEW
