@@ -81,7 +81,7 @@ def test_running_totals_in_ranges(spark, kind, monkeypatch):
     df = spark.createDataFrame(rows, f"v {'long' if kind == 'number' else 'string'}, g string, n long").repartition(5)
     got = {
         (r["g"], r["v"]): r["cum_n"]
-        for r in cumulative.running_totals(df, "v", ["n"], ["g"], single_rows=10).collect()
+        for r in cumulative.running_totals(df, "v", ["n"], ["g"]).collect()
     }
     for g in ("a", "b"):
         total = 0
@@ -91,10 +91,7 @@ def test_running_totals_in_ranges(spark, kind, monkeypatch):
                 assert got[(g, v)] == total
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_rank_lookup_covers_every_rank(spark, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(cumulative, "BROADCAST_ROWS", -1)
+def test_rank_lookup_covers_every_rank(spark):
     values = [1.0] * 3000 + [float(v) for v in range(2, 900)] + [5.0] * 500
     ranked, rows, distinct = cumulative.value_ranks(_frame(spark, values), "x")
     asked = spark.range(1, rows + 1).withColumn("rank", F.col("id")).union(spark.range(2).selectExpr("id", "null"))

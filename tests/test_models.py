@@ -286,8 +286,7 @@ def _dealt(classes, k):
 @pytest.mark.parametrize("ranges", [False, True])
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_folds_on_native_keys(spark, monkeypatch, kind, ranges):
-    if ranges:  # totals over key ranges, as on large tables
-        monkeypatch.setattr(cumulative, "SINGLE_WINDOW_ROWS", 10)
+    if ranges:  # more key ranges, as on large tables
         monkeypatch.setattr(cumulative, "RANGE_ROWS", 200)
     make = (lambda i: 2**60 + i) if kind == "long" else (lambda i: f"key {i:05d}")
     classes = {c: [make(i) for i in range(1000) if (i % 3 == 0) == c] for c in (False, True)}

@@ -18,12 +18,10 @@ from pyspark.sql import types as T
 from .scalars import interval_index
 from .staging import stage
 
-SINGLE_WINDOW_ROWS = 200_000
 RANGE_ROWS = 500_000
 MAX_NUMERIC_RANGES = 20_000
 MAX_TEXT_RANGES = 512
 SAMPLE_PER_RANGE = 20
-BROADCAST_ROWS = 100_000
 SEED = 31_013
 
 
@@ -56,24 +54,18 @@ def running_totals(
     order: str,
     values: Iterable[str],
     by: Iterable[str] = (),
-    single_rows: int | None = None,
     staged_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<value>``: inclusive totals in ascending ``order`` within ``by``.
 
-    ``df`` holds one row per (by, order), e.g. the result of a groupBy.  It is staged
-    here, unless the caller did so and gives the number of its rows.
+    ``df`` holds one row per (by, order), e.g. the result of a groupBy, and no null
+    ``order``.  It is staged here, unless the caller did so and gives the number of its rows.
     """
     by, values = list(by), list(values)
-    single_rows = SINGLE_WINDOW_ROWS if single_rows is None else single_rows
     if staged_rows is None:
         df = stage(df)
         staged_rows = df.count()
-    rows = staged_rows
-    if rows <= single_rows:
-        w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values})
-    ranged = range_ids(df, order, rows)
+    ranged = range_ids(df, order, staged_rows)
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values])
     carried = carried.select(
@@ -103,9 +95,7 @@ def value_ranks(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
     )
     counted = stage(counted)
     size = counted.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
-    ranked = running_totals(counted, "value", ["n"], staged_rows=size["distinct"])
-    if size["distinct"] > SINGLE_WINDOW_ROWS:
-        ranked = stage(ranked)  # looked up more than once
+    ranked = stage(running_totals(counted, "value", ["n"], staged_rows=size["distinct"]))  # looked up more than once
     return ranked, size["rows"] or 0, size["distinct"]
 
 
@@ -135,8 +125,6 @@ def lookup_ranks(
         (block(F.col(rank)) == F.col("_value_block"))
         & (F.col(rank) <= upto) & (F.col(rank) > upto - size)
     )
-    if distinct + blocks <= BROADCAST_ROWS:
-        return df.join(F.broadcast(listed), on, "left").drop("_value_block")
     # rows without a rank stay out of the shuffle: their keys would all be null
     asked = df.where(F.col(rank).isNotNull()).join(listed, on, "left").drop("_value_block")
     types = {f.name: f.dataType for f in asked.schema}

@@ -6,9 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-TASKS_PER_CORE = 4
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -45,9 +42,3 @@ def spread_few_files(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
-def few_tasks(df: DataFrame) -> DataFrame:
-    """Bound the number of tasks that each send a partial matrix to the reducers."""
-    limit = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(limit)

@@ -1,18 +1,9 @@
-"""Small report tables and checked broadcasts."""
+"""Small report tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
-
 
 def report(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A report of a few rows whose values were already aggregated by Spark."""
     return spark.createDataFrame(rows, schema)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the rows; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

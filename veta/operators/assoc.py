@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import interval_index, number, nulls_from_nan
 from ..functions.staging import stage
-from ..functions.tables import broadcast_if_small, report
+from ..functions.tables import report
 from .profile import numeric_view
 from .schema import split_types
 
@@ -109,9 +109,7 @@ def cramers_v_cells(cells: DataFrame) -> DataFrame:
     cells = stage(cells)
     row = cells.groupBy("variable", "level").agg(F.sum("n").alias("r"))
     col = cells.groupBy("variable", "target_level").agg(F.sum("n").alias("c"))
-    joined = cells.join(broadcast_if_small(row), ["variable", "level"]).join(
-        broadcast_if_small(col), ["variable", "target_level"]
-    )
+    joined = cells.join(row, ["variable", "level"]).join(col, ["variable", "target_level"])
     o, r, c = (F.col(x).cast("double") for x in ("n", "r", "c"))
     sums = joined.groupBy("variable").agg(
         F.sum("n").cast("double").alias("total"),

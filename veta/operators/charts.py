@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import number
-from ..functions.staging import few_tasks
 from ..functions.tables import report
 from .assoc import row_normalized_crosstab
 from .profile import numeric_view
@@ -122,7 +121,7 @@ def density_by_group(
         rows += [(r["_g"], i, float(x), h, norm) for i, x in enumerate(grid)]
     frame = report(df.sparkSession, rows, "g string, pos int, x double, bandwidth double, norm double")
     sums = (
-        few_tasks(values).mapInArrow(_density_kernel(grids), "g string, sums array<double>")
+        values.mapInArrow(_density_kernel(grids), "g string, sums array<double>")
         .select("g", F.posexplode("sums")).groupBy("g", "pos").agg(F.sum("col").alias("total"))
     )
     return frame.join(sums, ["g", "pos"]).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.scalars import logistic, number, significance_code
-from ..functions.staging import few_tasks, stage
+from ..functions.staging import stage
 from ..functions.tables import report
 from .design import DesignSpec, ModelSpec
 from .moments import centre_and_scale
@@ -191,7 +191,7 @@ def _newton_kernel(shift: np.ndarray, scale: np.ndarray, batch_models: list[tupl
 
 def _evaluate(data: LogitData, models: list[tuple[list[int], np.ndarray, int | None]]):
     """One pass over the rows for all models: (log-likelihood, gradient, information)."""
-    partial = few_tasks(data.rows).mapInArrow(
+    partial = data.rows.mapInArrow(
         _newton_kernel(data.shift, data.scale, models), "model int, packed array<double>"
     )
     summed = partial.select("model", F.posexplode("packed")).groupBy("model", "pos").agg(F.sum("col").alias("v"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
-from ..functions.staging import few_tasks
 from ..functions.tables import report
 from .design import DesignSpec
 
@@ -133,7 +132,7 @@ def moments(
         shift, scale = centre
     n_groupings = max(1, len(groupings))
     kernel = _gram_kernel(n_groupings, shift, scale)
-    partial = few_tasks(flat).mapInArrow(kernel, "grouping int, cell string, gram array<double>")
+    partial = flat.mapInArrow(kernel, "grouping int, cell string, gram array<double>")
     summed = (
         partial.select("grouping", "cell", F.posexplode("gram"))
         .groupBy("grouping", "cell", "pos").agg(F.sum("col").alias("v"))

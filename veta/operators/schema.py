@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import number
-from ..functions.tables import broadcast_if_small, report
+from ..functions.tables import report
 
 
 def split_types(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -169,7 +169,7 @@ def lookup_by_name(records: DataFrame, name: str, column: str = "model") -> Data
 
 
 def lookup_winner(records: DataFrame, winner: DataFrame, column: str = "model") -> DataFrame:
-    return records.join(broadcast_if_small(winner.select(column)), column, "left_semi")
+    return records.join(winner.select(column), column, "left_semi")
 
 
 def union_scores(frames: Iterable[DataFrame]) -> DataFrame:
