@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.cumulative import running_totals
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import number, nulls_from_nan
+from ..functions.staging import stage
 from ..functions.tables import report
 from .schema import split_types
 
 STATS = {
-    "n": F.count, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop,
+    "n": F.count, "missing": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop,
     "min": F.min, "max": F.max, "skew": F.skewness, "kurtosis": F.kurtosis,
 }
 APPROX_ACCURACY = 10_000
@@ -91,11 +92,10 @@ TARGET_QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def target_profile(df: DataFrame, column: str) -> DataFrame:
     """Profile of a candidate continuous target; text is parsed leniently."""
     numbers = numeric_view(df, [column])
-    s = moments_of(numbers, [column], ["n", "mean", "std", "min", "max", "skew", "kurtosis"])[column]
-    missing = df.count() - s["n"]
+    s = moments_of(numbers, [column], ["n", "missing", "mean", "std", "min", "max", "skew", "kurtosis"])[column]
     q = column_quantiles(numbers, {column: TARGET_QUANTILES}, {column: s["n"]}, "exact")[column]
     row = (
-        column, s["n"], missing, s["mean"], s["std"], s["min"], s["max"], s["skew"], s["kurtosis"],
+        column, s["n"], s["missing"], s["mean"], s["std"], s["min"], s["max"], s["skew"], s["kurtosis"],
         *[q[p] for p in TARGET_QUANTILES],
     )
     return report(
@@ -217,11 +217,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     """Rows and percentage per class, null included, in class order."""
-    total = df.count()
-    return (
-        df.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
-        .withColumn("pct", F.col("n") * 100.0 / F.lit(total)).orderBy("class")
-    )
+    counted = stage(df.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0]
+    return counted.withColumn("pct", F.col("n") * 100.0 / F.lit(total)).orderBy("class")
 
 
 def share_over_group(counts: DataFrame, by: list[str], n: str = "n", out: str = "share") -> DataFrame:
