@@ -74,20 +74,25 @@ def cv_logit_auc(df: DataFrame, spec: ModelSpec, y: str, fold: str, l2: float =
     return roc_auc(each.select("fold", "y", p.alias("p")), "y", "p", ["fold"])
 
 
-def _score_groups(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score, accumulated from the highest down."""
+def _score_counts(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """Positives and negatives per distinct score, staged."""
     # no filter on the score: pushed below its projection, it would compute scores twice
     known = F.col(p).isNotNull()
-    counted = stage(scored.groupBy(*by, (-F.col(p)).alias("_down")).agg(
+    return stage(scored.groupBy(*by, (-F.col(p)).alias("_down")).agg(
         F.count_if(known & (F.col(y) == 1)).alias("pos"), F.count_if(known & (F.col(y) == 0)).alias("neg")
     )).where(F.col("pos") + F.col("neg") > 0)
+
+
+def _score_groups(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Counts per score, accumulated from the highest down."""
     return running_totals(counted, "_down", ["pos", "neg"], by, staged_rows=counted.count())
 
 
 def roc_curve(scored: DataFrame, y: str, p: str = "p") -> DataFrame:
     """False and true positive rates at every distinct score, plus the origin."""
-    groups = _score_groups(scored, y, p, [])
-    row = groups.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    counted = _score_counts(scored, y, p, [])
+    groups = _score_groups(counted, [])
+    row = counted.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     curve = groups.select(
         (-F.col("_down")).alias("threshold"),
         (F.col("cum_neg") / F.lit(float(row["neg"] or 0) or None)).alias("fpr"),
@@ -100,7 +105,7 @@ def roc_curve(scored: DataFrame, y: str, p: str = "p") -> DataFrame:
 def roc_auc(scored: DataFrame, y: str, p: str = "p", by: Iterable[str] = ()) -> DataFrame:
     """Share of positive-negative pairs ranked right, ties counting half."""
     by = list(by)
-    groups = _score_groups(scored, y, p, by)
+    groups = _score_groups(_score_counts(scored, y, p, by), by)
     pairs = F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") * 0.5)
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     return groups.groupBy(*by).agg(
