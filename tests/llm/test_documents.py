@@ -376,3 +376,20 @@ def test_gru_learns_what_follows_what():
     for _ in range(6):
         trainer.text(text, end)
     assert gru.score(trainer.model, [text[-400:]], end)[0] > 0.85 * gru.score(start, [text[-400:]], end)[0]
+
+
+def test_the_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    """Words beyond the smallest model's places are listed, and their context counts."""
+    rng = np.random.default_rng(4)
+    pairs = [f"a{i} b{i}" for i in range(900)]  # 1,800 words, each b after its own a
+    rows = [(i, " ".join(pairs[j] for j in rng.integers(0, 900, 300))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    started = []
+    start = gru.Model.start
+    monkeypatch.setattr(gru.Model, "start", lambda *a: started.append(start(*a)) or started[-1])
+    assert lm.scores(frame).count() == 60
+    model = started[0]
+    assert model.other == 1801  # all words and the end
+    assert model.class_of[-1] <= math.sqrt(model.other) + 1 and np.diff(model.ends).min() > 0
+    assert np.isclose(np.exp(model.log_probability(np.zeros((1802, gru.HIDDEN), np.float32), np.arange(1802))).sum(), 1, rtol=1e-4)
+    assert lm.least_count(4_000_000) == 40 and lm.least_count(0) == 1

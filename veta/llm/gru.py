@@ -1,7 +1,10 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
-Words are numbered by falling frequency and cut into classes of equal size; one class more
-stands for all words the model does not list. P(word) = P(class | state) P(word | class, state).
+Words are numbered by falling frequency and cut into classes that hold equal sums of the roots
+of their shares: with S the sum of all roots, S classes make the expected size of a target's
+class S as well, and S is at most the root of the number of words, so a step costs O(sqrt V).
+One class more stands for all words the model does not list. P(word) = P(class | state)
+P(word | class, state).
 """
 
 from __future__ import annotations
@@ -11,10 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN = 16
-CLASS_WORDS = 32
-CLASSES = 32
-WORDS = CLASS_WORDS * CLASSES  # listed words, the end among them
-OTHER = WORDS  # the number of every word not listed
+WORDS = 1024  # places of the smallest model; a larger corpus has more, see Model.other
+OTHER = WORDS  # the number of every word not listed, in the smallest model
+SCORED_ROWS = 32_768  # states whose softmax is held at a time
 LANES, WINDOW = 256, 16
 RATE = 0.01
 F32 = np.float32
@@ -40,8 +42,34 @@ def _log_softmax_at(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
-    """Stable order; numbers of words and classes fit 16 bits, which numpy sorts by digits."""
-    return np.argsort(numbers.astype(np.uint16), kind="stable")
+    """Stable order; numbers that fit 16 bits are sorted by digits."""
+    small = not len(numbers) or numbers.max() < 1 << 16
+    return np.argsort(numbers.astype(np.uint16) if small else numbers, kind="stable")
+
+
+def class_ends(shares: np.ndarray) -> np.ndarray:
+    """First word of every class, and the number of words at the end."""
+    roots = np.sqrt(shares)
+    whole = roots.sum()
+    of = ((np.cumsum(roots) - roots / 2) / whole * max(1, round(float(whole)))).astype(int)
+    return np.append(np.unique(of, return_index=True)[1], len(shares))
+
+
+@dataclass
+class Rows:
+    """A gradient that is 0 outside some rows."""
+
+    at: np.ndarray
+    values: np.ndarray
+    rows: int
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        out = np.zeros((self.rows, self.values.shape[1]), dtype or F32)
+        out[self.at] = self.values
+        return out
+
+    def ravel(self) -> np.ndarray:
+        return np.asarray(self).ravel()
 
 
 @dataclass
@@ -54,17 +82,28 @@ class Model:
     class_bias: np.ndarray
     to_word: np.ndarray
     word_bias: np.ndarray
+    ends: np.ndarray  # of classes, see class_ends
+
+    def __post_init__(self) -> None:
+        sizes = np.append(np.diff(self.ends), 1)
+        self.class_of = np.repeat(np.arange(len(sizes)), sizes)
+
+    @property
+    def other(self) -> int:
+        """The number of every word not listed."""
+        return len(self.word_bias)
 
     @classmethod
     def start(cls, counts: np.ndarray, other: float, seed: int = 3) -> Model:
         """Predicts the smoothed frequencies until it is trained; same for the same counts."""
         rng = np.random.default_rng(seed)
         smooth = counts + 0.5
-        classes = np.append(smooth.reshape(CLASSES, CLASS_WORDS).sum(axis=1), other)
+        ends = class_ends(smooth / (smooth.sum() + other))
+        classes = np.append(np.add.reduceat(smooth, ends[:-1]), other)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(F32)
         return cls(
-            small(WORDS + 1, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros((HIDDEN, CLASSES + 1), F32), np.log(classes).astype(F32),
-            np.zeros((WORDS, HIDDEN), F32), np.log(smooth).astype(F32),
+            small(len(counts) + 1, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros((HIDDEN, len(classes)), F32), np.log(classes).astype(F32),
+            np.zeros((len(counts), HIDDEN), F32), np.log(smooth).astype(F32), ends,
         )
 
     def parts(self) -> list[np.ndarray]:
@@ -78,7 +117,7 @@ class Model:
         for p in self.parts():
             out.append(flat[at : at + p.size].reshape(p.shape).astype(F32))
             at += p.size
-        return Model(*out)
+        return Model(*out, self.ends)
 
     def step(self, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state and what the way back needs."""
@@ -89,21 +128,32 @@ class Model:
         return n + z * (h - n), z, r, n, s[:, 2 * HIDDEN :]
 
     def by_class(self, targets: np.ndarray):
-        """(class, rows of that class) for the listed targets."""
-        klass = targets // CLASS_WORDS
+        """Order of the targets by class, and (words, rows in that order) of the listed classes met."""
+        klass = self.class_of[targets]
         order = _order(klass)
-        ends = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c] : ends[c + 1]]
+        met, first = np.unique(klass[order], return_index=True)
+        last = np.append(first[1:], len(order))
+        return order, [
+            (slice(self.ends[c], self.ends[c + 1]), slice(a, b))
+            for c, a, b in zip(met.tolist(), first.tolist(), last.tolist(), strict=True) if c < len(self.ends) - 1
+        ]
 
     def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm; of an unlisted word only that it is one."""
-        klass = targets // CLASS_WORDS
-        out = _log_softmax_at(h @ self.to_class + self.class_bias, klass).astype(float)
-        for c, rows in self.by_class(targets):
-            words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            out[rows] += _log_softmax_at(h[rows] @ self.to_word[words].T + self.word_bias[words], targets[rows] - c * CLASS_WORDS)
+        out = np.empty(len(targets))
+        for at in range(0, len(targets), SCORED_ROWS):
+            part = slice(at, at + SCORED_ROWS)
+            out[part] = self._log_probability(h[part], targets[part])
+        return out
+
+    def _log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        out = _log_softmax_at(h @ self.to_class + self.class_bias, self.class_of[targets]).astype(float)
+        order, classes = self.by_class(targets)
+        x, y, within = h[order], targets[order], np.zeros(len(targets))
+        for words, rows in classes:
+            if words.stop - words.start > 1:
+                within[rows] = _log_softmax_at(x[rows] @ self.to_word[words].T + self.word_bias[words], y[rows] - words.start)
+        out[order] += within
         return out
 
 
@@ -115,6 +165,16 @@ class Trainer:
         self.first = [np.zeros_like(p) for p in model.parts()]
         self.second = [np.zeros_like(p) for p in model.parts()]
         self.updates = 0
+        # how often each word was read and each class was wanted: what a copy's rows weigh in an average
+        self.read = np.zeros(model.other + 1, np.int64)
+        self.wanted = np.zeros(len(model.ends), np.int64)
+
+    def weights(self) -> np.ndarray:
+        """For every entry of model.flat() the number of tokens it has learned from."""
+        m, tokens = self.model, int(self.wanted.sum())
+        of_words = self.wanted[m.class_of[: m.other]]
+        rows = [self.read, *(np.full(len(p), tokens) for p in (m.state, m.to_class, m.class_bias)), of_words, of_words]
+        return np.concatenate([np.repeat(r, p.size // max(1, len(p))) for r, p in zip(rows, m.parts(), strict=True)])
 
     def text(self, words: np.ndarray, end: int) -> None:
         """Learn a run of texts, each closed by `end`, cut into lanes that run side by side."""
@@ -149,18 +209,24 @@ class Trainer:
         scale = F32(1 / len(real))
         x, y = flat[real], goal[real]
         d_class = _softmax(x @ m.to_class + m.class_bias)
-        d_class[np.arange(len(y)), y // CLASS_WORDS] -= 1
+        klass = m.class_of[y]
+        self.wanted += np.bincount(klass, minlength=len(self.wanted))
+        d_class[np.arange(len(y)), klass] -= 1
         d_class *= scale
-        dx = d_class @ m.to_class.T
         d_to_word, d_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
-        for c, rows in m.by_class(y):
-            words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            d = _softmax(x[rows] @ m.to_word[words].T + m.word_bias[words])
-            d[np.arange(len(rows)), y[rows] - c * CLASS_WORDS] -= 1
+        by, classes = m.by_class(y)
+        xs, ys, ds = x[by], y[by], np.zeros_like(x)
+        for words, rows in classes:
+            if words.stop - words.start == 1:
+                continue  # its only word is sure
+            d = _softmax(xs[rows] @ m.to_word[words].T + m.word_bias[words])
+            d[np.arange(len(d)), ys[rows] - words.start] -= 1
             d *= scale
-            d_to_word[words] = d.T @ x[rows]
+            d_to_word[words] = d.T @ xs[rows]
             d_word_bias[words] = d.sum(axis=0)
-            dx[rows] += d @ m.to_word[words]
+            ds[rows] = d @ m.to_word[words]
+        dx = d_class @ m.to_class.T
+        dx[by] += ds
         d_states = np.zeros_like(flat)
         d_states[real] = dx
         d_states = d_states.reshape(T, B, HIDDEN)
@@ -177,24 +243,30 @@ class Trainer:
             back = np.concatenate([dz, dr, dn * r], axis=1)
             d_state += past[t].T @ back
             dh = (dh * z + back @ m.state.T) * keep[t]
-        d_inputs = np.zeros_like(m.inputs)
         used = inputs.ravel()
         order = _order(used)
-        word, begin = np.unique(used[order], return_index=True)
-        d_inputs[word] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
+        word, begin, times = np.unique(used[order], return_index=True, return_counts=True)
+        self.read[word] += times
+        d_inputs = Rows(word, np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0), len(m.inputs))
         self._update([d_inputs, d_state, x.T @ d_class, d_class.sum(axis=0), d_to_word, d_word_bias])
         return h
 
-    def _update(self, gradients: list[np.ndarray]) -> None:
+    def _update(self, gradients: list[np.ndarray | Rows]) -> None:
+        """Adam; of a gradient in rows only those rows move, so a step does not cost the whole table."""
         self.updates += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in gradients)))
+        values = [g.values if isinstance(g, Rows) else g for g in gradients]
+        norm = float(np.sqrt(sum(float((v * v).sum()) for v in values)))
         shrink = F32(min(1.0, 1.0 / max(norm, 1e-12)))
         rate = F32(RATE * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
-        for p, g, a, b in zip(self.model.parts(), gradients, self.first, self.second, strict=True):
-            g = g * shrink
-            a += F32(0.1) * (g - a)
-            b += F32(0.001) * (g * g - b)
-            p -= rate * a / (np.sqrt(b) + F32(1e-8))
+        for p, g, v, a, b in zip(self.model.parts(), gradients, values, self.first, self.second, strict=True):
+            v = v * shrink
+            at = g.at if isinstance(g, Rows) else slice(None)
+            one, two = a[at], b[at]
+            one += F32(0.1) * (v - one)
+            two += F32(0.001) * (v * v - two)
+            p[at] -= rate * one / (np.sqrt(two) + F32(1e-8))
+            if isinstance(g, Rows):
+                a[at], b[at] = one, two
 
 
 def score(model: Model, texts: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:

@@ -1,8 +1,10 @@
 """LM scoring: a gated recurrent language model learned from the corpus scores every document.
 
 All training texts are counted and learned. Each task trains a copy of the model on its own
-texts, the copies are averaged by weight of tokens in Spark, and the average goes on with the
-other half of the texts. Counts of the words the model does not list, and of words too rare to
+texts, the copies are averaged in Spark, each entry by the tokens it has learned from, and the
+average goes on with the other half of the texts. The model lists every word whose count
+reaches a least one that grows with the root of the corpus, so its size grows with that root
+too: words of at least sqrt(tokens) / LISTED are at most LISTED * sqrt(tokens). Counts of the words the model does not list, and of words too rare to
 ship with the task, are joined by word.
 """
 
@@ -21,6 +23,8 @@ from veta.llm import gru
 from veta.llm.text import store, text_or_empty
 
 SHIPPED = 50_000  # most frequent words whose counts travel with the task; the rest is joined
+LISTED = 50  # words are listed from a count of sqrt(training tokens) / LISTED up
+BLOCK = 8192  # weights averaged together
 HELD_TOKENS = 400_000  # tokens a training task gathers before it learns them
 SCORED_TOKENS = 4_000_000  # tokens scored side by side
 COUNTED_WORDS = 300_000  # distinct words a task counts before it hands the counts on
@@ -56,36 +60,59 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _averaged(rows: DataFrame) -> np.ndarray | None:
-    """Mean of (weights array, tokens) rows by tokens, summed in Spark entry by entry."""
-    each = rows.select("tokens", F.posexplode("weights").alias("i", "w"))
-    sums = each.groupBy("i").agg(F.sum(F.col("w") * F.col("tokens")).alias("s"), F.sum("tokens").alias("n")).orderBy("i")
-    got = sums.select((F.col("s") / F.col("n")).alias("w")).toArrow()  # as many rows as the model has weights
-    return got.column("w").to_numpy() if got.num_rows else None
+def least_count(tokens: int) -> int:
+    """The count from which a word is listed."""
+    return max(1, math.ceil(math.sqrt(tokens) / LISTED))
+
+
+def _averaged(rows: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Mean of the copies' weights by what each has learned from, block by block; start where none has."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # of a share of the model's blocks, one sum each
+        for batch in batches:
+            for block, sums, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+                more = np.array([sums.values.to_numpy(), n.values.to_numpy()], dtype=float)
+                key = block.as_py()
+                held[key] = held[key] + more if key in held else more
+        if held:
+            lists = [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *lists], ["block", "sums", "n"])
+
+    kind = "block int, sums array<double>, n array<double>"
+    got = rows.repartition("block").mapInArrow(add, kind).toArrow()  # as many entries as the model has weights
+    out = start.astype(float)
+    for block, sums, n in zip(*(got.column(c) for c in ("block", "sums", "n")), strict=True):
+        at = block.as_py() * BLOCK
+        s, k = sums.values.to_numpy(), n.values.to_numpy()
+        part = out[at : at + BLOCK]
+        np.divide(s, k, out=part, where=k > 0)
+    return out
 
 
 def _trained(texts: DataFrame, model: gru.Model, number: dict[bytes, int], end: int) -> gru.Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = gru.Trainer(model.like(model.flat()))
-        held, seen, size = [], 0, 0
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                ids = [number.get(w, gru.OTHER) for w in _tokens(text.as_py())]
+                ids = [number.get(w, model.other) for w in _tokens(text.as_py())]
                 ids.append(end)
                 held.append(np.array(ids))
                 size += len(ids)
                 if size >= HELD_TOKENS:
                     trainer.text(np.concatenate(held), end)
-                    held, seen, size = [], seen + size, 0
+                    held, size = [], 0
         if held:
             trainer.text(np.concatenate(held), end)
-            seen += size
-        if seen:
-            weights = pa.array([trainer.model.flat().astype(float)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([weights, pa.array([float(seen)])], ["weights", "tokens"])
+        n = trainer.weights().astype(np.float32)
+        sums = trainer.model.flat() * n
+        for at in range(0, len(n), BLOCK):
+            if n[at : at + BLOCK].any():
+                lists = [pa.array([x[at : at + BLOCK]], pa.list_(pa.float32())) for x in (sums, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), *lists], ["block", "sums", "n"])
 
-    flat = _averaged(store(texts.mapInArrow(learn, "weights array<double>, tokens double")))
-    return model if flat is None else model.like(flat)
+    rows = texts.mapInArrow(learn, "block int, sums array<float>, n array<float>")
+    return model.like(_averaged(rows, model.flat()))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,11 +131,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n_train = training.count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = (sums["n"] or 0) + n_train, sums["v"] + (n_train > 0)
-    often = counts.orderBy(F.desc("c"), "word").limit(SHIPPED).collect()  # a bounded number of words
+    least = least_count(total)
+    n_listed = counts.filter(F.col("c") >= least).count()
+    often = counts.orderBy(F.desc("c"), "word").limit(max(SHIPPED, n_listed)).collect()  # at most LISTED * sqrt(total) are listed
     known = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in often}
 
-    listed = list(known.items())[: gru.WORDS - 1]
-    frequency = np.zeros(gru.WORDS)
+    listed = list(known.items())[:n_listed]
+    frequency = np.zeros(max(gru.WORDS, len(listed) + 1))
     frequency[: len(listed)] = [c for _, c in listed]
     end = len(listed)
     frequency[end] = n_train
@@ -141,7 +170,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 shipped = at >= 0
                 logs = log_of[at]
                 other_words = (at < 0) | (at >= len(listed))
-                ids = np.append(np.where(other_words, gru.OTHER, at), end)
+                ids = np.append(np.where(other_words, model.other, at), end)
                 rare = [tokens[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(~shipped)]
                 rows.append((
                     doc.as_py(), out.as_py(), ids, int(shipped.sum()) + (n_train > 0), float(logs[shipped].sum()) + log_end,
