@@ -393,3 +393,24 @@ def test_the_vocabulary_grows_with_the_corpus(spark, monkeypatch):
     assert model.class_of[-1] <= math.sqrt(model.other) + 1 and np.diff(model.ends).min() > 0
     assert np.isclose(np.exp(model.log_probability(np.zeros((1802, gru.HIDDEN), np.float32), np.arange(1802))).sum(), 1, rtol=1e-4)
     assert lm.least_count(4_000_000) == 40 and lm.least_count(0) == 1
+
+
+def test_a_hot_anchor_is_split(spark, monkeypatch):
+    """A line shorter than a window in all texts: no task sorts all its contexts, results stay whole."""
+    rng = np.random.default_rng(6)
+    make = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    line, tail, long = make(120), make(100), make(260)
+    texts = [make(150) + line + (tail if i % 20 == 0 else "") + make(150) for i in range(300)]
+    texts += [make(140 + i % 7) + long + make(150) for i in range(200)] + texts[:2] + texts[-2:]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    settle, most = suffix_dedup.settle, 20_000
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", most)
+
+    def watched(contexts, open_, length):
+        assert sum(map(len, contexts)) < 3 * most
+        return settle(contexts, open_, length)
+
+    monkeypatch.setattr(suffix_dedup, "settle", watched)
+    want = {i: int(m.sum()) for i, m in enumerate(removed([t.encode() for t in texts], 200, lambda s, i, n: s[i : i + n]))}
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.duplicate_bytes(frame).collect()}
+    assert got == want and sum(n > 0 for n in want.values()) > 200

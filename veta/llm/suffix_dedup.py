@@ -1,7 +1,8 @@
 """Suffix-array dedup: remove every byte of a 200-byte string that starts anywhere else too.
 
-Windows that cannot repeat are set aside by their anchors (see windows.py). What is left is
-settled by sorting suffixes: they are compared by the length of their common extension, which
+Windows that cannot repeat are set aside by their anchors (see windows.py). Where one anchor
+has more context than a task should hold, Spark counts its windows, and only stretches of
+windows met more than once go on, parted by who shares them. What is left is settled by sorting suffixes: they are compared by the length of their common extension, which
 a binary search over prefix polynomial hashes finds, so a comparison takes a logarithmic
 number of steps; the sort is a mergesort. In suffix order the longest extension a suffix
 shares with any other is that with a neighbour, and every claimed extension is compared byte
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veta.llm.text import store
 from veta.llm.windows import PrefixHash, byte_tokens, covered, keyed, merged, repeated, with_edges, with_ranges
 
 LENGTH, GRAM = 200, 64
-HELD_BYTES = 4_000_000  # context sorted together; a group of equal anchors is never cut
-CONTEXT = "gram bigint, d bigint, t bigint, lo bigint, n bigint, context binary"
+HELD_BYTES = 4_000_000  # context sorted together; anchors with more are split by their windows
+CONTEXT = "gram bigint, part bigint, d bigint, t bigint, lo bigint, n bigint, context binary"
+WINDOW = "gram bigint, w bigint, d bigint, t bigint, lo bigint, at bigint"
 RANGE = "d bigint, t bigint, lo bigint, hi bigint"
 MASK = (1 << 64) - 1
 
@@ -117,6 +120,53 @@ def settle(contexts: list[bytes], open_: np.ndarray, length: int) -> list[tuple[
     return found
 
 
+def shared_stretches(contexts: DataFrame, length: int) -> DataFrame:
+    """contexts cut to the stretches of windows they share, those of one set of sharers in one part.
+
+    Windows of one anchor met once, by hash, are dropped. Neighbouring windows shared by the same
+    contexts are one stretch, whose bytes all of them have. A stretch shared by very many is dealt
+    to several parts: a window needs but one partner to repeat.
+    """
+    contexts = store(contexts.dropDuplicates(["gram", "d", "t", "lo"]))  # repeated rows bring theirs more than once
+    together = max(2, HELD_BYTES // (2 * length))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["gram", "d", "t", "lo", "context"]).to_pylist():
+                starts = np.arange(len(row["context"]) - length + 1)
+                w = PrefixHash(np.frombuffer(row["context"], np.uint8)).runs(starts, starts + length).view(np.int64)
+                same = [pa.array(np.full(len(w), row[c], np.int64)) for c in ("gram", "d", "t", "lo")]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(w), *same[1:], pa.array(starts)], ["gram", "w", "d", "t", "lo", "at"])
+
+    windows = store(contexts.mapInArrow(lambda b: merged(hashed(b)), WINDOW))
+    own = F.xxhash64("d", "t", "lo")
+    sharers = windows.groupBy("gram", "w").agg(F.count("*").alias("k"), F.bit_xor(own).alias("who")).filter("k > 1")
+    # a context has at most length - gram + 1 windows
+    lists = windows.join(sharers, ["gram", "w"]).groupBy("gram", "d", "t", "lo").agg(F.array_sort(F.collect_list(F.struct("at", "w", "k", "who"))).alias("_shared"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                listed = row["_shared"]
+                begin = 0
+                for i in range(1, len(listed) + 1):
+                    a, b = listed[i - 1], listed[i] if i < len(listed) else None
+                    if b and b["at"] == a["at"] + 1 and (b["k"], b["who"]) == (a["k"], a["who"]):
+                        continue
+                    first = listed[begin]
+                    # sharers agree in the first window, so in its hash; the deal goes by the context
+                    deal = (row["_own"] % max(1, first["k"] // together)) * 0x9E3779B97F4A7C15
+                    part = (first["w"] + deal + (1 << 63)) % (1 << 64) - (1 << 63)
+                    out.append((row["gram"], part, row["d"], row["t"], row["lo"] + first["at"], row["n"], row["context"][first["at"] : a["at"] + length]))
+                    begin = i
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            kinds = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in CONTEXT.split(", ")])
+
+    return contexts.withColumn("_own", own).join(lists, ["gram", "d", "t", "lo"]).mapInArrow(cut, CONTEXT)
+
+
 def repeated_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(d, t, lo, hi): first and last starts of repeated windows, by key of text."""
     found = repeated(docs, byte_tokens, length, gram)
@@ -130,7 +180,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 context = [raw[s["lo"] : s["hi"] + length].tobytes() for s in rows]
                 ids = [pa.array([x.as_py()] * len(rows), pa.int64()) for x in (d, t)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["gram"] for s in rows], pa.int64()), *ids, *(pa.array([s[c] for s in rows], pa.int64()) for c in ("lo", "n")), pa.array(context, pa.binary())],
+                    [pa.array([s["gram"] for s in rows], pa.int64()), pa.array([0] * len(rows), pa.int64()), *ids, *(pa.array([s[c] for s in rows], pa.int64()) for c in ("lo", "n")), pa.array(context, pa.binary())],
                     names,
                 )
 
@@ -144,7 +194,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                if size >= HELD_BYTES and row["gram"] != held[-1]["gram"]:
+                if size >= HELD_BYTES and (row["gram"], row["part"]) != (held[-1]["gram"], held[-1]["part"]):
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
@@ -152,8 +202,17 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    contexts = with_edges(docs, found.edges).mapInArrow(lambda b: merged(cut(b), 5_000), CONTEXT)
-    edges = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, RANGE)
+    def contexts_of(edges: DataFrame) -> DataFrame:
+        return with_edges(docs, edges).mapInArrow(lambda b: merged(cut(b), 5_000), CONTEXT)
+
+    size = F.sum(F.col("hi") - F.col("lo") + length)
+    hot = store(found.edges.groupBy("gram").agg(size.alias("_size")).filter(F.col("_size") > HELD_BYTES).select("gram"))
+    if hot.isEmpty():
+        contexts = contexts_of(found.edges)
+    else:
+        shared = shared_stretches(contexts_of(found.edges.join(hot, "gram", "left_semi")), length)
+        contexts = contexts_of(found.edges.join(hot, "gram", "left_anti")).union(shared)
+    edges = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(sort, RANGE)
     return found.whole.union(edges)
 
 
