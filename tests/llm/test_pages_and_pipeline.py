@@ -26,6 +26,25 @@ def test_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+PLAIN = (
+    "<html><body><div id=top><ul><li><a href=/x>Home</a><li><a href=/y>More</a></ul></div><div class=story><h2>Title %d</h2><p>The first paragraph of this "
+    "story tells, at some length, what happened on day %d of it.</p><p>A second one goes on, and it ends with a full stop as well as the first.</p></div>"
+    "<div class=sidebar><p><a href=/z>See also this other page of ours</a></p></div><div>&copy; Us</div></body></html>"
+)
+
+
+@pytest.mark.parametrize("plain", [1, 5])
+def test_plain_pages_among_pages_with_an_article(spark, plain):
+    rows = [(i, "u", PAGE % (i, i)) for i in range(200)] + [(1000 + i, "u", PLAIN % (i, i)) for i in range(plain)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(plain):
+        assert got[1000 + i] == (
+            f"The first paragraph of this story tells, at some length, what happened on day {i} of it.\n"
+            "A second one goes on, and it ends with a full stop as well as the first."
+        )
+    assert got[7] == "Head & line 7\nSome words of the text here, 7.\nIt goes on <so> for a while, and then it ends with a full stop."
+
+
 def test_named_parts_go_even_where_they_were_never_seen(spark):
     model = html_extract.learn(spark.createDataFrame([(PAGE % (i, i),) for i in range(40)], "html string"))
     page = (PAGE % (1, 1)).replace("</article>", "<aside><p>Related things to read, here.</p></aside><form><p>Mail</p></form></article><div id=comments><p>I liked it a lot, thanks.</p></div>")

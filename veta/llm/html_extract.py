@@ -8,7 +8,9 @@ marginal; text blocks more likely content than not make the text.
 The potentials are counts over labelled pages, summed in Spark. A page labels itself where it
 has an article or main element: text in it is content unless it lies in an element that the
 standard, or a usual class word, marks as something else; text outside is not. Pages without
-such an element label long unlinked paragraphs.
+such an element label long unlinked paragraphs. The two kinds of pages have potentials of their
+own: where the article is named, all other elements hold nothing, which says nothing of pages
+that are built of plain ones.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ WEAK, STRONG = 1.0, 14.0  # most log odds of a feature: of any, and of one the s
 # fixed values: elements and class words that are not the article
 ASIDE_TAGS = frozenset("nav aside footer form menu search dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+NAMED, PLAIN = "named ", ""  # kinds of pages, as they lead the names of their potentials
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer "
     "footer form header login masthead menu nav navbar navigation newsletter notice notices notification pagination popup promo promotion related "
@@ -38,6 +41,10 @@ ASIDE_WORDS = frozenset(
 )
 
 
+def page_kind(nodes: list[Node]) -> str:
+    return NAMED if any(n.tag in MAIN_TAGS for n in nodes) else PLAIN
+
+
 def _kind(node: Node) -> str:
     """Which parent-child potential holds for a node: text, an element named for a role, or another."""
     if node.tag == "#text":
@@ -65,7 +72,7 @@ STRONG_FEATURES = frozenset([f"tag {t}" for t in ASIDE_TAGS | MAIN_TAGS] + [f"wo
 
 def labels(nodes: list[Node]) -> list[int]:
     """1 content, 0 not, for every node; an element is content if all its text is."""
-    has_main = any(n.tag in MAIN_TAGS for n in nodes)
+    has_main = page_kind(nodes) == NAMED
     main, aside = [False] * len(nodes), [False] * len(nodes)
     out, size, content = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
     for i, n in enumerate(nodes):
@@ -85,12 +92,12 @@ def labels(nodes: list[Node]) -> list[int]:
 
 def count(nodes: list[Node], into: Counter) -> None:
     """Add a page's labelled features and parent-child pairs: (kind, state) to times."""
-    states = labels(nodes)
+    states, page = labels(nodes), page_kind(nodes)
     for i, n in enumerate(nodes[1:], 1):
-        into["all text" if n.tag == "#text" else "all node", states[i]] += 1
-        into[f"pair {_kind(n)} {states[n.parent]}", states[i]] += 1
+        into[f"{page}all text" if n.tag == "#text" else f"{page}all node", states[i]] += 1
+        into[f"{page}pair {_kind(n)} {states[n.parent]}", states[i]] += 1
         for f in _features(n):
-            into[f, states[i]] += 1
+            into[page + f, states[i]] += 1
 
 
 class TreeModel:
@@ -98,43 +105,46 @@ class TreeModel:
 
     def __init__(self, counts: dict[tuple[str, int], float]):
         total = Counter(counts)
-        for word in ASIDE_WORDS:
-            total[f"word {zlib.crc32(word.encode()) % BUCKETS}", 0] += PRIOR
-        for tag in (*ASIDE_TAGS, "header"):
-            total[f"tag {tag}", 0] += PRIOR
-        for tag in MAIN_TAGS:
-            total[f"tag {tag}", 1] += PRIOR
-        for kind in ("node", "text"):
-            for s in (0, 1):
-                total[f"pair {kind} {s}", s] += 2.0  # a child tends to be what its parent is
+        for page in (NAMED, PLAIN):
+            for word in ASIDE_WORDS:
+                total[f"{page}word {zlib.crc32(word.encode()) % BUCKETS}", 0] += PRIOR
+            for tag in (*ASIDE_TAGS, "header"):
+                total[f"{page}tag {tag}", 0] += PRIOR
+            for tag in MAIN_TAGS:
+                total[f"{page}tag {tag}", 1] += PRIOR
+            for kind in ("node", "text"):
+                for s in (0, 1):
+                    total[f"{page}pair {kind} {s}", s] += 2.0  # a child tends to be what its parent is
         self.total = total
         self.known: dict[str, float] = {}
 
-    def odds(self, feature: str, kind: str) -> float:
+    def odds(self, feature: str, kind: str, page: str = PLAIN) -> float:
         """Log of how much likelier the feature is at content than elsewhere, within bounds:
         pages on which a tag never stood elsewhere do not prove that it never does."""
-        if feature not in self.known:
-            one, zero = ((self.total[feature, s] + 0.5) / (self.total[f"all {kind}", s] + 1.0) for s in (1, 0))
-            seen = self.total[feature, 0] + self.total[feature, 1]
+        name = page + feature
+        if name not in self.known:
+            one, zero = ((self.total[name, s] + 0.5) / (self.total[f"{page}all {kind}", s] + 1.0) for s in (1, 0))
+            seen = self.total[name, 0] + self.total[name, 1]
             most = STRONG if feature in STRONG_FEATURES else WEAK
-            self.known[feature] = max(-most, min(most, math.log(one / zero))) if seen else 0.0
-        return self.known[feature]
+            self.known[name] = max(-most, min(most, math.log(one / zero))) if seen else 0.0
+        return self.known[name]
 
-    def pair(self, kind: str) -> list[list[float]]:
+    def pair(self, kind: str, page: str = PLAIN) -> list[list[float]]:
         """P(child state | parent state)."""
-        rows = [[self.total[f"pair {kind} {p}", s] + 0.5 for s in (0, 1)] for p in (0, 1)]
+        rows = [[self.total[f"{page}pair {kind} {p}", s] + 0.5 for s in (0, 1)] for p in (0, 1)]
         ones = [min(1 - LEAST, max(LEAST, r[1] / sum(r))) for r in rows]
         return [[1 - one, one] for one in ones]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node by sum-product: leaves to root, then root to leaves."""
-        pairs = {k: self.pair(k) for k in ("node", "text", "role")}
+        page = page_kind(nodes)
+        pairs = {k: self.pair(k, page) for k in ("node", "text", "role")}
         kinds = [_kind(n) for n in nodes]
         up = [[1.0, 1.0] for _ in nodes]  # evidence at and below a node, by state
         to_parent: list[list[float]] = [[1.0, 1.0] for _ in nodes]
         for i in range(len(nodes) - 1, 0, -1):
             n = nodes[i]
-            weight = sum(self.odds(f, "text" if n.tag == "#text" else "node") for f in _features(n))
+            weight = sum(self.odds(f, "text" if n.tag == "#text" else "node", page) for f in _features(n))
             e = math.exp(max(-30.0, min(30.0, weight)))
             a, b = up[i][0], up[i][1] * e
             a, b = a / (a + b), b / (a + b)
@@ -176,7 +186,7 @@ def learn(pages: DataFrame, html_col: str = "html") -> TreeModel:
 
     rows = pages.select(F.col(html_col).alias("html")).mapInArrow(counted, "kind string, state int, n double")
     # tags of fewer than three pages' worth of nodes say too little to be worth their row
-    sums = rows.groupBy("kind", "state").agg(F.sum("n").alias("n")).filter((F.col("n") > 2) | ~F.col("kind").startswith("tag "))
+    sums = rows.groupBy("kind", "state").agg(F.sum("n").alias("n")).filter((F.col("n") > 2) | ~F.col("kind").rlike(f"^({NAMED})?tag "))
     return TreeModel({(r["kind"], r["state"]): r["n"] for r in sums.collect()})  # bounded by tags and buckets
 
 
