@@ -414,3 +414,30 @@ def test_a_hot_anchor_is_split(spark, monkeypatch):
     want = {i: int(m.sum()) for i, m in enumerate(removed([t.encode() for t in texts], 200, lambda s, i, n: s[i : i + n]))}
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.duplicate_bytes(frame).collect()}
     assert got == want and sum(n > 0 for n in want.values()) > 200
+
+
+def test_small_edits_are_found(spark):
+    """One and three changed words of 248: which documents were found, not only how many."""
+    from veta.llm import queries
+    rng = np.random.default_rng(8)
+    make = lambda: [f"w{i}" for i in rng.integers(0, 5000, 248)]
+    rows = []
+    for i in range(100):
+        base = make()
+        rows.append((10 * i, " ".join(base)))
+        for changed in (1, 3):
+            other = list(base)
+            for j in rng.choice(248, changed, replace=False):
+                other[j] = "new"
+            rows.append((10 * i + changed, " ".join(other)))
+    found = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    asked = found.filter("doc_id % 10 = 0")
+    classes = fingerprints.near_classes(found, asked, queries.NEAR_BITS)
+    got = {(r["doc_id"], r["found_id"]) for r in classes.join(fingerprints.members(found), ["fp", "fp2"]).collect()}
+    assert all(a // 10 == b // 10 for a, b in got)
+    share = {c: sum((10 * i, 10 * i + c) in got for i in range(100)) for c in (0, 1, 3)}
+    print("found of 100", share)
+    assert share[0] == 100 and share[1] >= 95 and share[3] >= 70
+    near = {(r["fp"], r["fp2"]): r["n_near"] for r in fingerprints.near_counts(found, asked, queries.NEAR_BITS).collect()}
+    for r in asked.collect():
+        assert near[r["fp"], r["fp2"]] == sum(a == r["doc_id"] for a, _ in got)

@@ -1,4 +1,4 @@
-"""Document fingerprints: 128 signed bit votes over weighted terms, and permuted block tables.
+"""Document fingerprints: 128 signed bit votes over weighted terms, and a search by block tables.
 
 Terms are runs of two words; a term's weight is the number of times the text has it, so each
 occurrence votes. All steps are built-in DataFrame functions.
@@ -14,12 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veta.llm.simhash import hex16, simhash
-from veta.llm.simhash_dedup import signed
 from veta.llm.text import shingle_hashes, store, text_or_empty
 
 TERM_WORDS = 2
 BITS = 128
-BLOCKS = ((0, 22), (22, 21), (43, 21))  # (first bit, width) in each of the two 64-bit words
+BLOCK_BITS = 32  # two blocks in each of the two 64-bit words, a table led by each
+MOST_FLIPS = 2  # bits in which a block may differ from the query's
 RANGE_CHARS = 32_000_000  # text of one key range
 MAX_RANGES = 100_000  # beyond that ranges grow; windows spill, so only the task length changes
 
@@ -128,37 +128,51 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _tables(radius: int) -> list[tuple[int, int]]:
-    """Masks (word 0, word 1) of the permuted tables: each keeps all blocks but `radius`."""
-    blocks = [(word, ((1 << width) - 1) << first) for word in (0, 1) for first, width in BLOCKS]
-    out = []
-    for kept in combinations(blocks, len(blocks) - radius):
-        out.append(tuple(signed(sum(m for w, m in kept if w == word)) for word in (0, 1)))
-    return out
+def _blocks(a: Column, b: Column) -> list[Column]:
+    return [F.shiftrightunsigned(w, first).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for w in (a, b) for first in (0, BLOCK_BITS)]
 
 
-def near_counts(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
-    """For every distinct query (fp, fp2): n_near, the rows of prints within `radius` bits.
+def near_pairs(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """q, q2, fp, fp2, bits, n: the distinct fingerprints of prints within `radius` bits of each
+    distinct query (fp, fp2), and the n rows that have them.
 
-    Two fingerprints within `radius` bits differ in at most that many of six blocks, so they
-    agree in the other blocks, and meet in the table that leads with those. A pair counts in
-    the first table it meets in, after the whole fingerprints were compared. Radius 0 to 5.
+    Of four blocks one differs in at most a quarter of the bits in which the whole differs, so a
+    query looks in each block's table for the block itself and for all its changes of so many
+    bits. A pair counts in the first table it meets in, after the whole fingerprints were
+    compared. Radius 0 to 11.
     """
-    if not 0 <= radius < 2 * len(BLOCKS):
-        raise ValueError("radius must lie between 0 and 5")
-    masks = _tables(radius)
+    flips = radius // 4
+    if not 0 <= flips <= MOST_FLIPS:
+        raise ValueError("radius must lie between 0 and 11")
+    masks = [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)]
+    changes = F.array(*(F.lit(m).cast("bigint") for m in masks))
+    asked = queries.select(F.col("fp").alias("q"), F.col("fp2").alias("q2")).distinct()
+    asked = asked.select("q", "q2", F.posexplode(F.array(*_blocks(F.col("q"), F.col("q2")))).alias("t", "_b"))
+    asked = asked.select("q", "q2", "t", "_b", F.explode(changes).alias("_m")).select("q", "q2", "t", F.col("_b").bitwiseXOR(F.col("_m")).alias("k"))
+    rows = prints.groupBy("fp", "fp2").agg(F.count("*").alias("n"))
+    rows = rows.select("fp", "fp2", "n", F.posexplode(F.array(*_blocks(F.col("fp"), F.col("fp2")))).alias("t", "k"))
+    x, x2 = F.col("q").bitwiseXOR(F.col("fp")), F.col("q2").bitwiseXOR(F.col("fp2"))
+    bits = (F.bit_count(x) + F.bit_count(x2)).cast("int")
+    first = F.coalesce(*(F.when(F.bit_count(b) <= flips, i) for i, b in enumerate(_blocks(x, x2))))
+    met = asked.join(rows, ["t", "k"]).filter((bits <= radius) & (F.col("t") == first))
+    return met.select("q", "q2", "fp", "fp2", bits.alias("bits"), "n")
 
-    def indexed(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
-        tables = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(m).cast("bigint").alias("m"), F.lit(m2).cast("bigint").alias("m2")) for i, (m, m2) in enumerate(masks)))
-        out = df.select(F.col("fp").alias(a), F.col("fp2").alias(b), *more, F.explode(tables).alias("_t"))
-        return out.select(a, b, *more, F.col("_t.t").alias("t"), F.col(a).bitwiseAND(F.col("_t.m")).alias("k"), F.col(b).bitwiseAND(F.col("_t.m2")).alias("k2"))
 
-    rows = prints.groupBy("fp", "fp2").agg(F.count("*").alias("n"))
-    asked = indexed(queries.select("fp", "fp2").distinct(), "q", "q2")
-    x, x2 = F.col("q").bitwiseXOR(F.col("p")), F.col("q2").bitwiseXOR(F.col("p2"))
-    first = F.coalesce(*(F.when((x.bitwiseAND(F.lit(m)) == 0) & (x2.bitwiseAND(F.lit(m2)) == 0), i) for i, (m, m2) in enumerate(masks)))
-    met = asked.join(indexed(rows, "p", "p2", "n"), ["t", "k", "k2"]).filter((F.bit_count(x) + F.bit_count(x2) <= radius) & (F.col("t") == first))
-    return met.groupBy(F.col("q").alias("fp"), F.col("q2").alias("fp2")).agg(F.sum("n").alias("n_near"))
+def near_classes(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, fp2, bits: the fingerprints found for every distinct query (doc_id, fp, fp2)."""
+    asked = queries.select("doc_id", F.col("fp").alias("q"), F.col("fp2").alias("q2")).distinct()
+    return asked.join(near_pairs(prints, queries, radius), ["q", "q2"]).select("doc_id", "fp", "fp2", "bits")
+
+
+def members(prints: DataFrame) -> DataFrame:
+    """fp, fp2, found_id: the documents of every fingerprint that near_classes finds."""
+    return prints.select("fp", "fp2", F.col("doc_id").alias("found_id")).distinct()
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """For every distinct query (fp, fp2): n_near, the rows of prints within `radius` bits."""
+    near = near_pairs(prints, queries, radius)
+    return near.groupBy(F.col("q").alias("_q"), F.col("q2").alias("_q2")).agg(F.sum("n").alias("n_near")).select(F.col("_q").alias("fp"), F.col("_q2").alias("fp2"), "n_near")
 
 
 def hex32(a: Column, b: Column) -> Column:

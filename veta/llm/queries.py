@@ -16,12 +16,12 @@ from veta.llm import (
 )
 from veta.llm.text import store, table
 
-NEAR_BITS = 3
+NEAR_BITS = 11  # what a few changed words of a text move, see README
 SEARCH_EVERY = 50
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also n_near: for ids divisible by 50, the documents within 3 bits by the block tables."""
+    """Also n_near: for ids divisible by 50, the documents within NEAR_BITS bits by the block tables."""
     found = store(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
     asked = found.filter(F.col("doc_id") % SEARCH_EVERY == 0)
     near = fingerprints.near_counts(found, asked, NEAR_BITS)
