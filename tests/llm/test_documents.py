@@ -441,3 +441,10 @@ def test_small_edits_are_found(spark):
     near = {(r["fp"], r["fp2"]): r["n_near"] for r in fingerprints.near_counts(found, asked, queries.NEAR_BITS).collect()}
     for r in asked.collect():
         assert near[r["fp"], r["fp2"]] == sum(a == r["doc_id"] for a, _ in got)
+
+
+def test_ranges_of_repeated_rows_are_listed_once(spark):
+    from veta.llm import windows
+    keyed = windows.keyed(spark.createDataFrame([(1, "a b c")] * 20, "doc_id bigint, text string"), "doc_id", "text")
+    ranges = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("lo"), F.lit(1).alias("hi"))
+    assert [len(r["_ranges"]) for r in windows.with_ranges(keyed, ranges).collect()] == [1] * 20

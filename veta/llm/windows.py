@@ -162,7 +162,7 @@ def with_edges(keyed_docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_ranges(keyed_docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """keyed_docs plus _ranges: the (lo, hi) first and last starts of its repeated windows."""
-    lists = ranges.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
+    lists = ranges.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
     return keyed_docs.join(lists, ["_d", "_t"], "left")
 
 
