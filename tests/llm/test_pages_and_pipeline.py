@@ -97,7 +97,8 @@ def test_pipeline(spark):
 def test_twins(spark, name):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for name_ in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SMALL}/{name_}.parquet'")
     result = con.execute(entry.LLM_ORACLES[name])
     names = [c[0] for c in result.description]
     frame = entry.queries()[name](spark, str(SMALL))

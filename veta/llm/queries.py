@@ -1,7 +1,7 @@
 """The operators of this package as queries; each returns the columns its contract names.
 
-Whole tables, production parameters. Only the mix can be said in SQL: the others rest on
-hashes, encoders or trained models that SQL does not have.
+Whole tables, production parameters. The mix, the archives and the hard negatives can be said in
+SQL: the others rest on hashes, encoders, alignments or trained models that SQL does not have.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veta.llm import (
-    fingerprints, html_extract, lm, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts,
+    conversation_repair, fingerprints, hard_negatives, html_extract, lm, mixing, packing, quality_rules, simhash_dedup, substring_dedup,
+    suffix_dedup, token_counts, warc,
 )
 from veta.llm.text import store, table
 
@@ -114,11 +115,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawled = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.resolved(warc.deduplicate(crawled)).drop("url")
+
+
+OP11_SQL = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INT AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_quality_rules, op3_token_counts, op4_simhash_dedup, op5_lm_scoring, op6_mixing, op7_suffix_dedup,
-        op8_html_extraction, op9_substring_dedup, op10_packing,
+        op8_html_extraction, op9_substring_dedup, op10_packing, op11_warc, op12_hard_negatives, op13_conversation_repair,
     )
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op11_warc": OP11_SQL, "op12_hard_negatives": OP12_SQL}
