@@ -65,7 +65,7 @@ def quantiles_exact(spark, d):
     from veta.functions.quantiles import exact_quantiles
 
     ps = (0.0, 0.001, 0.1, 0.5, 0.9, 0.999, 1.0)
-    q = exact_quantiles(fx.event_model(spark, d).select("value"), {"value": ps}, direct_rows=0)[()]["value"]
+    q = exact_quantiles(fx.event_model(spark, d).select("value"), {"value": ps})[()]["value"]
     row = tuple(q[p] for p in ps)
     return rounded(spark.createDataFrame([row], ", ".join(f"p{round(p * 1000):03d} double" for p in ps)))
 

@@ -1,5 +1,6 @@
 """Quantile search, running totals, rank lookups, draws and tail probabilities."""
 
+import itertools
 import math
 
 import numpy as np
@@ -30,47 +31,67 @@ def _shapes():
     }
 
 
-@pytest.mark.parametrize("shape", list(_shapes()))
-def test_search_equals_sorting(spark, shape):
+SEARCHES = {"as set": {}, "cut again": {"STEPS": 1, "PARTS": 7, "INSIDE": 40}, "one cell a sign": {"STEPS": 0}}
+
+
+def _set(monkeypatch, search):
+    for name, value in SEARCHES[search].items():
+        monkeypatch.setattr(quantiles, name, value)
+
+
+@pytest.mark.parametrize("shape, search", [*zip(_shapes(), itertools.cycle(SEARCHES)), ("heavy", "cut again"), ("hot", "cut again"), ("infinite", "cut again")])
+def test_search_equals_sorting(spark, monkeypatch, shape, search):
+    _set(monkeypatch, search)
     values = np.sort(_shapes()[shape])
-    df = _frame(spark, values)
     ranks = [0, 1, 17, len(values) // 2, len(values) // 2 + 1, len(values) - 1]
-    found = quantiles.order_statistics(df, [((), "x", r) for r in ranks], sample_rows=100)
-    assert [found[((), "x", r)] for r in ranks] == [values[r] for r in ranks]
+    ps = [r / (len(values) - 1) for r in ranks]
+    found = quantiles.exact_quantiles(_frame(spark, values), {"x": ps})[()]["x"]
+    for r, p in zip(ranks, ps):
+        at = (len(values) - 1) * p  # the product may miss the rank by a rounding
+        low, high = values[math.floor(at)], values[math.ceil(at)]
+        assert found[p] == (low if low == high or at == math.floor(at) else low + (at - math.floor(at)) * (high - low))
+        assert found[p] == values[r] or found[p] == pytest.approx(values[r], rel=1e-9, abs=1e-9)
 
 
-def test_quantiles_direct_and_searched_agree(spark):
+def test_quantiles_leave_out_nulls(spark):
     values = [*_shapes()["heavy"].tolist(), None, None]
-    df = _frame(spark, values)
-    direct = quantiles.exact_quantiles(df, {"x": PS})[()]["x"]
-    searched = quantiles.exact_quantiles(df, {"x": PS}, direct_rows=0)[()]["x"]
-    expected = np.quantile(_shapes()["heavy"], PS)
-    assert list(direct.values()) == pytest.approx(expected, rel=1e-12)
-    assert list(searched.values()) == pytest.approx(expected, rel=1e-12)
+    found = quantiles.exact_quantiles(_frame(spark, values), {"x": PS})[()]["x"]
+    assert list(found.values()) == pytest.approx(np.quantile(_shapes()["heavy"], PS), rel=1e-12)
+
 
+def test_quantiles_of_many_rows(spark):
+    df = spark.range(200_000, numPartitions=7).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    rows = np.array([tuple(r) for r in df.collect()])
+    found = quantiles.exact_quantiles(df, {"x": PS, "y": PS})[()]
+    assert list(found["x"].values()) == pytest.approx(np.quantile(rows[:, 0], PS), rel=1e-12)
+    assert list(found["y"].values()) == np.quantile(rows[:, 1], PS).tolist()
 
-def test_quantiles_by_group_with_a_hot_group(spark):
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_quantiles_by_group_with_a_hot_group(spark, monkeypatch, search):
+    _set(monkeypatch, search)
     rng = np.random.default_rng(5)
-    groups = ["hot"] * 4000 + ["cold"] * 50 + [None] * 30
-    values = rng.normal(size=len(groups))
+    groups = ["hot"] * 4000 + ["cold"] * 50 + [None] * 30 + ["empty"] * 2
+    values = [*rng.normal(size=len(groups) - 2).tolist(), None, None]
     df = _frame(spark, values, groups)
-    found = quantiles.exact_quantiles(df, {"x": PS}, ["g"], direct_rows=0)
+    found = quantiles.exact_quantiles(df, {"x": PS}, ["g"])
     for g in ("hot", "cold", None):
         mine = [v for v, k in zip(values, groups) if k == g]
         assert list(found[(g,)]["x"].values()) == pytest.approx(np.quantile(mine, PS), rel=1e-12)
+    assert set(found[("empty",)]["x"].values()) == {None}
+
+
+def test_quantiles_of_more_groups_than_the_driver_needs(spark):
+    df = spark.range(60_000).select((F.col("id") % 15_000).alias("g"), F.col("id").cast("double").alias("x"))
+    table = quantiles.quantile_table(df, {"x": [0.5]}, ["g"])
+    assert table.count() == 15_000
+    assert table.where("q_x_0 <> g + 22500").count() == 0
 
 
 def test_quantiles_of_nothing(spark):
     df = _frame(spark, [None, None])
     assert quantiles.exact_quantiles(df, {"x": [0.5]})[()]["x"] == {0.5: None}
-    assert quantiles.exact_quantiles(df.where("false"), {"x": [0.5]}, direct_rows=-1)[()]["x"] == {0.5: None}
-
-
-def test_wrong_guess_is_corrected(spark):
-    values = np.arange(1000.0)
-    target = ((), "x", 700)
-    found = quantiles.order_statistics(_frame(spark, values), [target], sample_rows=50, guesses={target: (10.0, 20.0, 9)})
-    assert found[target] == 700.0
+    assert quantiles.exact_quantiles(df.where("false"), {"x": [0.5]})[()]["x"] == {0.5: None}
 
 
 @pytest.mark.parametrize("kind", ["number", "text"])
@@ -160,5 +181,4 @@ def test_split_and_folds_draw_independently(spark):
 
 def test_nan_in_exact_quantiles_counts_as_missing(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)] + [(float("nan"),), (None,)], "x double")
-    for direct in (None, 1):
-        assert quantiles.exact_quantiles(df, {"x": [0.5]}, direct_rows=direct)[()]["x"][0.5] == 5.0
+    assert quantiles.exact_quantiles(df, {"x": [0.5]})[()]["x"][0.5] == 5.0

@@ -252,13 +252,14 @@ def test_normality_and_breusch_pagan(spark, frame, gram):
 def test_splits(spark, frame):
     exact = split.train_test_split(frame, "id", 0.2, exact=True).groupBy("split").count()
     assert {r["split"]: r["count"] for r in exact.collect()} == {"test": 120, "train": 480}
-    twins = spark.range(100).selectExpr("id % 4 as id")
-    with pytest.raises(ValueError):
-        split.MAX_TIES, old = 10, split.MAX_TIES
-        try:
-            split.train_test_split(twins, "id", 0.3, exact=True)
-        finally:
-            split.MAX_TIES = old
+    classes = spark.range(30_000).selectExpr("id", "cast(id % 12000 as string) as t")  # a class of two or three rows each
+    exact = split.train_test_split(classes, "id", 0.25, stratify="t", exact=True)
+    assert exact.where("split = 'test'").count() == 7_500
+    assert exact.groupBy("t").agg(F.count_if(F.col("split") == "test").alias("n")).agg(F.max("n")).first()[0] == 1
+    twins = spark.range(100).selectExpr("id % 4 as id")  # rows of one key stay together
+    assert split.train_test_split(twins, "id", 0.25, exact=True).where("split = 'test'").count() == 25
+    nothing = split.train_test_split(frame.where("false"), "id", 0.2, stratify="t", exact=True)
+    assert nothing.columns == [*frame.columns, "split"] and nothing.count() == 0
     folds = split.stratified_kfold(frame, "id", "t", 5).groupBy("fold", "t").count().collect()
     sizes = {}
     for r in folds:

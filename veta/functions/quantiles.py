@@ -1,260 +1,192 @@
-"""Exact quantiles and order statistics without holding a column in one task.
-
-Small inputs use Spark's ``percentile``.  Larger ones are answered by sampling
-selection: a sample brackets the wanted rank, one aggregate counts the rows on
-either side of the bracket and samples its inside, and the bracket shrinks until
-the few rows left inside it are read.  Counts are exact in every round, so the
-sample only decides how many rounds are needed, never the result.
+"""Exact quantiles of any number of columns and groups, found inside Spark.
+
+One aggregate counts every column in cells of a logarithmic scale, each with its least and
+greatest value; running totals over the cells say which cell holds a wanted rank and how many
+values precede it.  The next scan reads only values of those cells and counts them one by one.  A
+cell of very many rows is cut into equal parts between its least and greatest value first, until
+what is left is few.  Cells are in value order and counts are exact, so the result is, whatever the
+cells are; a task sees a bounded number of cells, and only answers reach the driver.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterable
-from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veta.functions.scalars import is_float, nan_to_null
+from veta.functions.scalars import is_float
+from veta.functions.staging import stage
 
-DIRECT_ROWS = 400_000  # values over all columns and groups
-SAMPLE_ROWS = 30_000
-MAX_GROUPS = 10_000
-SEED = 20_011
+STEPS = 128  # first cells per doubling of the absolute value
+PARTS = 4_096  # equal parts a large cell is cut into
+INSIDE = 2_000_000  # rows of a cell beyond which it is cut again
 
 Group = tuple
-Target = tuple[Group, str, int]
+# the value at a rank, where the cell alone tells it
+VALUE = "CASE WHEN _lo = _hi THEN _lo WHEN _rank = _start THEN _lo WHEN _rank = _start + _n - 1 THEN _hi END"
+COUNTS = ["count(_v) AS _n", "min(_v) AS _lo", "max(_v) AS _hi"]
 
 
-def _groups(rows, by: list[str]) -> dict[Group, object]:
-    return {tuple(r[b] for b in by): r for r in rows}
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def group_counts(df: DataFrame, columns: list[str], by: list[str]) -> dict[Group, dict[str, int]]:
-    """Non-null rows per column and group; the group table is checked for size."""
-    counts = [F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]
-    rows = df.groupBy(*by).agg(*counts).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}; group by a coarser column")
-    return {
-        g: {c: r[f"n{i}"] for i, c in enumerate(columns)} for g, r in _groups(rows, by).items()
-    }
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
 
 
-def exact_quantiles(
-    df: DataFrame,
-    probabilities: dict[str, Iterable[float]],
-    by: Iterable[str] = (),
-    counts: dict[Group, dict[str, int]] | None = None,
-    direct_rows: int | None = None,
-) -> dict[Group, dict[str, dict[float, float | None]]]:
-    """Linear-interpolated quantiles {group: {column: {p: value}}}.
+def _log_cell() -> str:
+    """Number of the first cell of a value, in value order: zero and the infinities have their own."""
+    middle = 2_500 * STEPS + 1  # so that cell numbers of positive values are positive
+    size = f"CASE WHEN abs(_v) = double('inf') THEN {2 * middle} ELSE floor(log2(abs(_v)) * {STEPS}) + {middle} END"
+    return f"double(CASE WHEN _v = 0 THEN 0 WHEN _v > 0 THEN {size} ELSE -({size}) END)"
 
-    Columns must be double; NaN counts as missing, like NULL.  The single group
-    of an ungrouped call is the empty tuple.
-    """
+
+def _cut_cell(n: str, v: str, lo: str, hi: str) -> str:
+    """Cell of a later round: the value itself, or its part of a cell of many rows."""
+    return f"CASE WHEN {n} <= {INSIDE} THEN {v} ELSE double(floor(({v} - {lo}) / ({hi} - {lo}) * {PARTS})) END"
+
+
+def _long(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    keys = [_quoted(b) for b in by]
+    each = ", ".join(f"struct({i} AS _i, {_quoted(c)} AS _v)" for i, c in enumerate(columns))
+    return values.selectExpr(*keys, f"explode(array({each})) AS _x").selectExpr(*keys, "_x._i", "_x._v")
+
+
+def _with_ranks(cells: DataFrame, part: list[str], before: str, total: str, ranks: str, keep: list[str]) -> DataFrame:
+    """One row per wanted rank: the cell that holds it; a group without values keeps a row without rank."""
+    keys = ", ".join(part)
+    running = f"sum(_n) OVER (PARTITION BY {keys} ORDER BY _cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    placed = cells.selectExpr("*", f"{before} + {running} - _n AS _start", f"{total} AS _sum")
+    here = f"array_distinct(filter({ranks}, r -> r >= _start AND r < _start + _n)) AS _here"
+    held = placed.selectExpr(*keep, "_i", "_sum AS _total", "_start", "_n", "_lo", "_hi", here).where("size(_here) > 0 OR _total = 0")
+    return held.selectExpr(*keep, "_i", "_total", "explode_outer(_here) AS _rank", "_start", "_n", "_lo", "_hi")
+
+
+def _first_round(values: DataFrame, by: list[str], ps: dict[str, list[float]]) -> DataFrame:
+    keys = [_quoted(b) for b in by]
+    cells = _long(values, by, list(ps)).selectExpr(*keys, "_i", "_v", f"{_log_cell()} AS _cell")
+    cells = cells.groupBy(*by, "_i", "_cell").agg(*[F.expr(c) for c in COUNTS])
+    wanted = " ".join(f"WHEN {i} THEN array({', '.join(_double(p) for p in ps[c])})" for i, c in enumerate(ps))
+    low = f"transform(CASE _i {wanted} END, p -> floor((_sum - 1) * p))"
+    ranks = f"CASE WHEN _sum > 0 THEN concat({low}, transform({low}, r -> least(r + 1, _sum - 1))) ELSE array() END"
+    part = [*keys, "_i"]
+    return _with_ranks(cells, part, "0", f"sum(_n) OVER (PARTITION BY {', '.join(part)})", ranks, keys)
+
+
+def _next_round(inside: DataFrame, by: list[str]) -> DataFrame:
+    """`inside` holds (by, _i, _total, _before, _ranks, _cell, _v) for every value in an open cell."""
+    keys = [_quoted(b) for b in by]
+    cells = inside.groupBy(*by, "_i", "_before", "_cell").agg(*[F.expr(c) for c in [*COUNTS, "first(_ranks) AS _ranks", "first(_total) AS _total"]])
+    return _with_ranks(cells, [*keys, "_i", "_before"], "_before", "_total", "_ranks", keys)
+
+
+def _inside_listed(values: DataFrame, columns: list[str], open_: list[dict]) -> DataFrame:
+    """Values in the open cells of an ungrouped search; the cells are literals."""
+    holds, hits = [], []
+    for s in open_:
+        v, lo, hi = _quoted(columns[s["_i"]]), _double(s["_lo"]), _double(s["_hi"])
+        holds.append(f"({v} BETWEEN {lo} AND {hi})")
+        ranks = ", ".join(f"bigint({r})" for r in s["_ranks"])
+        hits.append(
+            f"CASE WHEN {holds[-1]} THEN struct({s['_i']} AS _i, bigint({s['_total']}) AS _total, bigint({s['_start']}) AS _before, "
+            f"{_cut_cell(str(s['_n']), v, lo, hi)} AS _cell, {v} AS _v, array({ranks}) AS _ranks) END"
+        )
+    return values.where(" OR ".join(holds)).selectExpr(f"explode(array_compact(array({', '.join(hits)}))) AS _x").selectExpr("_x.*")
+
+
+def _inside_joined(values: DataFrame, columns: list[str], by: list[str], open_: DataFrame) -> DataFrame:
+    """Values in the open cells of all groups."""
+    keys = [_quoted(b) for b in by]
+    cells = open_.groupBy(*by, "_i", "_total", "_start", "_n", "_lo", "_hi").agg(F.collect_list("_rank").alias("_ranks"))
+    named = [f"{k} AS _by{i}" for i, k in enumerate(keys)]
+    cells = cells.selectExpr(*named, "_i AS _of", "_total", "_start AS _before", "_n", "_lo", "_hi", "_ranks")
+    on = " AND ".join([*[f"{k} <=> _by{i}" for i, k in enumerate(keys)], "_i = _of", "_v BETWEEN _lo AND _hi"])
+    joined = _long(values, by, columns).where("_v IS NOT NULL").join(cells, F.expr(on))
+    return joined.selectExpr(*keys, "_i", "_total", "_before", f"{_cut_cell('_n', '_v', '_lo', '_hi')} AS _cell", "_v", "_ranks")
+
+
+def _values(df: DataFrame, probabilities: dict[str, Iterable[float]], by: list[str]) -> tuple[DataFrame, dict[str, list[float]]]:
+    ps = {c: sorted({float(p) for p in wanted}) for c, wanted in probabilities.items()}
+    ps = {c: wanted for c, wanted in ps.items() if wanted}
+    types = {f.name: f.dataType for f in df.schema}
+    clean = {c: f"nullif(double({_quoted(c)}), double('nan'))" if is_float(types[c]) else f"double({_quoted(c)})" for c in ps}
+    return df.selectExpr(*[_quoted(b) for b in by], *[f"{clean[c]} AS {_quoted(c)}" for c in ps]), ps
+
+
+def quantile_table(df: DataFrame, probabilities: dict[str, Iterable[float]], by: Iterable[str]) -> DataFrame:
+    """Quantiles of every group, however many there are: (by..., q_<column>_<j>) with j in order of p."""
     by = list(by)
-    df = df.withColumns({c: nan_to_null(F.col(c)) for c in probabilities if c not in by and is_float(df.schema[c].dataType)})
-    direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
-    wanted = {c: sorted(set(ps)) for c, ps in probabilities.items() if ps}
-    if not wanted:
-        return {}
-    if counts is None:
-        counts = group_counts(df, list(wanted), by)
-    if max((sum(n.values()) for n in counts.values()), default=0) <= direct_rows:
-        aggs = [
-            F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"q{i}")
-            for i, (c, ps) in enumerate(wanted.items())
-        ]
-        found = _groups(df.groupBy(*by).agg(*aggs).collect(), by)
-        return {
-            g: {
-                c: dict(zip(ps, r[f"q{i}"] or [None] * len(ps)))
-                for i, (c, ps) in enumerate(wanted.items())
-            }
-            for g, r in found.items()
-        }
-    targets: list[Target] = []
-    for g, n in counts.items():
-        for c, ps in wanted.items():
-            for p in ps:
-                if n[c]:
-                    h = (n[c] - 1) * p
-                    targets += [(g, c, math.floor(h)), (g, c, math.ceil(h))]
-    values = order_statistics(df, targets, by, counts)
-    result = {}
-    for g, n in counts.items():
-        result[g] = {}
-        for c, ps in wanted.items():
-            result[g][c] = {}
-            for p in ps:
-                if not n[c]:
-                    result[g][c][p] = None
-                    continue
-                h = (n[c] - 1) * p
-                low = values[(g, c, math.floor(h))]
-                high = values[(g, c, math.ceil(h))]
-                result[g][c][p] = low + (h - math.floor(h)) * (high - low)
-    return result
+    values, ps = _values(df, probabilities, by)
+    found = stage(_first_round(values, by, ps))
+    done = found.where(f"_rank IS NULL OR {VALUE} IS NOT NULL")
+    while True:
+        open_ = found.where(f"_rank IS NOT NULL AND {VALUE} IS NULL")
+        if open_.isEmpty():
+            break
+        found = stage(_next_round(_inside_joined(values, list(ps), by, open_), by))
+        done = done.unionByName(found.where(f"{VALUE} IS NOT NULL"))
+
+    def answer(i: int, c: str, j: int, p: float) -> str:
+        at = f"((_total - 1) * {_double(p)})"
+        low = f"max(CASE WHEN _i = {i} AND _rank = floor({at}) THEN {VALUE} END)"
+        high = f"max(CASE WHEN _i = {i} AND _rank = least(floor({at}) + 1, _total - 1) THEN {VALUE} END)"
+        part = f"max(CASE WHEN _i = {i} THEN {at} - floor({at}) END)"
+        return f"CASE WHEN {part} = 0 OR {low} = {high} THEN {low} ELSE {low} + {part} * ({high} - {low}) END AS {_quoted(f'q_{c}_{j}')}"
+
+    return done.groupBy(*by).agg(*[F.expr(answer(i, c, j, p)) for i, c in enumerate(ps) for j, p in enumerate(ps[c])])
+
 
+def exact_quantiles(
+    df: DataFrame, probabilities: dict[str, Iterable[float]], by: Iterable[str] = ()
+) -> dict[Group, dict[str, dict[float, float | None]]]:
+    """Linear-interpolated quantiles {group: {column: {p: value}}} on the driver.
 
-class _Bracket:
-    """Interval (lo, hi) known, or believed, to hold the value of one rank."""
-
-    def __init__(self, rank: int, rows: int, sample_rows: int, guess: tuple[float, float, float] | None):
-        self.rank, self.sample_rows = rank, sample_rows
-        self.lo, self.hi = -math.inf, math.inf
-        self.inside, self.below = rows, 0  # exact, for the last proven interval
-        self.proven = (self.lo, self.hi)
-        self.expected = float(rows)
-        self.margin = 4.0
-        if guess is not None:
-            self.lo, self.hi, self.expected = guess
-        self.value: float | None = None
-        self.next_value: float | None = None  # value of the following rank, when seen
-
-    @property
-    def keep(self) -> float:
-        """Share of the inside rows to return; everything (2 > any draw) when few."""
-        return 2.0 if self.expected <= 1.5 * self.sample_rows else self.sample_rows / self.expected
-
-    def update(self, counts: tuple[int, int, int, int], sample: list[float]) -> None:
-        lt_lo, le_lo, lt_hi, le_hi = counts
-        rank = self.rank
-        if lt_lo <= rank < le_lo:
-            self.value, self.next_value = self.lo, self.lo if rank + 1 < le_lo else None
-        elif lt_hi <= rank < le_hi:
-            self.value, self.next_value = self.hi, self.hi if rank + 1 < le_hi else None
-        elif le_lo <= rank < lt_hi:
-            self.below, self.inside = le_lo, lt_hi - le_lo
-            self.proven, self.expected = (self.lo, self.hi), float(self.inside)
-            at = rank - self.below
-            if len(sample) == self.inside:  # every value inside was returned
-                self.value = sample[at]
-                if at + 1 < len(sample):
-                    self.next_value = sample[at + 1]
-                elif rank + 1 < le_hi:
-                    self.next_value = self.hi
-            elif self.inside > 1.5 * self.sample_rows:
-                self._narrow(sample)
-        else:  # the sample missed: return to the proven interval, look wider
-            (self.lo, self.hi), self.expected = self.proven, float(self.inside)
-            self.margin *= 2
-
-    def _narrow(self, sample: list[float]) -> None:
-        size = len(sample)
-        if not size:
-            return
-        share = (self.rank - self.below + 0.5) / self.inside
-        spread = self.margin * math.sqrt(max(share * (1 - share), 1.0 / size) / size)
-        spread = min(spread, 0.2)  # a bracket always shrinks
-        left = math.floor((share - spread) * size) - 1
-        right = math.ceil((share + spread) * size) + 1
-        if left >= 0:
-            self.lo = sample[min(left, size - 1)]
-        if right < size:
-            self.hi = sample[max(right, 0)]
-        self.expected = self.inside * (min(right, size) - max(left, 0)) / size
-
-
-def order_statistics(
-    df: DataFrame,
-    targets: Iterable[Target],
-    by: Iterable[str] = (),
-    counts: dict[Group, dict[str, int]] | None = None,
-    sample_rows: int | None = None,
-    guesses: dict[Target, tuple[float, float, float]] | None = None,
-) -> dict[Target, float]:
-    """Values at 0-based ranks {(group, column, rank): value} among non-null rows.
-
-    A guess (lo, hi, rows expected between) saves the first round where the
-    distribution is known; a wrong one only costs a round.
+    Columns must be numeric; NaN counts as missing, like NULL.  The single group of an ungrouped
+    call is the empty tuple.  `quantile_table` leaves the answers of many groups in Spark.
     """
-    by, targets = list(by), sorted(set(targets), key=lambda t: (repr(t[:2]), t[2]))
-    size = SAMPLE_ROWS if sample_rows is None else sample_rows
-    guesses = guesses or {}
-    columns = sorted({c for _, c, _ in targets})
-    if not targets:
+    by = list(by)
+    values, ps = _values(df, probabilities, by)
+    if not ps:
         return {}
-    if counts is None:
-        counts = group_counts(df, columns, by)
-    if by and len(columns) > 1:
-        found = {}
-        for c in columns:
-            found |= order_statistics(df, [t for t in targets if t[1] == c], by, counts, size, guesses)
-        return found
-    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    brackets = {t: _Bracket(t[2], counts[t[0]][t[1]], size, guesses.get(t)) for t in targets}
-    for round_ in itertools.count():
-        for (g, c, k), b in brackets.items():  # a rank next to a found one often came along
-            before = brackets.get((g, c, k - 1))
-            if b.value is None and before is not None and before.next_value is not None:
-                b.value = before.next_value
-        active = {t: b for t, b in brackets.items() if b.value is None}
-        if not active:
-            return {t: b.value for t, b in brackets.items()}
-        # of two adjacent ranks only the lower one is searched at a time
-        leading = {t: b for t, b in active.items() if (t[0], t[1], t[2] - 1) not in active}
-        _search_round(values.withColumn("_draw", F.rand(SEED + round_)), by, leading)
-
-
-def _search_round(df: DataFrame, by: list[str], active: dict[Target, _Bracket]) -> None:
-    """Exact counts at both ends of every bracket, and a sample of its inside.
-
-    Both passes stay in generated code; the sample that reaches the driver is bounded
-    by the number of brackets times the sample size.
-    """
-    slots: dict[Group, list[Target]] = {}
-    for t in active:
-        slots.setdefault(t[0], []).append(t)
-    width = max(len(ts) for ts in slots.values())
     if by:
-        df = _join_limits(df, by, slots, active, width)
-    some = next(iter(slots.values()))
-    counts, draws, named, wanted = [], [], [], {}
-    for j in range(width):
-        if by:
-            column, key = some[0][1], (j,)
-            lo, hi, keep = F.col(f"_lo{j}"), F.col(f"_hi{j}"), F.col(f"_keep{j}")
-        else:
-            b, column = active[some[j]], some[j][1]
-            key = (column, b.lo, b.hi, b.keep)
-            lo, hi, keep = F.lit(b.lo), F.lit(b.hi), F.lit(b.keep)
-        if key not in wanted:  # equal brackets of a column are asked once
-            wanted[key] = j
-            v = F.col(column)
-            counts += [
-                F.count_if(v < lo).alias(f"a{j}"), F.count_if(v <= lo).alias(f"b{j}"),
-                F.count_if(v < hi).alias(f"c{j}"), F.count_if(v <= hi).alias(f"d{j}"),
-            ]
-            draws.append((F.col("_draw") < keep) & (v > lo) & (v < hi))
-        named.append(wanted[key])
-    columns = sorted({t[1] for t in active})
-    group = F.col("_group") if by else F.lit(0).alias("_group")
-    drawn = df.where(reduce(lambda a, b: a | b, draws)).select(group, "_draw", *columns).toArrow()
-    sample = {c: drawn.column(c).to_numpy() for c in drawn.column_names}
-    ends = {r["_group"]: r for r in df.groupBy(group).agg(*counts).collect()}
-    for i, targets in enumerate(slots.values()):
-        mine = sample["_group"] == i
-        draw = sample["_draw"][mine]
-        for n, t in zip(named, targets):
-            b, v = active[t], sample[t[1]][mine]
-            inside = np.sort(v[(draw < b.keep) & (v > b.lo) & (v < b.hi)]).tolist()
-            b.update(tuple(ends[i][f"{k}{n}"] for k in "abcd"), inside)
-
-
-def _join_limits(df, by, slots, active, width) -> DataFrame:
-    """Attach each group's number and limits; the table has one row per checked group."""
-    rows = []
-    for i, (g, ts) in enumerate(slots.items()):
-        cells = [(active[t].lo, active[t].hi, active[t].keep) for t in ts]
-        cells += [(0.0, 0.0, 0.0)] * (width - len(ts))
-        rows.append((i, *g, *[x for c in cells for x in c]))
-    fields = ["_group int", *[f"_g{i} {df.schema[b].dataType.simpleString()}" for i, b in enumerate(by)]]
-    fields += [f"_lo{j} double, _hi{j} double, _keep{j} double" for j in range(width)]
-    limits = df.sparkSession.createDataFrame(rows, ", ".join(fields))
-    on = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]
-    return df.join(F.broadcast(limits), on)
+        rows = quantile_table(df, ps, by).collect()
+        return {tuple(r[b] for b in by): {c: {p: r[f"q_{c}_{j}"] for j, p in enumerate(ps[c])} for c in ps} for r in rows}
+    around = _ranks_around(values, ps)
+    return {(): {c: {p: interpolated(*around[c][p]) for p in ps[c]} for c in ps}}
+
+
+def interpolated(low: float | None, high: float | None, part: float) -> float | None:
+    return low if low is None or not part or low == high else low + part * (high - low)
+
+
+def ranks_around(df: DataFrame, probabilities: dict[str, Iterable[float]]) -> dict[str, dict[float, tuple]]:
+    """{column: {p: (value at the rank below, value at the rank above, share of the way)}}."""
+    values, ps = _values(df, probabilities, [])
+    return _ranks_around(values, ps) if ps else {}
+
+
+def _ranks_around(values: DataFrame, ps: dict[str, list[float]]) -> dict[str, dict[float, tuple]]:
+    known: dict[tuple[int, int], float] = {}
+    totals: dict[int, int] = {}
+    found = _first_round(values, [], ps)
+    while True:
+        open_: dict[tuple[int, int], dict] = {}
+        for r in found.selectExpr("*", f"{VALUE} AS _value").collect():
+            totals[r["_i"]] = r["_total"]
+            if r["_value"] is not None:
+                known[r["_i"], r["_rank"]] = r["_value"]
+            elif r["_rank"] is not None:
+                open_.setdefault((r["_i"], r["_start"]), r.asDict() | {"_ranks": []})["_ranks"].append(r["_rank"])
+        if not open_:
+            break
+        found = _next_round(_inside_listed(values, list(ps), list(open_.values())), [])
+    result: dict[str, dict[float, tuple]] = {}
+    for i, c in enumerate(ps):
+        result[c] = {}
+        for p in ps[c]:
+            at = (totals.get(i, 0) - 1) * p
+            rank = int(at // 1)
+            result[c][p] = known.get((i, rank)), known.get((i, min(rank + 1, totals.get(i, 0) - 1))), at - rank
+    return result

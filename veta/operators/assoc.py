@@ -61,11 +61,17 @@ def bin_quintiles(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns(added)
 
 
-def level_columns(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
-    """Text level of each column: numbers binned, two-valued numbers and text as they are."""
-    columns = list(columns)
-    numeric = [c for c in columns if c in split_types(df)[0]]
-    edges = quintile_edges(df, numeric) if numeric else {}
+def level_columns(df: DataFrame, columns: Iterable[str], edges: dict[str, list[float]] | None = None) -> dict[str, Column]:
+    """Text level of each column: numbers binned, two-valued numbers and text as they are.
+
+    ``edges`` holds quantile edges that are known already.
+    """
+    columns, edges = list(columns), dict(edges or {})
+    numbers = set(split_types(df)[0])
+    numeric = [c for c in columns if c in numbers]
+    searched = [c for c in numeric if c not in edges]
+    edges |= quintile_edges(df, searched) if searched else {}
+    edges = {c: edges[c] for c in numeric}
     above = _above_minimum(df, edges)
     levels = {}
     for c in columns:
@@ -131,11 +137,13 @@ def cramers_v_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def cramers_v_ranking(df: DataFrame, columns: Iterable[str], target: str) -> DataFrame:
+def cramers_v_ranking(
+    df: DataFrame, columns: Iterable[str], target: str, edges: dict[str, list[float]] | None = None
+) -> DataFrame:
     """Cramer's V of every column with the target, all from one grouped job."""
     columns = list(columns)
     df = nulls_from_nan(df.select(*columns, target))
-    levels = level_columns(df, [*columns, target])
+    levels = level_columns(df, [*columns, target], edges)
     wide = df.select(
         levels[target].alias("target_level"), *[levels[c].alias(f"_{c}") for c in columns]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, quantile_table
 from ..functions.scalars import number
 from ..functions.tables import report
 from .assoc import row_normalized_crosstab
@@ -47,22 +47,17 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, by: str | None = None, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within k IQR, and outlier count per group."""
-    groups = [by] if by else []
-    values = df.select(*groups, number(df, column).alias("_x")).where(F.col("_x").isNotNull())
-    qs = exact_quantiles(values, {"_x": [0.25, 0.5, 0.75]}, groups)
-    rows = []
-    for g, q in qs.items():
-        q1, q2, q3 = (q["_x"][p] for p in (0.25, 0.5, 0.75))
-        rows.append((*g, q1, q2, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1)))
-    kind = f"_group {df.schema[by].dataType.simpleString()}, " if by else ""
-    limits = report(df.sparkSession, rows, kind + "q25 double, median double, q75 double, _lo double, _hi double")
-    x = F.col("_x")
-    if by:  # one row of limits per checked group
-        joined = values.join(F.broadcast(limits), F.col(by).eqNullSafe(F.col("_group")))
+    groups, ps, x = [by] if by else [], [0.25, 0.5, 0.75], F.col("_x")
+    values = df.select(*groups, number(df, column).alias("_x")).where(x.isNotNull())
+    if by:
+        qs = quantile_table(values, {"_x": ps}, groups)
+        limits = qs.select(F.col(by).alias("_group"), F.col("q__x_0").alias("q25"), F.col("q__x_1").alias("median"), F.col("q__x_2").alias("q75"))
+        joined = values.join(limits, F.col(by).eqNullSafe(F.col("_group")))
     else:
-        q1, q2, q3, low, high = rows[0] if rows else (None,) * 5
-        named = {"q25": q1, "median": q2, "q75": q3, "_lo": low, "_hi": high}
-        joined = values.withColumns({n: F.lit(v).cast("double") for n, v in named.items()})
+        found = exact_quantiles(values, {"_x": ps})[()]["_x"]
+        joined = values.withColumns({name: F.lit(found[p]).cast("double") for name, p in zip(("q25", "median", "q75"), ps)})
+    spread = k * (F.col("q75") - F.col("q25"))
+    joined = joined.withColumns({"_lo": F.col("q25") - spread, "_hi": F.col("q75") + spread})
     inside = x.between(F.col("_lo"), F.col("_hi"))
     return joined.groupBy(*groups, "q25", "median", "q75").agg(
         F.count("*").alias("n"), F.min(F.when(inside, x)).alias("whisker_low"),
@@ -136,7 +131,7 @@ def qq_points(df: DataFrame, column: str, points: int = 99, standardize: bool =
     x = F.col(column)
     row = numbers.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
     ps = [i / (points + 1) for i in range(1, points + 1)]
-    qs = exact_quantiles(numbers, {column: ps}, counts={(): {column: row["n"]}})[()][column]
+    qs = exact_quantiles(numbers, {column: ps})[()][column]
     rows = []
     for p in ps:
         v = qs[p]

@@ -25,8 +25,7 @@ def _outside(x: Column, q1: float | None, q3: float | None, k: float) -> Column:
 
 def _limits(numbers: DataFrame, columns: list[str]):
     stats = moments_of(numbers, columns, ["n", "mean", "std_pop"])
-    counts = {c: stats[c]["n"] for c in columns}
-    return stats, column_quantiles(numbers, {c: [0.25, 0.75] for c in columns}, counts, "exact")
+    return stats, column_quantiles(numbers, {c: [0.25, 0.75] for c in columns}, "exact")
 
 
 def _zscore_flag(x: Column, mean: float | None, std: float | None, limit: float) -> Column:
@@ -99,11 +98,10 @@ def outliers_to_null(df: DataFrame, columns: Iterable[str]) -> tuple[DataFrame,
     columns = list(columns)
     numbers = numeric_view(df, columns)
     stats = moments_of(numbers, columns, ["n", "mean", "std", "skew"])
-    counts = {c: stats[c]["n"] for c in columns}
-    qs = column_quantiles(numbers, {c: [0.25, 0.5, 0.75] for c in columns}, counts, "exact")
+    qs = column_quantiles(numbers, {c: [0.25, 0.5, 0.75] for c in columns}, "exact")
     skewed = [c for c in columns if stats[c]["n"] and not abs(stats[c]["skew"] or 0.0) < 1]
     away = numbers.select(*[F.abs(F.col(c) - qs[c][0.5]).alias(c) for c in skewed])
-    mads = column_quantiles(away, {c: [0.5] for c in skewed}, counts, "exact") if skewed else {}
+    mads = column_quantiles(away, {c: [0.5] for c in skewed}, "exact") if skewed else {}
     flags = {}
     for c in columns:
         x = number(df, c)

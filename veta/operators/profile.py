@@ -56,10 +56,10 @@ def moments_of(numbers: DataFrame, columns: list[str], names: Iterable[str] = ST
     return result
 
 
-def column_quantiles(numbers: DataFrame, wanted: dict[str, list[float]], counts: dict[str, int], method: str):
+def column_quantiles(numbers: DataFrame, wanted: dict[str, list[float]], method: str):
     """Quantiles of many columns, exact or from Spark's mergeable sketch."""
     if method == "exact":
-        return exact_quantiles(numbers, wanted, counts={(): counts}).get((), {})
+        return exact_quantiles(numbers, wanted).get((), {})
     row = numbers.agg(
         *[F.percentile_approx(c, ps, APPROX_ACCURACY).alias(f"q{i}") for i, (c, ps) in enumerate(wanted.items())]
     ).first()
@@ -74,7 +74,7 @@ def describe_numeric(df: DataFrame, columns: Iterable[str] | None = None, quanti
     numbers = numeric_view(df, columns)
     stats = moments_of(numbers, columns, ["n", "mean", "std", "min", "max", "skew", "kurtosis"])
     ps = [0.25, 0.5, 0.75]
-    qs = column_quantiles(numbers, {c: ps for c in columns}, {c: stats[c]["n"] for c in columns}, quantile)
+    qs = column_quantiles(numbers, {c: ps for c in columns}, quantile)
     rows = [
         (c, s["n"], s["mean"], s["std"], s["min"], *[qs[c][p] for p in ps], s["max"], s["skew"], s["kurtosis"])
         for c, s in stats.items()
@@ -93,7 +93,7 @@ def target_profile(df: DataFrame, column: str) -> DataFrame:
     """Profile of a candidate continuous target; text is parsed leniently."""
     numbers = numeric_view(df, [column])
     s = moments_of(numbers, [column], ["n", "missing", "mean", "std", "min", "max", "skew", "kurtosis"])[column]
-    q = column_quantiles(numbers, {column: TARGET_QUANTILES}, {column: s["n"]}, "exact")[column]
+    q = column_quantiles(numbers, {column: TARGET_QUANTILES}, "exact")[column]
     row = (
         column, s["n"], s["missing"], s["mean"], s["std"], s["min"], s["max"], s["skew"], s["kurtosis"],
         *[q[p] for p in TARGET_QUANTILES],
@@ -260,7 +260,7 @@ def continuous_issues(df: DataFrame, column: str) -> DataFrame:
         issues.append((column, "below_zero", row["below"], row["below"] / n))
     if row["above"]:
         issues.append((column, "above_hundred", row["above"], row["above"] / n))
-    q = column_quantiles(numbers, {column: [0.25, 0.75]}, {column: n}, "exact")[column]
+    q = column_quantiles(numbers, {column: [0.25, 0.75]}, "exact")[column]
     spread = 3 * (q[0.75] - q[0.25])
     if spread > 0:
         extreme = numbers.agg(F.count_if((x < q[0.25] - spread) | (x > q[0.75] + spread))).first()[0]

@@ -2,69 +2,70 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cumulative import running_totals
-from ..functions.quantiles import group_counts, order_statistics
 from ..functions.scalars import portable_uniform
 from ..functions.staging import stage
 
-MAX_TIES = 1_000
-
-
-def _quotas(counts: dict, share: float) -> dict:
-    """Exact test rows per class: floor of the fair share, largest remainders first."""
-    total = sum(counts.values())
-    wanted = math.ceil(round(share * total, 9))
-    fair = {g: wanted * n / total for g, n in counts.items()}
-    quota = {g: math.floor(f) for g, f in fair.items()}
-    order = sorted(fair, key=lambda g: (-(fair[g] - quota[g]), repr(g)))
-    for g in order[: wanted - sum(quota.values())]:
-        quota[g] += 1
-    return quota
-
-
-def _exact_cut(df: DataFrame, key: str, by: list[str], seed: int, share: float) -> Column:
-    """Condition that holds for exactly the quota of rows with the smallest draws."""
-    u = portable_uniform(key, f"split-{seed}")
-    drawn = df.select(*by, u.alias("_u"), F.col(key).cast("string").alias("_key"))
-    counts = {g: {"_u": n["_key"]} for g, n in group_counts(drawn, ["_key"], by).items()}
-    quota = _quotas({g: n["_u"] for g, n in counts.items()}, share)
-    targets, guesses = [], {}
-    for g, q in quota.items():
-        n = counts[g]["_u"]
-        wide = 6 * math.sqrt(q * max(n - q, 1) / n) / n if n else 0.0  # draws are uniform
-        for rank in (q - 1, q):
-            if 0 <= rank < n:
-                targets.append((g, "_u", rank))
-                guesses[targets[-1]] = (q / n - wide - 2 / n, q / n + wide + 2 / n, 2 * (wide * n + 2))
-    draws = order_statistics(drawn, targets, by, counts, guesses=guesses)
-    condition = F.lit(False)
-    for g, q in quota.items():
-        if not q:
-            continue
-        cut, following = draws[(g, "_u", q - 1)], draws.get((g, "_u", q))
-        group = F.lit(True)
-        for b, v in zip(by, g):
-            group = group & F.col(b).eqNullSafe(F.lit(v))
-        inside = u <= F.lit(cut)
-        if cut == following:  # equal draws on both sides of the cut: the key decides
-            inside = _break_ties(drawn.where(group), u, F.col(key).cast("string"), cut, q, key)
-        condition = condition | (group & inside)
-    return condition
-
-
-def _break_ties(drawn: DataFrame, u: Column, key: Column, cut: float, quota: int, name: str) -> Column:
-    below = drawn.where(F.col("_u") < cut).count()
-    tied = drawn.where(F.col("_u") == cut).select("_key").limit(MAX_TIES + 1).collect()
-    if len(tied) > MAX_TIES:
-        raise ValueError(f"{name} is not a unique row key: more than {MAX_TIES} rows share one draw")
-    first = sorted(r["_key"] for r in tied)[: quota - below]
-    return (u < F.lit(cut)) | ((u == F.lit(cut)) & key.isin(first))
+
+def _quotas(drawn: DataFrame, by: list[str], share: float) -> DataFrame:
+    """(by..., _n, _quota): test rows per class, the floor of the fair share, largest remainders first."""
+    classes = stage(drawn.groupBy(*by).agg(F.count("_key").alias("_n")))
+    total = F.sum("_n").over(W.partitionBy())  # a row per class from here on
+    wanted = F.ceil(F.round(F.lit(share) * total, 9))
+    classes = classes.withColumn("_wanted", wanted).withColumn("_fair", F.try_divide(F.col("_wanted") * F.col("_n"), total))
+    rest = F.col("_fair") - F.floor("_fair")
+    place = F.row_number().over(W.orderBy(rest.desc(), *[F.col(b).cast("string").asc_nulls_first() for b in by]))
+    short = F.col("_wanted") - F.sum(F.floor("_fair")).over(W.partitionBy())
+    return classes.select(*by, "_n", (F.floor("_fair") + (place <= short).cast("int")).alias("_quota"))
+
+
+def _cuts(drawn: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., _cut_u, _cut_key): the last row of each class, by draw and key, that is within its quota.
+
+    Draws are uniform, so an interval of six deviations around the quota's share holds it; rows
+    below are counted, rows inside are ranked.  A class whose interval misses is searched whole.
+    """
+    n, q = F.col("_n"), F.col("_quota")
+    wide = 6 * F.sqrt(q * F.greatest(n - q, F.lit(1)) / n) / n + 2 / n
+    limits = classes.where(q > 0).select(
+        *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], q.alias("_quota"), (q / n - wide).alias("_lo"), (q / n + wide).alias("_hi"),
+    )
+    on = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    scoped = drawn.join(limits, on) if by else drawn.crossJoin(limits)
+    names = [f"_by{i}" for i in range(len(by))]
+    counted = stage(
+        scoped.groupBy(*names, "_quota", "_lo", "_hi")
+        .agg(F.count_if(F.col("_u") < F.col("_lo")).alias("_a"), F.count_if(F.col("_u") <= F.col("_hi")).alias("_b"))
+        .withColumn("_held", (F.col("_a") < F.col("_quota")) & (F.col("_quota") <= F.col("_b")))
+        .select(
+            *names, F.col("_quota").alias("_q"), F.when(F.col("_held"), F.col("_a")).otherwise(0).alias("_below"),
+            F.when(F.col("_held"), F.col("_lo")).otherwise(-1.0).alias("_from"), F.when(F.col("_held"), F.col("_hi")).otherwise(2.0).alias("_to"),
+        )
+    )
+    inside = (drawn.join(counted, on) if by else drawn.crossJoin(counted)).where(F.col("_u").between(F.col("_from"), F.col("_to")))
+    rank = F.row_number().over(W.partitionBy(*names, "_q", "_below").orderBy("_u", "_key"))
+    last = inside.where(F.col("_key").isNotNull()).withColumn("_rank", F.col("_below") + rank).where(F.col("_rank") == F.col("_q"))
+    return last.select(*names, F.col("_u").alias("_cut_u"), F.col("_key").alias("_cut_key"))
+
+
+def _exact_split(df: DataFrame, key: str, by: list[str], seed: int, share: float) -> DataFrame:
+    """`_test` is true for exactly the quota of rows of each class: the smallest draws, equal ones by key."""
+    drawn = df.select(*by, portable_uniform(key, f"split-{seed}").alias("_u"), F.col(key).cast("string").alias("_key"))
+    cuts = stage(_cuts(drawn, _quotas(drawn, by, share), by))
+    u, k = portable_uniform(key, f"split-{seed}"), F.col(key).cast("string")
+    if by:
+        on = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+        joined = df.join(cuts, on, "left")
+        cut_u, cut_key = F.col("_cut_u"), F.col("_cut_key")
+    else:
+        row = cuts.first()
+        joined, cut_u, cut_key = df, F.lit(row and row["_cut_u"]).cast("double"), F.lit(row and row["_cut_key"]).cast("string")
+    test = (u < cut_u) | ((u == cut_u) & (k <= cut_key))
+    return joined.withColumn("_test", F.coalesce(test, F.lit(False))).select(*df.columns, "_test")
 
 
 def train_test_split(
@@ -77,9 +78,9 @@ def train_test_split(
     exact mode hits the row count (per class when stratified) to the row.
     """
     if exact:
-        in_test = _exact_cut(df, key, [stratify] if stratify else [], seed, test)
-    else:
-        in_test = portable_uniform(key, f"split-{seed}") < F.lit(test)
+        marked = _exact_split(df, key, [stratify] if stratify else [], seed, test)
+        return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    in_test = portable_uniform(key, f"split-{seed}") < F.lit(test)
     return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import interpolated, ranks_around
 from ..functions.scalars import number
 from ..functions.tables import report
-from .assoc import cramers_v_ranking
+from .assoc import QUINTILES, cramers_v_ranking
 from .profile import moments_of, numeric_view
 from .schema import split_types
 
@@ -66,6 +67,30 @@ def _choose(scores: dict[tuple[str, str], float | None], columns: list[str]) ->
     return rows
 
 
+def _candidate_edges(base: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """Quantile edges of every candidate from one search per column.
+
+    Candidates rise with a positive value, so the value at a rank of a candidate is the candidate
+    of the value at that rank.  A column that is not positive throughout is left to be searched.
+    """
+    around = ranks_around(base, {f"_s_{i}": QUINTILES for i in range(len(columns))})
+    points, slots = [], []
+    for i, c in enumerate(columns):
+        ends = around[f"_s_{i}"]
+        if ends[0.0][0] is None or ends[0.0][0] <= 0:
+            continue
+        for t in CANDIDATES:
+            points += [candidate(t, F.lit(v)) for p in QUINTILES for v in ends[p][:2]]
+            slots += [(f"{c}|{t}", ends[p][2]) for p in QUINTILES]
+    if not slots:
+        return {}
+    values = base.sparkSession.range(1).select(F.array(*points)).first()[0]  # the same functions as on the rows
+    edges: dict[str, set[float]] = {}
+    for (name, part), low, high in zip(slots, values[::2], values[1::2]):
+        edges.setdefault(name, set()).add(interpolated(low, high, part))
+    return {name: sorted(e) for name, e in edges.items()}
+
+
 def transform_scores(df: DataFrame, columns: Iterable[str], target: str, measure: str) -> DataFrame:
     """Score of every candidate and the winner per column (first one on ties)."""
     columns = list(columns)
@@ -81,7 +106,8 @@ def transform_scores(df: DataFrame, columns: Iterable[str], target: str, measure
         scores = {k: None if v is None or v != v else v for k, v in scores.items()}
     else:
         wide = base.select(target, *[x.alias(f"{c}|{t}") for (c, t), x in named.items()])
-        ranking = cramers_v_ranking(wide, [f"{c}|{t}" for c, t in named], target).collect()
+        edges = _candidate_edges(base, columns)
+        ranking = cramers_v_ranking(wide, [f"{c}|{t}" for c, t in named], target, edges).collect()
         scores = dict.fromkeys(named)
         scores |= {tuple(r["variable"].rsplit("|", 1)): r["cramers_v"] for r in ranking}
     return report(
