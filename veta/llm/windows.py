@@ -71,10 +71,18 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_tokens(text: str) -> np.ndarray:
-    """A 64-bit hash for every word."""
+    """A 64-bit hash for every word: its bytes are mixed with their places before they are summed.
+
+    A polynomial of the bytes alone would give equal hashes to long words built for it.
+    """
     raw = byte_tokens(text)
     start, end = word_bounds(raw)
-    return PrefixHash(raw).runs(start, end) ^ (end - start).astype(U)
+    n = end - start
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    sums = np.zeros(len(place) + 1, U)
+    np.cumsum(mixed(place.astype(U) * U(256) + raw[np.repeat(start, n) + place] + U(1)), out=sums[1:])
+    upto = np.cumsum(n)
+    return mixed(sums[upto] - sums[upto - n] + n.astype(U))
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
