@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from veta.llm import (
-    components, fingerprints, gru, lm, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, tokens,
+    components, fingerprints, gru, lm, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, tokens, windows,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,8 +171,10 @@ def test_rules_find_the_bad_and_keep_the_rest(spark):
 def test_encoder_is_the_tokenizer(data):
     encode = tokens.encoder(tokens.tokenizer_path())
     texts = [t for _, t, *_ in data if t] + ["a  b", " a b ", " \n x", "it 's '  s", "a\x1c b", "a \x1cb", "  x 　 y", "1 2  3 .. ,a"]
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "x <|endoftext|>\n y"]
+    fresh = Tokenizer.from_file(tokens.tokenizer_path())
     for text in texts:
-        want = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        want = fresh.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode.encode(text), "<u4").tolist() == want
 
 
@@ -448,3 +451,27 @@ def test_ranges_of_repeated_rows_are_listed_once(spark):
     keyed = windows.keyed(spark.createDataFrame([(1, "a b c")] * 20, "doc_id bigint, text string"), "doc_id", "text")
     ranges = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("lo"), F.lit(1).alias("hi"))
     assert [len(r["_ranges"]) for r in windows.with_ranges(keyed, ranges).collect()] == [1] * 20
+
+
+def test_unequal_long_words_are_told_apart(spark):
+    """Words of the Thue-Morse sequence and of its complement: equal under any polynomial modulo 2**64."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(34))
+    frame = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"{other} {rest}"), (4, f"{other} {rest}")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.duplicate_words(frame).collect()}
+    assert got == {1: 0, 2: 0, 3: 35, 4: 35}
+    hashes = {w: int(h) for w, h in zip([one, other], windows.word_tokens(f"{one} {other}"))}
+    assert len(set(hashes.values())) == 2
+    assert len(set(windows.word_tokens("ab ba a aa b \u00e9 abc ab").tolist())) == 7
+
+
+def test_one_of_each_group_on_hard_rows(data, docs, none):
+    found = {}
+    for r in simhash_dedup.near_duplicates(docs).collect():
+        found.setdefault(r["root"], []).append(r)
+    kept = simhash_dedup.one_of_each(docs).collect()
+    assert len(kept) == len(found) and simhash_dedup.one_of_each(none).count() == 0
+    rows = {key(r) for r in data}
+    assert all(key(tuple(r)) in rows for r in kept)
+    assert sorted(key((r["doc_id"],)) for r in kept) == sorted(key((g[0]["component_id"],)) for g in found.values())

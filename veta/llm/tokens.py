@@ -36,11 +36,18 @@ def _ranks(path: str) -> tiktoken.Encoding | None:
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts; special tokens' strings are ordinary text."""
+    """Little-endian unsigned 32-bit ids of texts, as the tokenizer gives them without special tokens added.
+
+    The string of an added token in a text has that token's id and ends the pieces beside it.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.pieces: dict[str, bytes] = {}
         self.ranks = _ranks(path.removesuffix(".json") + ".tiktoken")
 
@@ -53,6 +60,15 @@ class Encoder:
             self.pieces[piece] = array("I", got.ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.split and self.split.search(text):
+            if not self.plain:
+                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return b"".join(self.added[part] if part in self.added else self._ordinary(part) for part in self.split.split(text))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = CUT.split(text)
