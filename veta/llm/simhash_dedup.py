@@ -102,7 +102,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), root (the component's own name), component_id.
+    """One row per row of docs: doc_id, fp (long), root (the component's own name), component_id, text_key.
 
     Texts are lower-cased (A-Z), cut into word shingles with repeats, and each bit of the
     fingerprint is the majority of the shingle hashes. Fingerprints within `max_bits` link;
@@ -113,7 +113,7 @@ def near_duplicates(
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("_t"))
     hashed = base.select("doc_id", F.xxhash64("_t").alias("_key"), shingle_hashes(lower_ascii(F.col("_t")), shingle).alias("_hs"))
-    prints = store(simhash(hashed, ["doc_id", "_key"], F.col("_hs")).select("doc_id", "fp", "repeats"))
+    prints = store(simhash(hashed, ["doc_id", "_key"], F.col("_hs")).select("doc_id", "_key", "fp", "repeats"))
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), max_bits))
     # the smallest id of a component is not that of its smallest fingerprint
@@ -123,7 +123,7 @@ def near_duplicates(
     return (
         prints.join(named, "fp")
         .withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats")))
-        .select("doc_id", "fp", "root", "component_id")
+        .select("doc_id", "fp", "root", "component_id", F.col("_key").alias("text_key"))
     )
 
 
@@ -138,18 +138,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least text hash stays, and of equal rows one; of a component without ids likewise.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    members = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")).distinct()
-    keeps = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    # rows of one id and text have one fingerprint, so (id, text hash) names the rows that stay
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("text_key").alias("_t"))
     own = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
-    # only rows with a kept id can stay: the text goes no further than this join
-    likely = renamed.join(keeps, F.col(own[id_col]).eqNullSafe(F.col("_id")), "left_semi")
-    text = text_or_empty(F.col(own[text_col]))
-    marked = likely.withColumn("_t", F.xxhash64(text))
-    hashed = marked.select(F.col(own[id_col]).alias("doc_id"), F.col("_t").alias("_key"), shingle_hashes(lower_ascii(text), shingle).alias("_hs"))
-    again = simhash(hashed, ["doc_id", "_key"], F.col("_hs")).select(F.col("doc_id").alias("_id"), "_key", F.col("fp").alias("_fp"))
-    again = again.join(members, "_fp").filter(F.col("_id").eqNullSafe(F.col("_component")))
-    first = W.partitionBy("_root").orderBy("_key")
-    chosen = again.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_id", "_key")
-    kept = marked.join(chosen, (F.col(own[id_col]).eqNullSafe(F.col("_id"))) & (F.col("_t") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates([own[id_col], "_t"]).select(*(F.col(o).alias(c) for c, o in own.items()))
+    place = lambda c: {"_z": c.isNull(), "_d": F.coalesce(c.cast("bigint"), F.lit(0))}
+    chosen = stays.withColumns(place(F.col("_id"))).select("_z", "_d", "_t").distinct()
+    rows = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
+    rows = rows.withColumns({**place(F.col(own[id_col])), "_t": F.xxhash64(text_or_empty(F.col(own[text_col])))})
+    # both steps are keyed alike, so a text is shuffled once
+    kept = rows.join(chosen, ["_z", "_d", "_t"], "left_semi").dropDuplicates(["_z", "_d", "_t"])
+    return kept.select(*(F.col(o).alias(c) for c, o in own.items()))
