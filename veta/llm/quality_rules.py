@@ -229,7 +229,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' own columns."""
     marked = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn(labelled_rows(statistics(marked), labels).select("doc_id", "bad", *FEATURES))
+    rules = learn(store(labelled_rows(statistics(marked), labels).select("doc_id", "bad", *FEATURES)))
     own = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the statistics' names
     renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
     kept = statistics(renamed, text_col=own["text"], keep=list(own.values())).filter(~F.col("base_failed") & rules.verdict())
