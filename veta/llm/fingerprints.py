@@ -154,7 +154,8 @@ def near_pairs(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     x, x2 = F.col("q").bitwiseXOR(F.col("fp")), F.col("q2").bitwiseXOR(F.col("fp2"))
     bits = (F.bit_count(x) + F.bit_count(x2)).cast("int")
     first = F.coalesce(*(F.when(F.bit_count(b) <= flips, i) for i, b in enumerate(_blocks(x, x2))))
-    met = asked.join(rows, ["t", "k"]).filter((bits <= radius) & (F.col("t") == first))
+    # the planner knows only the few queries, not that each asks for thousands of keys: no broadcast
+    met = asked.hint("shuffle_merge").join(rows, ["t", "k"]).filter((bits <= radius) & (F.col("t") == first))
     return met.select("q", "q2", "fp", "fp2", bits.alias("bits"), "n")
 
 
