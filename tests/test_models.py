@@ -414,3 +414,27 @@ def test_omnibus_and_jarque_bera_against_a_published_summary():
     n, s, k = 6488, 0.200, 4.407
     assert ols._skew_z(s, n) ** 2 + ols._kurtosis_z(k, n) ** 2 == pytest.approx(242.255, rel=2e-3)
     assert n / 6 * (s * s + (k - 3) ** 2 / 4) == pytest.approx(578.606, rel=2e-3)
+
+
+def test_sums_of_arrays_reach_the_driver_whole(spark):
+    """One row per key, however many tasks and entries there are."""
+    from veta.functions import arrays
+
+    parts = spark.range(0, 900, numPartitions=90).selectExpr("id % 3 as g", "transform(sequence(0, 299), i -> double(id * i)) as a")
+    for tasks in (None, 90, 10):
+        found = arrays.summed_arrays(parts, ["g"], "a", tasks)
+        assert set(found) == {(0,), (1,), (2,)}
+        assert all((found[g,] == np.arange(300.0) * sum(range(g, 900, 3))).all() for g in range(3))
+    assert arrays.summed_arrays(parts.where("false"), ["g"], "a") == {}
+
+
+def test_expanded_batches_are_the_design(spark):
+    """Coded variables expanded in a task against the design's own columns: null, unseen level, interactions."""
+    rows = [(float(i % 7), "abc"[i % 3], ["x", "y", None][i % 3 - 1], i % 2 == 0) for i in range(40)] + [(1.5, None, "x", True), (2.5, "new", "y", None)]
+    frame = spark.createDataFrame(rows, "n double, c string, d string, b boolean")
+    spec = ModelSpec.of(["n"], ["c", "b"], [("n", "c"), ("c", "d"), ("n", "n"), ("d", "b")])
+    spec_design = design.DesignSpec.fit(frame.where("c <> 'new' or c is null"), spec)
+    coded = frame.select(*[c.alias(f"r{i}") for i, c in enumerate(spec_design.codes(frame))]).toArrow()
+    got = spec_design.expand([coded.column(i).to_numpy() for i in range(coded.num_columns)])
+    want = np.array([tuple(r) for r in spec_design.transform(frame).collect()], dtype=float)
+    assert (got[:, 0] == 1).all() and (got[:, 1:] == want).all()

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 8 << 20
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -34,6 +38,18 @@ def stage(df: DataFrame, spread: bool = False) -> DataFrame:
     return staged
 
 
+def stage_columns(df: DataFrame) -> DataFrame:
+    """Write df once as Parquet into the checkpoint folder: later scans read only the columns they use.
+
+    Row groups are small, so that few files are still read by many tasks.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread_few_files(df: DataFrame) -> DataFrame:
     """Deal the rows of a table with fewer files than cores over all cores.
 

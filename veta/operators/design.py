@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +162,59 @@ class DesignSpec:
                     result[f"{x}_{y}"] = part(a, level_x) * part(b, level_y)
         return result
 
+    def codes(self, df: DataFrame) -> list[Column]:
+        """The raw variables: numbers as they are, categories as the number of their level.
+
+        The first level, null and levels that training never saw are 0: zeros in every dummy.
+        """
+        def coded(variable: str) -> Column:
+            if variable not in self.levels:
+                return number(df, variable)
+            levels = self.levels[variable] or [""]
+            place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(variable).cast("string"))
+            return F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("int")
+
+        return [coded(v) for v in self.spec.raw]
+
+    def from_codes(self, codes: dict[str, Column]) -> dict[str, Column]:
+        """Column expressions of the design over coded variables."""
+        def part(variable: str, i: int) -> Column:
+            return codes[variable] if variable not in self.levels else (codes[variable] == i + 1).cast("double")
+
+        result = {}
+        for c in (*self.spec.cont, *self.spec.categ):
+            for i, (name, _) in enumerate(self._parts(c)):
+                result[name] = part(c, i)
+        for a, b in self.spec.inter:
+            for i, (x, _) in enumerate(self._parts(a)):
+                for j, (y, _) in enumerate(self._parts(b)):
+                    result[f"{x}_{y}"] = part(a, i) * part(b, j)
+        return result
+
+    def expand(self, coded: list[np.ndarray]) -> np.ndarray:
+        """A constant and the design columns of a batch of coded variables."""
+        of = dict(zip(self.spec.raw, coded))
+        n = len(coded[0])
+        width = {v: len(self._parts(v)) for v in self.spec.raw}
+        terms = [(c,) for c in (*self.spec.cont, *self.spec.categ)] + [tuple(p) for p in self.spec.inter]
+        out = np.zeros((n, 1 + sum(int(np.prod([width[v] for v in t])) for t in terms)))
+        out[:, 0] = 1.0
+        first = 1
+        for t in terms:
+            # the one column of the term that a row can fill, and what it holds there
+            at, value, filled = np.zeros(n, np.int64), np.ones(n), np.ones(n, bool)
+            for v in t:
+                at *= width[v]
+                if v in self.levels:
+                    at += np.maximum(of[v].astype(np.int64) - 1, 0)
+                    filled &= of[v] > 0
+                else:
+                    value = value * of[v]
+            rows = np.flatnonzero(filled)
+            out[rows, first + at[rows]] = value[rows]
+            first += int(np.prod([width[v] for v in t]))
+        return out
+
     def transform(self, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         """Key columns plus the design columns, in training order."""
         return df.select(*keep, *[e.alias(n) for n, e in self.expressions(df).items()])

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.arrays import summed_arrays
 from ..functions.scalars import logistic, number, significance_code
-from ..functions.staging import stage
+from ..functions.staging import stage_columns
 from ..functions.tables import report
 from .design import DesignSpec, ModelSpec
 from .moments import centre_and_scale
@@ -95,7 +96,10 @@ def criterion(name: str, log_lik: float, k: int, n: int) -> float:
 
 @dataclass(frozen=True)
 class LogitData:
-    """Complete rows of the full design, staged once for the iterations."""
+    """Complete rows, staged once for the iterations: raw variables, categories as level numbers.
+
+    The design is expanded batch by batch inside the tasks that read them.
+    """
 
     design: DesignSpec
     names: list[str]
@@ -105,6 +109,7 @@ class LogitData:
     n: int
     ones: int
     fold_rows: dict[int, tuple[int, int]]
+    tasks: int  # that read the staged rows
 
     @property
     def constant(self) -> list[str]:
@@ -114,33 +119,37 @@ class LogitData:
 
     def probabilities(self, fits: Iterable[LogitFit]) -> DataFrame:
         """Staged rows as (fold, y, p0, p1, ...), scored without the raw table."""
-        where = {n: i for i, n in enumerate(self.names)}
+        columns = self.design.from_codes(_coded(self.design))
         scores = []
         for f in fits:
             total = F.lit(float(f.coef[0]))
             for n, c in zip(f.names, f.coef[1:]):
                 if c:
-                    total = total + F.lit(float(c)) * F.col(f"_x{where[n]}")
+                    total = total + F.lit(float(c)) * columns[n]
             scores.append(logistic(total))
         return self.rows.select(
             F.col("_fold").alias("fold"), F.col("_y").alias("y"), *[p.alias(f"p{i}") for i, p in enumerate(scores)]
         )
 
 
+def _coded(design: DesignSpec) -> dict[str, Column]:
+    return {v: F.col(f"_r{i}") for i, v in enumerate(design.spec.raw)}
+
+
 def logit_data(
     df: DataFrame, spec: ModelSpec, y: str, fold: str | None = None, design: DesignSpec | None = None
 ) -> LogitData:
     design = DesignSpec.fit(df, spec) if design is None else design
     names = design.columns
-    expressions = design.expressions(df)
-    columns = [f"_x{i}" for i in range(len(names))]
+    raw = [f"_r{i}" for i in range(len(design.spec.raw))]
     flat = df.select(
         (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), number(df, y).alias("_y"),
-        *[expressions[c].alias(x) for c, x in zip(names, columns)],
+        *[c.alias(r) for c, r in zip(design.codes(df), raw)],
     )
-    # missing rows are dropped from the staged copy, so features are computed once
-    rows = stage(flat, spread=True).dropna(subset=["_y", *columns])
-    shift, scale, _ = centre_and_scale(rows, columns)
+    rows = stage_columns(flat.dropna(subset=["_y", *raw]))
+    columns = [f"_x{i}" for i in range(len(names))]
+    expressions = design.from_codes(_coded(design))
+    shift, scale, _ = centre_and_scale(rows.select(*[expressions[c].alias(x) for c, x in zip(names, columns)]), columns)
     counts = rows.groupBy("_fold").agg(
         F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("ones"),
         F.count_if(~F.col("_y").isin(0.0, 1.0)).alias("bad"),
@@ -151,11 +160,11 @@ def logit_data(
         raise ValueError("no complete rows to fit on")
     return LogitData(
         design, names, rows, shift, scale, sum(r["n"] for r in counts), sum(r["ones"] for r in counts),
-        {r["_fold"]: (r["n"], r["ones"]) for r in counts},
+        {r["_fold"]: (r["n"], r["ones"]) for r in counts}, rows.rdd.getNumPartitions(),
     )
 
 
-def _newton_kernel(shift: np.ndarray, scale: np.ndarray, batch_models: list[tuple[list[int], np.ndarray, int | None]]):
+def _newton_kernel(design: DesignSpec, shift: np.ndarray, scale: np.ndarray, batch_models: list[tuple[list[int], np.ndarray, int | None]]):
     """Arrow batches in; per model the log-likelihood, gradient and information."""
     inverse = np.where(scale > 0, 1.0 / np.where(scale > 0, scale, 1.0), 0.0)
 
@@ -166,9 +175,8 @@ def _newton_kernel(shift: np.ndarray, scale: np.ndarray, batch_models: list[tupl
                 continue
             fold = batch.column(0).to_numpy(zero_copy_only=False)
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            z = np.ones((batch.num_rows, len(shift) + 1))
-            for j in range(len(shift)):
-                z[:, j + 1] = batch.column(j + 2).to_numpy(zero_copy_only=False)
+            coded = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(2, batch.num_columns)]
+            z = design.expand(coded) if coded else np.ones((batch.num_rows, 1))
             z[:, 1:] = (z[:, 1:] - shift) * inverse
             for m, (cols, w, left_out) in enumerate(batch_models):
                 used = slice(None) if left_out is None else fold != left_out
@@ -192,15 +200,13 @@ def _newton_kernel(shift: np.ndarray, scale: np.ndarray, batch_models: list[tupl
 def _evaluate(data: LogitData, models: list[tuple[list[int], np.ndarray, int | None]]):
     """One pass over the rows for all models: (log-likelihood, gradient, information)."""
     partial = data.rows.mapInArrow(
-        _newton_kernel(data.shift, data.scale, models), "model int, packed array<double>"
+        _newton_kernel(data.design, data.shift, data.scale, models), "model int, packed array<double>"
     )
-    summed = partial.select("model", F.posexplode("packed")).groupBy("model", "pos").agg(F.sum("col").alias("v"))
+    summed = summed_arrays(partial, ["model"], "packed", data.tasks)
     widths = [len(cols) for cols, _, _ in models]
-    packed = [np.zeros(1 + p + p * (p + 1) // 2) for p in widths]
-    for r in summed.collect():
-        packed[r["model"]][r["pos"]] = r["v"]
     result = []
-    for p, v in zip(widths, packed):
+    for m, p in enumerate(widths):
+        v = summed.get((m,), np.zeros(1 + p + p * (p + 1) // 2))
         info = np.zeros((p, p))
         info[np.triu_indices(p)] = v[1 + p:]
         result.append((float(v[0]), v[1 : 1 + p], info + np.triu(info, 1).T))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import summed_arrays
 from ..functions.scalars import number
 from ..functions.tables import report
 from .design import DesignSpec
@@ -58,8 +59,8 @@ def _upper(width: int):
     return np.triu_indices(width)
 
 
-def _gram_kernel(n_groupings: int, shift: np.ndarray, scale: np.ndarray):
-    """Arrow batches in, one packed cross-product matrix per cell of the partition out."""
+def _gram_kernel(design: DesignSpec, n_groupings: int, shift: np.ndarray, scale: np.ndarray):
+    """Arrow batches (groupings, target, coded variables) in, one packed cross-product matrix per cell out."""
     width = len(shift) + 1
     upper = _upper(width)
 
@@ -68,9 +69,9 @@ def _gram_kernel(n_groupings: int, shift: np.ndarray, scale: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = np.ones((batch.num_rows, width))
-            for j in range(width - 1):
-                z[:, j + 1] = batch.column(n_groupings + j).to_numpy(zero_copy_only=False)
+            y, *coded = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(n_groupings, batch.num_columns)]
+            x = design.expand(coded) if coded else np.ones((batch.num_rows, 1))
+            z = np.column_stack([x, y])
             z[:, 1:] = (z[:, 1:] - shift) / scale
             for g in range(n_groupings):
                 codes = batch.column(g).dictionary_encode()
@@ -115,40 +116,32 @@ def moments(
     groupings = list(groupings)
     rows = design.complete(df, y)
     names = design.columns
-    design_columns = design.expressions(rows)
     flat = rows.select(
         *[F.col(g).cast("string").alias(f"_g{i}") for i, g in enumerate(groupings)],
         *([] if groupings else [F.lit("all").alias("_g0")]),
-        *[design_columns[c].alias(f"_x{i}") for i, c in enumerate(names)],
-        number(rows, y).alias("_y"),
+        number(rows, y).alias("_y"), *[c.alias(f"_r{i}") for i, c in enumerate(design.codes(rows))],
     )
     numeric = [*[f"_x{i}" for i in range(len(names))], "_y"]
     if centre is None:
-        shift, scale, n = centre_and_scale(flat, numeric)
+        expressions = design.expressions(rows)
+        wide = rows.select(*[expressions[c].alias(x) for c, x in zip(names, numeric)], number(rows, y).alias("_y"))
+        shift, scale, n = centre_and_scale(wide, numeric)
         if n == 0:
             raise ValueError("no complete rows to fit on")
         scale[scale == 0] = 1.0
     else:
         shift, scale = centre
     n_groupings = max(1, len(groupings))
-    kernel = _gram_kernel(n_groupings, shift, scale)
+    kernel = _gram_kernel(design, n_groupings, shift, scale)
     partial = flat.mapInArrow(kernel, "grouping int, cell string, gram array<double>")
-    summed = (
-        partial.select("grouping", "cell", F.posexplode("gram"))
-        .groupBy("grouping", "cell", "pos").agg(F.sum("col").alias("v"))
-    )
     width = len(names) + 2
     upper = _upper(width)
-    packed: dict[tuple[str, str], np.ndarray] = {}
     labels = groupings or ["all"]
-    for r in summed.collect():
-        key = (labels[r["grouping"]], r["cell"])
-        packed.setdefault(key, np.zeros(len(upper[0])))[r["pos"]] = r["v"]
     grams = {}
-    for key, values in packed.items():
+    for (grouping, cell), values in summed_arrays(partial, ["grouping", "cell"], "gram").items():
         g = np.zeros((width, width))
         g[upper] = values
-        grams[key] = g + np.triu(g, 1).T
+        grams[labels[grouping], cell] = g + np.triu(g, 1).T
     return Moments(design, names, shift, scale, grams)
 
 
