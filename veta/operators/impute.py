@@ -27,7 +27,7 @@ def impute_numeric(df: DataFrame, column: str, method: str, key: str | None = No
         s = moments_of(numbers, [column], ["n", "mean"])[column]
         fill = s["mean"]
         if method == "median":
-            fill = column_quantiles(numbers, {column: [0.5]}, {column: s["n"]}, "exact")[column][0.5]
+            fill = column_quantiles(numbers, {column: [0.5]}, "exact")[column][0.5]
         return df.withColumn(column, F.coalesce(x, F.bround(F.lit(fill).cast("double"), ROUND_DIGITS)))
     return _impute_random(df.withColumn(column, x), column, method, key, seed)
 
