@@ -95,8 +95,7 @@ def test_quantiles_of_nothing(spark):
 
 
 @pytest.mark.parametrize("kind", ["number", "text"])
-def test_running_totals_in_ranges(spark, kind, monkeypatch):
-    monkeypatch.setattr(cumulative, "RANGE_ROWS", 100)
+def test_running_totals_in_ranges(spark, kind, many_ranges):
     keys = [i * 3 for i in range(900)]
     rows = [(k if kind == "number" else f"{k:05d}", g, k % 7 + 1) for k in keys for g in ("a", "b")]
     df = spark.createDataFrame(rows, f"v {'long' if kind == 'number' else 'string'}, g string, n long").repartition(5)

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veta.functions import cumulative
 from veta.operators import charts, decide, design, evaluate, logit, moments, ols, select, split, transforms
 from veta.operators.assoc import bin_quintiles, cramers_v
 from veta.operators.design import DesignSpec, ModelSpec
@@ -286,9 +285,9 @@ def _dealt(classes, k):
 
 @pytest.mark.parametrize("ranges", [False, True])
 @pytest.mark.parametrize("kind", ["long", "string"])
-def test_folds_on_native_keys(spark, monkeypatch, kind, ranges):
-    if ranges:  # more key ranges, as on large tables
-        monkeypatch.setattr(cumulative, "RANGE_ROWS", 200)
+def test_folds_on_native_keys(spark, request, kind, ranges):
+    if ranges:
+        request.getfixturevalue("many_ranges")
     make = (lambda i: 2**60 + i) if kind == "long" else (lambda i: f"key {i:05d}")
     classes = {c: [make(i) for i in range(1000) if (i % 3 == 0) == c] for c in (False, True)}
     rows = [(key, c) for c, keys in classes.items() for key in keys]
@@ -365,6 +364,23 @@ def test_charts(spark, frame):
     assert charts.density_by_group(flat, "b", "c").count() == 0
 
 
+def test_density_of_many_uneven_groups(spark):
+    rng = np.random.default_rng(11)
+    data = {f"g{i}": rng.normal(i, 1 + i % 5, 40) for i in range(300)} | {"far": np.array([0.0, 1.0, 2.0] * 50 + [1e6])}
+    df = spark.createDataFrame([(g, float(v)) for g, xs in data.items() for v in xs] + [("one", 1.0), (None, 2.0), ("g1", None)], "g string, v double")
+    curves = {}
+    for r in charts.density_by_group(df, "v", "g").collect():
+        curves.setdefault(r["group"], {})[r["point"]] = r
+    assert set(curves) == set(data)
+    for g, xs in data.items():
+        h = xs.std(ddof=1) * len(xs) ** -0.2
+        for i, x in enumerate(np.linspace(xs.min() - 3 * h, xs.max() + 3 * h, 50)):
+            r = curves[g][i]
+            want = np.exp(-0.5 * ((xs - x) / h) ** 2).sum() / (len(xs) * h * math.sqrt(2 * math.pi))
+            assert r["x"] == pytest.approx(x) and r["bandwidth"] == pytest.approx(h)
+            assert abs(r["density"] - want) < 1e-9
+
+
 def test_winner_rules(spark):
     summary = spark.createDataFrame(
         [("Backward AIC", 0.361507), ("Stepwise BIC", 0.35981), ("Forward BIC", 0.3614)], "model string, mean double")

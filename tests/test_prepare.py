@@ -1,6 +1,7 @@
 """Profiling, repair, outliers and imputation on hand-made edge cases."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -191,3 +192,24 @@ def test_sources_round_trip(spark, tmp_path):
     summary = tables.import_summary(df).collect()
     assert [(r["column"], r["type"], r["n_rows"]) for r in summary] == [("id", "int", 2), ("t", "string", 2), ("x", "double", 2)]
     assert dict(rows(tables.type_counts(df), "type", "n_columns")) == {"int": 1, "string": 1, "double": 1}
+
+
+def test_null_correlation_of_two_thousand_columns(spark):
+    rng = np.random.default_rng(3)
+    flags = rng.random((60, 2000)) < 0.3
+    schema = ", ".join(f"c{i} int" for i in range(2000))
+    df = spark.createDataFrame([[None if x else 1 for x in row] for row in flags.tolist()], schema)
+    got = {(r["variable_a"], r["variable_b"]): r["corr"] for r in profile.null_correlation(df).where("variable_a in ('c7', 'c1999')").collect()}
+    want = np.corrcoef(flags.T.astype(float))
+    assert len(got) == 7 + 1999
+    assert all(abs(v - want[int(a[1:]), int(b[1:])]) < 1e-9 for (a, b), v in got.items())
+
+
+def test_distinct_counts_of_all_kinds_of_numbers(spark):
+    df = spark.createDataFrame(
+        [(2**60, 0.0, Decimal("1.10"), 1.5), (2**60 + 1, -0.0, Decimal("1.1"), None), (None, float("nan"), Decimal("2"), 1.5)],
+        "a long, b double, c decimal(10,2), d float",
+    )
+    counted = profile.distinct_counts(df)
+    assert rows(counted, "variable", "distinct_values") == [("a", 3), ("b", 2), ("c", 2), ("d", 2)]
+    assert [r[1] for r in profile.distinct_counts(df.limit(0)).collect()] == [0, 0, 0, 0]

@@ -1,7 +1,7 @@
 """Running totals and rank lookups over value tables of any length.
 
 A window without partitions would send the whole table through one task, so the
-table is cut into value ranges first: totals run inside each range and the few
+table is dealt out by value ranges first: totals run inside each range and the few
 range totals are carried over.
 """
 
@@ -9,64 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .scalars import interval_index
 from .staging import stage
 
-RANGE_ROWS = 500_000
-MAX_NUMERIC_RANGES = 20_000
-MAX_TEXT_RANGES = 512
-SAMPLE_PER_RANGE = 20
-SEED = 31_013
-
-
-def range_ids(df: DataFrame, column: str, rows: int, out: str = "_range") -> DataFrame:
-    """Add the number of the value range each row falls in, in value order."""
-    numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    most = MAX_NUMERIC_RANGES if numeric else MAX_TEXT_RANGES
-    ranges = min(most, max(2, rows // RANGE_ROWS + 1))
-    share = min(1.0, 2.0 * ranges * SAMPLE_PER_RANGE / max(rows, 1))
-    sample = sorted(
-        r[0] for r in df.where(F.col(column).isNotNull()).select(column).sample(share, SEED).collect()
-    )
-    step = max(1, len(sample) // ranges)
-    cuts = sorted(set(sample[step::step]))
-    if not numeric:
-        return df.withColumn(out, interval_index(F.col(column), cuts))
-    splits = [-float("inf"), *sorted({float(c) for c in cuts} - {-float("inf"), float("inf")}), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0))
-    bucketizer = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket", handleInvalid="keep")
-    ready = df.withColumn("_value", F.col(column).cast("double"))
-    return (
-        bucketizer.transform(ready)
-        .withColumn(out, F.col("_bucket").cast("int")).drop("_value", "_bucket")
-    )
 
-
-def running_totals(
-    df: DataFrame,
-    order: str,
-    values: Iterable[str],
-    by: Iterable[str] = (),
-    staged_rows: int | None = None,
-) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: Iterable[str], by: Iterable[str] = ()) -> DataFrame:
     """Add ``cum_<value>``: inclusive totals in ascending ``order`` within ``by``.
 
     ``df`` holds one row per (by, order), e.g. the result of a groupBy, and no null
-    ``order``.  It is staged here, unless the caller did so and gives the number of its rows.
+    ``order``.  Spark's range shuffle cuts it on (by, order), whatever their types, into at most
+    ``spark.sql.shuffle.partitions`` ranges, fewer where adaptive execution finds little to
+    deal out; the number of a range is written with its rows.
     """
     by, values = list(by), list(values)
-    if staged_rows is None:
-        df = stage(df)
-        staged_rows = df.count()
-    ranged = range_ids(df, order, staged_rows)
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # written, so that a lost task cannot draw other borders than those the carried totals saw
+    ranged = stage(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     carried = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values])
     carried = carried.select(
         *[F.col(b).alias(f"_by_{b}") for b in by],
@@ -93,9 +54,8 @@ def value_ranks(df: DataFrame, column: str) -> tuple[DataFrame, int, int]:
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     )
-    counted = stage(counted)
-    size = counted.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
-    ranked = stage(running_totals(counted, "value", ["n"], staged_rows=size["distinct"]))  # looked up more than once
+    ranked = stage(running_totals(counted, "value", ["n"]))  # looked up more than once
+    size = ranked.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
     return ranked, size["rows"] or 0, size["distinct"]
 
 

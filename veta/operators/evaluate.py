@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.cumulative import running_totals
 from ..functions.scalars import interval_index
-from ..functions.staging import stage
 from ..functions.tables import report
 from .design import DesignSpec, ModelSpec
 from .logit import Candidate, LogitData, fit_many, log_lik_term, logit_data, null_log_lik
@@ -75,24 +74,23 @@ def cv_logit_auc(df: DataFrame, spec: ModelSpec, y: str, fold: str, l2: float =
 
 
 def _score_counts(scored: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score, staged."""
+    """Positives and negatives per distinct score."""
     # no filter on the score: pushed below its projection, it would compute scores twice
     known = F.col(p).isNotNull()
-    return stage(scored.groupBy(*by, (-F.col(p)).alias("_down")).agg(
+    return scored.groupBy(*by, (-F.col(p)).alias("_down")).agg(
         F.count_if(known & (F.col(y) == 1)).alias("pos"), F.count_if(known & (F.col(y) == 0)).alias("neg")
-    )).where(F.col("pos") + F.col("neg") > 0)
+    ).where(F.col("pos") + F.col("neg") > 0)
 
 
 def _score_groups(counted: DataFrame, by: list[str]) -> DataFrame:
     """Counts per score, accumulated from the highest down."""
-    return running_totals(counted, "_down", ["pos", "neg"], by, staged_rows=counted.count())
+    return running_totals(counted, "_down", ["pos", "neg"], by)
 
 
 def roc_curve(scored: DataFrame, y: str, p: str = "p") -> DataFrame:
     """False and true positive rates at every distinct score, plus the origin."""
-    counted = _score_counts(scored, y, p, [])
-    groups = _score_groups(counted, [])
-    row = counted.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    groups = _score_groups(_score_counts(scored, y, p, []), [])
+    row = groups.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     curve = groups.select(
         (-F.col("_down")).alias("threshold"),
         (F.col("cum_neg") / F.lit(float(row["neg"] or 0) or None)).alias("fpr"),

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.arrays import summed_arrays
 from ..functions.cumulative import running_totals
 from ..functions.quantiles import exact_quantiles
-from ..functions.scalars import number, nulls_from_nan
+from ..functions.scalars import is_float, number, nulls_from_nan
 from ..functions.staging import stage
 from ..functions.tables import report
 from .schema import split_types
@@ -22,6 +26,8 @@ STATS = {
 }
 APPROX_ACCURACY = 10_000
 DISTINCT_SCREEN = 1_000
+EXACT_ROWS = 1 << 23  # counts up to here are exact in single precision
+JOINT_BLOCK = 256  # rows of the joint null matrix that are shuffled together
 
 
 def adjusted_skew(n: int, g1: float | None) -> float | None:
@@ -145,14 +151,34 @@ def frequency_numeric(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return frequency_table_pct(df, present)
 
 
+def _one_value(df: DataFrame, column: str, place: int) -> Column:
+    """The column's number and its value, in the one of three fields that holds its type exactly."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    slot = "i" if isinstance(kind, T.IntegralType) else "d" if is_float(kind) else "s"
+    cast = {"i": value.cast("long"), "d": value.cast("double"), "s": value.cast("string")}
+    empty = {"i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+    return F.struct(F.lit(place).alias("c"), *[(cast if k == slot else empty)[k].alias(k) for k in empty])
+
+
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct values per numeric column, null counting as one value."""
+    """Distinct values per numeric column, null counting as one value.
+
+    Exact counts come from one shuffle of narrow (column, value) rows, of which each task
+    sends a value once; a null is a value like the others.
+    """
     columns = list(columns) if columns is not None else split_types(df)[0]
     numbers = nulls_from_nan(df.select(*columns))
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [(distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns]
-    row = numbers.agg(*aggs).first()
-    return report(df.sparkSession, [(c, row[c]) for c in columns], "variable string, distinct_values long")
+    schema = "variable string, distinct_values long"
+    if approx:
+        aggs = [(F.approx_count_distinct(F.col(c)) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).alias(c) for c in columns]
+        row = numbers.agg(*aggs).first() if columns else {}
+        return report(df.sparkSession, [(c, row[c]) for c in columns], schema)
+    found = {}
+    if columns:
+        values = numbers.select(F.inline(F.array(*[_one_value(numbers, c, i) for i, c in enumerate(columns)])))
+        counted = values.groupBy("c", "i", "d", "s").agg(F.lit(1).alias("_one")).groupBy("c").count()
+        found = {r["c"]: r["count"] for r in counted.collect()}  # one row per column
+    return report(df.sparkSession, [(c, found.get(i, 0)) for i, c in enumerate(columns)], schema)
 
 
 def null_counts(df: DataFrame) -> tuple[dict[str, int], int]:
@@ -182,28 +208,52 @@ def null_histogram(df: DataFrame) -> DataFrame:
     return nulls_per_row(df, "nulls").groupBy("nulls").agg(F.count("*").alias("n"))
 
 
+def _joint_nulls(width: int):
+    """Arrow batches of null flags in, the task's counts of joint nulls out, a block of rows of the matrix at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = np.zeros((width, width), np.int64)
+        for batch in batches:
+            flags = np.asarray(batch.column(0).flatten()).reshape(-1, width)
+            some = np.flatnonzero(flags.any(axis=0))  # only columns with a null here
+            for at in range(0, len(flags), EXACT_ROWS):
+                part = flags[at : at + EXACT_ROWS, some].astype(np.float32)
+                joint[np.ix_(some, some)] += (part.T @ part).astype(np.int64)
+        for block, at in enumerate(range(0, width, JOINT_BLOCK)):
+            counts = joint[at : at + JOINT_BLOCK].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts], pa.list_(pa.int64()))], ["block", "joint"])
+
+    return run
+
+
 def null_correlation(df: DataFrame) -> DataFrame:
     """Lower triangle of the correlations between null indicators.
 
     Only columns with nulls take part.  Joint null counts are integers, so the
-    correlations are exact; a column that is always null has none.
+    correlations are exact; a column that is always null has none.  One scan: rows are
+    reduced to null flags, a bit each, whose joint counts are a matrix product per batch, so
+    the plan does not grow with the pairs of columns.
     """
-    nulls, rows = null_counts(df)
-    columns = [c for c, n in nulls.items() if n]
-    clean = nulls_from_nan(df.select(*columns)) if columns else df
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
-    schema = "variable_a string, variable_b string, corr double"
-    if not pairs:
-        return report(df.sparkSession, [], schema)
-    row = clean.agg(
-        *[F.count_if(F.col(a).isNull() & F.col(b).isNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    ).first()
-    result = []
-    for i, (a, b) in enumerate(pairs):
-        na, nb = nulls[a], nulls[b]
-        scale = math.sqrt(na * (rows - na)) * math.sqrt(nb * (rows - nb))
-        result.append((a, b, (rows * row[f"p{i}"] - na * nb) / scale if scale else None))
-    return report(df.sparkSession, result, schema)
+    clean = nulls_from_nan(df)
+    flags = F.array(F.lit(True), *[F.col(c).isNull() for c in df.columns])  # the first counts rows
+    width = len(df.columns) + 1
+    parts = clean.select(flags.alias("flags")).mapInArrow(_joint_nulls(width), "block int, joint array<long>")
+    blocks = summed_arrays(parts, ["block"], "joint")
+    empty = pa.table({"variable_a": pa.array([], pa.string()), "variable_b": pa.array([], pa.string()), "corr": pa.array([], pa.float64())})
+    if not blocks:
+        return df.sparkSession.createDataFrame(empty)
+    joint = np.concatenate([blocks[key] for key in sorted(blocks)]).reshape(width, width)
+    rows, nulls = int(joint[0, 0]), joint[0]
+    names = np.array([None, *df.columns], object)
+    tables = [empty]
+    with_nulls = [i for i in range(1, width) if nulls[i]]
+    for at, i in enumerate(with_nulls[1:], 1):
+        others = with_nulls[:at]
+        top = [rows * int(joint[i, j]) - int(nulls[i]) * int(nulls[j]) for j in others]  # integers of any size
+        spread = [math.sqrt(int(nulls[j]) * (rows - int(nulls[j]))) for j in (i, *others)]
+        corr = [t / (spread[0] * s) if spread[0] * s else None for t, s in zip(top, spread[1:])]
+        tables.append(pa.table({"variable_a": pa.array([names[i]] * at, pa.string()), "variable_b": pa.array(list(names[others]), pa.string()), "corr": pa.array(corr, pa.float64())}))
+    return df.sparkSession.createDataFrame(pa.concat_tables(tables))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def stratified_kfold(df: DataFrame, key: str, target: str, k: int = 5, out: str
     borders = F.array(*[dealt(end, f) - dealt(start, f) for f in range(1, k)]).cast("array<long>")
     classes = classes.withColumn("_borders", borders)
     passed = F.size(F.filter("_borders", lambda b: b < F.col("_no_key")))  # borders among the rows without a key
-    ranked = running_totals(counted.where(F.col("_key").isNotNull()), "_key", ["_n"], by=["_class"], staged_rows=counted.count())
+    ranked = running_totals(counted.where(F.col("_key").isNotNull()), "_key", ["_n"], by=["_class"])
     last = F.col("_no_key") + F.col("cum__n")
     held = F.filter("_borders", lambda b: (b >= last - F.col("_n")) & (b < last))
     keys = ranked.join(classes, F.col("_class").eqNullSafe(F.col("_of"))).select("_class", "_key", F.explode(held))
