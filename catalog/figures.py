@@ -62,13 +62,17 @@ def density_by_target(spark, d):
     return rounded(charts.density_by_group(fx.doc_table(spark, d), "letters", "quality"), density=8)
 
 
+# fixed values: quantiles of the normal distribution at 0.05, 0.10, ... 0.45
+_NORMAL = [1.6448536, 1.2815516, 1.0364334, 0.8416212, 0.6744898, 0.5244005, 0.3853205, 0.2533471, 0.1256613]
+_THEORETICAL = [-z for z in _NORMAL] + [0.0] + _NORMAL[::-1]
+
+
 @query("qq_points", sql("event_model", " UNION ALL ".join(
-    f"SELECT {R(f'{i} / 20.0', 8)} AS p, {R(f'(quantile_cont(value, {i / 20}) - avg(value)) / stddev_samp(value)')} AS observed FROM event_model"
+    f"SELECT {R(f'{i} / 20.0', 8)} AS p, {R(str(_THEORETICAL[i - 1]), 5)} AS theoretical, "
+    f"{R(f'(quantile_cont(value, {i / 20}) - avg(value)) / stddev_samp(value)')} AS observed FROM event_model"
     for i in range(1, 20))))
 def qq_points(spark, d):
-    """The normal quantiles beside the observed ones are a unit test."""
-    points = charts.qq_points(fx.event_model(spark, d), "value", points=19, standardize=True)
-    return rounded(points.select("p", "observed"), p=8)
+    return rounded(charts.qq_points(fx.event_model(spark, d), "value", points=19, standardize=True), p=8, theoretical=5)
 
 
 @query("class_bars", sql("doc_model", "SELECT CAST(quality AS DOUBLE) AS class, count(*) AS n FROM doc_model GROUP BY 1"))

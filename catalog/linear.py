@@ -69,14 +69,13 @@ def ols_fit(spark, d):
     return rounded(fit.coefficients_table(spark).select("variable", "coef"))
 
 
-@query("ols_coefficients", sql("line_model", _coef_rows(NAMES, lambda i, n: f"""
-SELECT '{n}' AS variable, {R(f'fit.{g.cell(i, P)}')} AS coef,
-  {R(f'sqrt(-fit.{g.cell(i, i)} * fit.{YY} / (gr.a_0_0 - {P}))')} AS std_err,
-  {R(f'fit.{g.cell(i, P)} / sqrt(-fit.{g.cell(i, i)} * fit.{YY} / (gr.a_0_0 - {P}))', 4)} AS t FROM fit, gr"""), _fit_ctes()))
+@query("ols_coefficients", sql("line_model", f"""
+SELECT variable, {R('b')} AS coef, {R('se')} AS std_err, {R('b / se', 4)} AS t, {R(g.t_tail('b / se', 'df'))} AS p_value,
+  {R(f"b - {g.t_quantile_975('df')} * se")} AS ci_low, {R(f"b + {g.t_quantile_975('df')} * se")} AS ci_high
+FROM ({_coef_rows(NAMES, lambda i, n: f"""
+SELECT '{n}' AS variable, fit.{g.cell(i, P)} AS b, sqrt(-fit.{g.cell(i, i)} * fit.{YY} / (gr.a_0_0 - {P})) AS se, gr.a_0_0 - {P} AS df FROM fit, gr""")})""", _fit_ctes()))
 def ols_coefficients(spark, d):
-    """p-values and limits need the t distribution, which SQL lacks: unit tests check them."""
-    fit = ols.ols_fit(fx.line_model(spark, d), SPEC, "y")
-    return rounded(fit.coefficients_table(spark).select("variable", "coef", "std_err", "t"), t=4)
+    return rounded(ols.ols_fit(fx.line_model(spark, d), SPEC, "y").coefficients_table(spark), t=4)
 
 
 _LL = f"(-n / 2 * (ln(2 * pi()) + ln(sse / n) + 1))"
@@ -85,11 +84,12 @@ _LL = f"(-n / 2 * (ln(2 * pi()) + ln(sse / n) + 1))"
 @query("ols_summary", sql("line_model", f"""
 SELECT CAST(n AS BIGINT) AS n, {P} AS n_params, CAST(n - {P} AS BIGINT) AS df_resid, {R('r2', 8)} AS r2,
   {R(f'1 - (1 - r2) * (n - 1) / (n - {P})', 8)} AS r2_adj, {R(f'(r2 / {P - 1}) / ((1 - r2) / (n - {P}))', 2)} AS f,
-  {R(_LL, 4)} AS log_lik, {R(f'2 * {P} - 2 * {_LL}', 4)} AS aic, {R(f'ln(n) * {P} - 2 * {_LL}', 4)} AS bic, {R('sse', 4)} AS sse
+  {R(g.f_tail(f'((r2 / {P - 1}) / ((1 - r2) / (n - {P})))', str(P - 1), f'(n - {P})'))} AS f_p_value, {R(_LL, 4)} AS log_lik, {R(f'2 * {P} - 2 * {_LL}', 4)} AS aic, {R(f'ln(n) * {P} - 2 * {_LL}', 4)} AS bic, {R('sse', 4)} AS sse
 FROM (SELECT gr.a_0_0 AS n, fit.{YY} AS sse, 1 - fit.{YY} / (gr.{YY} - pow(gr.a_0_{P}, 2) / gr.a_0_0) AS r2 FROM fit, gr)""", _fit_ctes()))
 def ols_summary(spark, d):
+    """The condition number, from eigenvalues, is a unit test."""
     stats = ols.ols_fit(fx.line_model(spark, d), SPEC, "y").stats_table(spark)
-    return rounded(stats.drop("f_p_value", "condition"), 4, r2=8, r2_adj=8, f=2)
+    return rounded(stats.drop("condition"), 4, r2=8, r2_adj=8, f=2, f_p_value=6)
 
 
 _PRED = f"pred AS (SELECT key, y, flag, {_xb('fit')} AS fitted FROM line_model, fit)"
@@ -126,14 +126,15 @@ def regression_errors(spark, d):
 
 
 @query("breusch_pagan", sql("line_model", f"""
-SELECT CAST(n AS BIGINT) AS n, {R('n * r2', 3)} AS lm, {R(f'(r2 / {P - 1}) / ((1 - r2) / (n - {P}))', 3)} AS f
+SELECT CAST(n AS BIGINT) AS n, {R('n * r2', 3)} AS lm, {R(g.chi2_tail('n * r2', P - 1))} AS lm_p_value,
+  {R(f'(r2 / {P - 1}) / ((1 - r2) / (n - {P}))', 3)} AS f, {R(g.f_tail(f'((r2 / {P - 1}) / ((1 - r2) / (n - {P})))', str(P - 1), f'(n - {P})'))} AS f_p_value
 FROM (SELECT gr2.a_0_0 AS n, 1 - aux.{YY} / (gr2.{YY} - pow(gr2.a_0_{P}, 2) / gr2.a_0_0) AS r2 FROM aux, gr2)""",
     _fit_ctes() + f""",
 sq AS (SELECT m.*, pow(y - ({_xb('fit')}), 2) AS e2 FROM line_model m, fit),
 """ + g.gram("gr2", "sq", [*COLS, "e2"]) + ",\n" + g.sweep("aux", "gr2", P)))
 def breusch_pagan(spark, d):
     df, m = _fit(spark, d)
-    return rounded(ols.breusch_pagan(df, ols.ols(m), "y").select("n", "lm", "f"), 3)
+    return rounded(ols.breusch_pagan(df, ols.ols(m), "y"), 3, lm_p_value=6, f_p_value=6)
 
 
 @query("durbin_watson", sql("line_model", f"""
@@ -144,15 +145,26 @@ def durbin_watson(spark, d):
     return rounded(ols.durbin_watson(ols.ols_predict(df, ols.ols(m), "y"), "residual", ["key"]))
 
 
+# normal scores of skewness and kurtosis, as the omnibus test defines them
+_SKEW_Z = """asinh(s * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2))"""
+_KURTOSIS_Z = """(1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))"""
+
+
 @query("residual_normality", sql("line_model", f"""
-SELECT n, {R('s')} AS skew, {R('k')} AS kurtosis, {R('n / 6 * (s * s + pow(k - 3, 2) / 4)', 3)} AS jarque_bera FROM (
- SELECT n, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) AS k FROM (
-  SELECT count(*) AS n, avg(pow(e - m, 2)) AS m2, avg(pow(e - m, 3)) AS m3, avg(pow(e - m, 4)) AS m4
-  FROM (SELECT y - fitted AS e, avg(y - fitted) OVER () AS m FROM pred)))""", _fit_ctes() + "," + _PRED))
+SELECT CAST(n AS BIGINT) AS n, {R('s')} AS skew, {R('k')} AS kurtosis, {R('jb', 3)} AS jarque_bera, {R('exp(-jb / 2)')} AS jarque_bera_p,
+  {R('om', 3)} AS omnibus, {R('exp(-om / 2)')} AS omnibus_p
+FROM (SELECT *, n / 6 * (s * s + pow(k - 3, 2) / 4) AS jb, pow({_SKEW_Z}, 2) + pow({_KURTOSIS_Z}, 2) AS om FROM (
+ SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / beta * (2 / beta + sqrt(1 + 4 / (beta * beta))) AS a FROM (
+  SELECT *, (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+   3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+   6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS beta FROM (
+   SELECT n, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) AS k FROM (
+    SELECT count(*)::DOUBLE AS n, avg(pow(e - m, 2)) AS m2, avg(pow(e - m, 3)) AS m3, avg(pow(e - m, 4)) AS m4
+    FROM (SELECT y - fitted AS e, avg(y - fitted) OVER () AS m FROM pred))))))""", _fit_ctes() + "," + _PRED))
 def residual_normality(spark, d):
     df, m = _fit(spark, d)
     table = ols.residual_normality(ols.ols_predict(df, ols.ols(m), "y"), "residual")
-    return rounded(table.select("n", "skew", "kurtosis", "jarque_bera"), jarque_bera=3)
+    return rounded(table, jarque_bera=3, omnibus=3)
 
 
 @query("residual_bins", sql("line_model", """

@@ -83,14 +83,25 @@ def pseudo_r2(spark, d):
     return rounded(logit.pseudo_r2(logit.logit_predict(df, fit), "quality", by=["lang"]))
 
 
-@query("logit_summary", sql("doc_model", " UNION ALL ".join(
-    f"SELECT '{'(Intercept)' if i == 0 else n}' AS variable, {R(f'w_{i}')} AS estimate, {R(f'sqrt(-inv.{g.cell(i, i)})')} AS std_err, "
-    f"{R(f'w_{i} / sqrt(-inv.{g.cell(i, i)})')} AS z FROM nw, inv" for i, n in enumerate(NAMES)),
+@query("logit_summary", sql("doc_model", f"""
+SELECT variable, {R('w')} AS estimate, {R('se')} AS std_err, {R('w / se')} AS z, {R('p_value')} AS p_value, {g.stars('p_value')} AS signif
+FROM (SELECT *, {g.t_tail('w / se', 'df')} AS p_value FROM ({" UNION ALL ".join(
+    f"SELECT '{'(Intercept)' if i == 0 else n}' AS variable, w_{i} AS w, sqrt(-inv.{g.cell(i, i)}) AS se, (SELECT count(*)::DOUBLE - {P - 1} FROM doc_model) AS df "
+    f"FROM nw, inv" for i, n in enumerate(NAMES))}))""",
     _newton() + "," + _PRED + ", weighted AS (SELECT *, sqrt(p * (1 - p)) AS v FROM pred),"
     + g.gram("info", "weighted", [*[f"v * ({c})" for c in COLS], "0.0"]) + "," + g.sweep("inv", "info", P)))
 def logit_summary(spark, d):
     _, fit = _fit(spark, d)
-    return rounded(fit.summary(spark).select("variable", "estimate", "std_err", "z"))
+    return rounded(fit.summary(spark))
+
+
+@query("logit_goodness_reference", sql("doc_model", f"""
+SELECT count(*) AS n, {P} AS n_params, {R(_LL)} AS log_lik, {R(f'2 * 2 - 2 * {_LL}')} AS aic, {R(f'ln(count(*)) * 2 - 2 * {_LL}')} AS bic FROM pred""",
+    _newton() + "," + _PRED))
+def logit_goodness_reference(spark, d):
+    """Criteria that count two parameters for every model."""
+    _, fit = _fit(spark, d)
+    return rounded(fit.goodness(spark, "reference"))
 
 
 @query("logit_goodness", sql("doc_model", f"""

@@ -253,12 +253,16 @@ def drop_columns_if_present(spark, d):
     return schema.drop_columns_if_present(fx.doc_model(spark, d), "quality", drop)[0]
 
 
-@query("split_types", """
-SELECT unnest(['doc_id', 'size', 'letters', 'spaces', 'punct', 'digits', 'quality', 'toxic', 'lang', 'source']) AS variable,
-       unnest(['numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'numeric',
-               'categorical', 'categorical']) AS kind""")
+_TYPED = ["doc_id", "size", "letters", "spaces", "punct", "digits", "quality", "toxic", "lang", "source"]
+
+
+@query("split_types", sql("doc_model", _union(
+    "SELECT '{c}' AS variable, CASE WHEN typeof(any_value({c})) IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') "
+    "OR typeof(any_value({c})) LIKE 'DECIMAL%' THEN 'numeric' ELSE 'categorical' END AS kind, count(*) - count({c}) AS nulls FROM doc_model", _TYPED)))
 def split_types(spark, d):
-    return schema.split_types_table(fx.doc_model(spark, d))
+    """Kinds beside the nulls found in each column."""
+    df = fx.doc_model(spark, d)
+    return schema.split_types_table(df).join(profile.null_report(df).select("variable", "nulls"), "variable")
 
 
 @query("require_columns", sql("event_model", "SELECT event_id, value FROM event_model"))

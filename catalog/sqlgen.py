@@ -138,3 +138,38 @@ def newton(
 
 def on_any(mask: str | None, i: int) -> str:
     return f"((any_value(w.pmask) >> {i}) & 1)" if mask else "1"
+
+
+def _simpson(f: str, end: str, steps: int = 4000) -> str:
+    """Integral from 0 to ``end`` of ``f``, which is written in {u}."""
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    at = f"(i * ({end}) / {steps}.0::DOUBLE)"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {f.format(u=at)})) * ({end}) / {3 * steps}.0::DOUBLE)"
+
+
+def f_tail(f: str, d1: str, d2: str, cap: float = 30.0) -> str:
+    """P(F >= f) by integrating the density of the root of d1 F; beyond ``cap`` nothing is left at six digits."""
+    front = f"2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0) - {d1} / 2.0 * ln({d2}))"
+    return f"(1 - {front} * {_simpson(f'pow({{u}}, {d1} - 1) * pow(1 + {{u}} * {{u}} / ({d2}), -({d1} + {d2}) / 2.0)', f'least(sqrt({d1} * ({f})), {cap})')})"
+
+
+def t_tail(t: str, df: str) -> str:
+    """P(|T| >= |t|)."""
+    return f_tail(f"pow({t}, 2)", "1", df, 14.0)
+
+
+def chi2_tail(x: str, df: int, cap: float = 40.0) -> str:
+    """P(X >= x) by integrating the density of the root of X."""
+    front = f"exp((1 - {df} / 2.0) * ln(2) - lgamma({df} / 2.0))"
+    return f"(1 - {front} * {_simpson(f'pow({{u}}, {df} - 1) * exp(-{{u}} * {{u}} / 2)', f'least(sqrt({x}), {cap})')})"
+
+
+def t_quantile_975(df: str) -> str:
+    """The 0.975 quantile of the t distribution from that of the normal, by powers of 1 / df."""
+    z = 1.959963984540054
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return "(" + " + ".join(f"{c!r} / pow({df}, {i})" for i, c in enumerate(terms)) + ")"
+
+
+def stars(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' WHEN {p} < 0.1 THEN '.' ELSE '' END"
