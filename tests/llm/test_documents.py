@@ -270,6 +270,28 @@ def test_mixing(data, docs, none):
     assert mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_rows_without_an_id_and_of_one_id(spark):
+    ten, spread = "a b c d e f g h i j", "a b c d e"
+    rows = [(None, "s1", ten)] * 60 + [(None, "s1", f"{ten} {i}") for i in range(40)] + [(i, "s2", ten) for i in range(100)]
+    rows += [(7000, "s3", spread)] * 50 + [(8000 + i, "s3", spread) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5)
+    got = mixing.taken(frame, shards=8).collect()
+    totals = Counter()
+    for r in got:
+        totals[r["source_size"], r["target"]] += r["taken"]
+        assert r["taken"] == r["size"] * len(r["draws"]) == r["size"] * r["copies"] and all(0 <= s < 8 for s in r["draws"])
+    assert len(got) == len(rows) and len(totals) == 3
+    assert all(abs(target - taken) <= 12 for (_, target), taken in totals.items())
+    equal = [r["copies"] for r in got if r["doc_id"] is None and r["size"] == 10]
+    assert max(equal) - min(equal) <= 1 and len(equal) == 60
+    assert sorted(map(str, got)) == sorted(map(str, mixing.taken(frame.repartition(3), shards=8).collect()))
+    mixed = mixing.mix(frame, shards=8).groupBy("source").count().collect()
+    drawn = Counter()
+    for r in got:
+        drawn[r["source_size"]] += r["copies"]
+    assert sorted(r["count"] for r in mixed) == sorted(drawn.values())
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = [1000, 3, 0, 77]
     split = mixing.split_quotas(quotas, 16)

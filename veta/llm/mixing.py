@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents stand in a permuted order, by a hash of their id, and the order is cut into blocks
-of about as many documents. A source's target says how often its blocks are drawn: whole
+Documents stand in a permuted order, by a hash of their id, rows of one id (or none) also by their
+text and their place among equals, and the order is cut into blocks of about as many documents. A source's target says how often its blocks are drawn: whole
 passes, and a last pass over blocks up to the target; of the block it stops in, the documents
 that still fit are taken, largest first. The block draws of all sources are split among output shards by a binary tree: each node hands
 its left half an exact hypergeometric share of every source's draws. A shard takes its draws
@@ -27,18 +27,49 @@ SHARDS = 64
 SEED = "mix-1"
 
 
-def permuted(doc_id: Column, seed: str = SEED) -> Column:
-    """A number below 2**52 from the md5 of seed and id, the same in any engine."""
-    text = F.concat_ws("|", F.lit(seed), doc_id.cast("string"))
+def permuted(*key: Column, seed: str = SEED) -> Column:
+    """A number below 2**52 from the md5 of seed and key, the same in any engine."""
+    text = F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in key))
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, digest, ...) plus h, their number in the permuted order.
+
+    A document's number comes from its id. Rows of an id met more than once, or of none, are told
+    apart by their digest and, where that is equal too, by their place among the equals: counted
+    per partition first, so that many equal rows never meet in one task.
+    """
+    again = store(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_repeated")))
+    if again.isEmpty():
+        return rows.withColumn("h", permuted(F.col("doc_id")))
+    marked = rows.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left").drop("_again")
+    alone = marked.filter(F.col("_repeated").isNull()).withColumn("h", permuted(F.col("doc_id")))
+    # written, so that a row's part is the same for the counts and for the places
+    many = store(marked.filter("_repeated").withColumn("_part", F.spark_partition_id()))
+    parts = many.groupBy("doc_id", "digest", "_part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("doc_id", "digest").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
+        F.col("doc_id").alias("_of"), F.col("digest").alias("_digest"), F.col("_part").alias("_counted"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
+    )
+    inside = F.row_number().over(W.partitionBy("doc_id", "digest", "_part").orderBy("_repeated"))
+    on = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("digest") == F.col("_digest")) & (F.col("_part") == F.col("_counted"))
+    placed = many.withColumn("_place", inside).join(parts, on).withColumn("_place", F.col("_place") + F.col("_before"))
+    placed = placed.withColumn("h", permuted(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest"), F.col("_place")))
+    return alone.select(*rows.columns, "h").unionByName(placed.select(*rows.columns, "h"))
+
+
+def _digest(source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(source_col).cast("string"), F.col(text_col))
+
+
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     source = F.col(source_col).cast("string")
-    return docs.select(
+    rows = store(docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), source.isNull().alias("s_null"), F.coalesce(source, F.lit("")).alias("s_text"),
-        F.size(words(F.col(text_col))).cast("bigint").alias("size"), permuted(F.col(id_col)).alias("h"),
-    )
+        F.size(words(F.col(text_col))).cast("bigint").alias("size"), _digest(source_col, text_col).alias("digest"),
+    ))
+    return _in_order(rows).drop("digest")
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -76,17 +107,21 @@ def _cell(bits: Column) -> Column:
     return F.call_function("shiftright", F.col("h"), F.lit(HASH_BITS) - bits)
 
 
+def _key(h: Column, doc_id: Column) -> Column:
+    return F.struct(h.alias("h"), F.coalesce(doc_id, F.lit(-1)).alias("doc_id"))
+
+
 def _fitting(cell: Column, room: Column) -> Column:
-    """Ids of a cell's documents (size, h, doc_id), largest first, each taken if it still fits."""
+    """Keys of a cell's documents (size, h, doc_id), largest first, each taken if it still fits."""
     def step(state: Column, doc: Column) -> Column:
         fits = (doc["size"] > 0) & (doc["size"] <= state["room"])
         return F.struct(
             F.when(fits, state["room"] - doc["size"]).otherwise(state["room"]).alias("room"),
-            F.when(fits, F.concat(state["ids"], F.array(doc["doc_id"]))).otherwise(state["ids"]).alias("ids"),
+            F.when(fits, F.concat(state["keys"], F.array(_key(doc["h"], doc["doc_id"])))).otherwise(state["keys"]).alias("keys"),
         )
 
-    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("ids"))
-    return F.aggregate(F.array_sort(cell), start, step, lambda s: s["ids"])
+    start = F.struct(room.alias("room"), F.array().cast("array<struct<h:bigint,doc_id:bigint>>").alias("keys"))
+    return F.aggregate(F.array_sort(cell), start, step, lambda s: s["keys"])
 
 
 def _plan(sized: DataFrame, shards: int) -> DataFrame:
@@ -122,39 +157,49 @@ def _plan(sized: DataFrame, shards: int) -> DataFrame:
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (s_null, s_text, h, doc_id, ...) plus the plan's columns, cell and copies."""
+    """rows (s_null, s_text, h, doc_id, ...) plus the plan's columns, cell, copies and draws.
+
+    draws lists the shard of each draw of the row: the one in whose stretch of the source's
+    draws it lies.
+    """
     found = rows.join(plan, ["s_null", "s_text"]).withColumn("cell", _cell(F.col("bits")))
-    extra = (F.col("cell") < F.col("stop")) | ((F.col("cell") == F.col("stop")) & F.coalesce(F.array_contains("picked", F.col("doc_id")), F.lit(False)))
-    return found.withColumn("copies", F.col("passes") + extra.cast("bigint"))
+    extra = (F.col("cell") < F.col("stop")) | ((F.col("cell") == F.col("stop")) & F.coalesce(F.array_contains("picked", _key(F.col("h"), F.col("doc_id"))), F.lit(False)))
+    copied = found.withColumn("copies", F.col("passes") + extra.cast("bigint"))
+    at = lambda p: p * F.col("blocks") + F.col("cell")
+    passes = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return copied.withColumn("draws", F.transform(passes, lambda p: F.size(F.filter("ends", lambda e: e <= at(p)))))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per row of docs.
+    """doc_id, size, source_size, target, copies, draws, taken: one row per row of docs.
 
-    taken is copies times size, copies at most 3. Null texts have size 0; null is a source of
-    its own, the last; an empty table gives no rows; rows of one id in a source are taken
-    alike, so repeats of a row stay together; other columns are ignored.
+    taken adds up the row's size over its draws, at most 3, whose shards draws lists. Null texts
+    have size 0; null is a source of its own, the last; an empty table gives no rows; rows of one
+    id, or of none, are drawn one by one; other columns are ignored.
     """
     sized = store(_sized(docs, id_col, source_col, text_col))
     return _with_copies(sized, _plan(sized, shards)).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "doc_id", "size", "source_size", "target", "copies", "draws",
+        (F.size(F.filter("draws", lambda shard: shard < shards)) * F.col("size")).alias("taken"),
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """docs' own columns, each row as often as it is drawn, dealt to shards and shuffled there.
 
-    Rows whose text has no words are drawn like any other row of their place in the order.
+    Rows whose text has no words are drawn like any other row of their place in the order; null
+    texts, sources and ids and repeated rows count as in taken; an empty table gives no rows.
     """
     plan = _plan(store(_sized(docs, id_col, source_col, text_col)), shards)
     own = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(c).alias(own[c]) for c in docs.columns))
     source = F.col(own[source_col]).cast("string")
     keyed = renamed.withColumns({
-        "doc_id": F.col(own[id_col]).cast("bigint"), "s_null": source.isNull(), "s_text": F.coalesce(source, F.lit("")), "h": permuted(F.col(own[id_col])),
+        "doc_id": F.col(own[id_col]).cast("bigint"), "s_null": source.isNull(), "s_text": F.coalesce(source, F.lit("")),
+        "digest": _digest(own[source_col], own[text_col]),
     })
-    drawn = _with_copies(keyed, plan).filter("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    draw = F.col("_pass") * F.col("blocks") + F.col("cell")
-    shard = F.size(F.filter("ends", lambda e: e <= draw))
-    placed = drawn.withColumn("_shard", shard).withColumn("_order", F.xxhash64(F.lit(SEED), "_shard", "h", "_pass"))
+    keyed = _in_order(keyed)
+    drawn = _with_copies(keyed, plan).filter("copies > 0")
+    drawn = drawn.select("*", F.posexplode("draws").alias("_pass", "_shard"))
+    placed = drawn.withColumn("_order", F.xxhash64(F.lit(SEED), "_shard", "h", "_pass"))
     return placed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order").select(*(F.col(o).alias(c) for c, o in own.items()))

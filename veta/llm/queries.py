@@ -52,7 +52,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("copies", "draws")
 
 
 OP6_SQL = """
