@@ -39,12 +39,51 @@ def test_plain_pages_among_pages_with_an_article(spark, plain):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for i in range(plain):
         assert got[1000 + i] == (
-            f"The first paragraph of this story tells, at some length, what happened on day {i} of it.\n"
+            f"Title {i}\nThe first paragraph of this story tells, at some length, what happened on day {i} of it.\n"
             "A second one goes on, and it ends with a full stop as well as the first."
         )
     assert got[7] == "Head & line 7\nSome words of the text here, 7.\nIt goes on <so> for a while, and then it ends with a full stop."
 
 
+STORY = [
+    "The first paragraph of this story tells, at some length, what happened on day 5 of it.",
+    "A second one goes on, and it ends with a full stop as well as the first.",
+]
+SHAPES = {  # head, body with {} where the story stands, and lines that go with the story
+    "body class": '<body class="no-sidebar">{}</body>',
+    "body classes": '<body class="single comments-open">{}</body>',
+    "wrapper id": '<body><div id="main-header-banner">{}</div></body>',
+    "content class": '<body><div id=top><a href=/x>Home page</a></div><div class="post-content share-ready">{}</div></body>',
+    "section in article": '<body><article><p>Some words of the text here, to begin with it all.</p><div class="form-history">{}</div></article></body>',
+    "id in article": '<body><article><p>Some words of the text here, to begin with it all.</p><section id="related-work">{}</section></article></body>',
+    "aside classes": '<body><div class="site-footer"><p>All rights are with us, and we say so here at length, every day.</p></div><div class=story>{}</div></body>',
+    "comments": '<body><main>{}<div class="comment-list"><p>I read all of this text and I do not agree with one word of it.</p></div></main></body>',
+    "camel": '<body><main>{}</main><div id="cookieBanner"><p>We use cookies on this page, as all the others do, and you may say no.</p></div></body>',
+    "header in article": '<body><header><p>The site that tells you every day what has happened near you.</p></header><article><header><h1>Head</h1></header>{}</article></body>',
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_page_shapes(spark, shape):
+    story = "".join(f"<p>{line}</p>" for line in STORY)
+    rows = [(i, "u", PAGE % (i, i)) for i in range(200)] + [(1000 + i, "u", PLAIN % (i, i)) for i in range(50)]
+    rows.append((5000, "u", f"<html>{SHAPES[shape].format(story)}</html>"))
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").filter("page_id is not null"))
+    lead = ["Some words of the text here, to begin with it all."] if "in article" in shape and "header" not in shape else ["Head"] if "header in" in shape else []
+    assert got.filter("page_id = 5000").first()["text"] == "\n".join([*lead, *STORY])
+
+
+def test_headings_and_lists_of_plain_pages(spark):
+    page = (
+        "<html><body><ul><li><a href=/x>Home</a><li><a href=/y>More</a></ul><div class=text><h1>Head</h1><p>" + STORY[0] + "</p><h2>Things</h2>"
+        "<ul><li>Bread</li><li>Milk</li></ul><p>" + STORY[1] + "</p><p>The end.</p></div><div>&copy; Us</div></body></html>"
+    )
+    rows = [(i, "u", PLAIN % (i, i)) for i in range(100)] + [(1000 + i, "u", page) for i in range(20)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    texts = {r["text"] for r in got.filter("page_id >= 1000").collect()}
+    assert texts == {"\n".join(["Head", STORY[0], "Things", "Bread", "Milk", STORY[1], "The end."])}
+
+
 def test_named_parts_go_even_where_they_were_never_seen(spark):
     model = html_extract.learn(spark.createDataFrame([(PAGE % (i, i),) for i in range(40)], "html string"))
     page = (PAGE % (1, 1)).replace("</article>", "<aside><p>Related things to read, here.</p></aside><form><p>Mail</p></form></article><div id=comments><p>I liked it a lot, thanks.</p></div>")
@@ -56,13 +95,16 @@ def test_marginals_are_those_of_all_states():
     import math
     model = html_extract.TreeModel({("tag p", 1): 3.0, ("all node", 1): 5.0, ("all node", 0): 7.0, ("all text", 1): 2.0, ("all text", 0): 2.0, ("length 2", 0): 2.0})
     nodes = dom.parse("<div><p>a b<p>c</div><nav>d</nav>")
-    kinds = [html_extract._kind(n) for n in nodes]
+    aside = html_extract.asides(nodes)
+    kinds = html_extract._kinds(nodes, aside)
+    beside = html_extract._stands(nodes)
+    assert set(kinds[1:]) == {"node", "text", "role", "below"}
     weight = {}
     for states in itertools.product((0, 1), repeat=len(nodes)):
         w = 1.0
         for i, n in enumerate(nodes[1:], 1):
             w *= model.pair(kinds[i])[states[n.parent]][states[i]]
-            w *= math.exp(states[i] * sum(model.odds(f, "text" if n.tag == "#text" else "node") for f in html_extract._features(n)))
+            w *= math.exp(states[i] * sum(model.odds(f, "text" if n.tag == "#text" else "node") for f in html_extract._features(n, aside[i], beside[i])))
         weight[states] = w
     for i, p in enumerate(model.marginals(nodes)):
         assert math.isclose(p, sum(w for s, w in weight.items() if s[i]) / sum(weight.values()), rel_tol=1e-6)

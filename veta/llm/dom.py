@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 BLANKS = re.compile(r"\s+")
 # fixed values: names of elements by their role in the HTML standard
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -39,8 +39,7 @@ class Node:
 def _tokens(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    found = " ".join(v.strip("\"'") for _, v in ATTRIBUTE.findall(attributes))
-    return tuple(sorted(set(re.findall(r"[a-z]+", found.lower()))))
+    return tuple(sorted({t for _, v in ATTRIBUTE.findall(attributes) for t in v.strip("\"'").split()}))
 
 
 def parse(page: str) -> list[Node]:
