@@ -17,8 +17,8 @@ HIDDEN = 16
 WORDS = 1024  # places of the smallest model; a larger corpus has more, see Model.other
 OTHER = WORDS  # the number of every word not listed, in the smallest model
 SCORED_ROWS = 32_768  # states whose softmax is held at a time
-LANES, WINDOW = 256, 16
-RATE = 0.01
+LANES, WINDOW = 512, 16
+RATE = 0.015
 F32 = np.float32
 
 
@@ -27,18 +27,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Works in x itself, which no caller keeps."""
-    x -= x.max(axis=-1, keepdims=True)
+    """Of every column, so that sums run along whole rows; works in x itself, which no caller keeps."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
 def _log_softmax_at(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The entry `goal` of every row's log softmax; works in x itself."""
-    x -= x.max(axis=-1, keepdims=True)
-    wanted = x[np.arange(len(x)), goal]
-    return wanted - np.log(np.exp(x, out=x).sum(axis=-1))
+    """The entry `goal` of every column's log softmax; works in x itself."""
+    x -= x.max(axis=0)
+    wanted = x[goal, np.arange(x.shape[1])]
+    return wanted - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
@@ -147,13 +147,26 @@ class Model:
         return out
 
     def _log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        out = _log_softmax_at(h @ self.to_class + self.class_bias, self.class_of[targets]).astype(float)
         order, classes = self.by_class(targets)
-        x, y, within = h[order], targets[order], np.zeros(len(targets))
+        x, y = np.ascontiguousarray(h[order].T), targets[order]
+        found = _log_softmax_at(self.class_scores(x), self.class_of[y]).astype(float)
         for words, rows in classes:
             if words.stop - words.start > 1:
-                within[rows] = _log_softmax_at(x[rows] @ self.to_word[words].T + self.word_bias[words], y[rows] - words.start)
-        out[order] += within
+                found[rows] += _log_softmax_at(self.word_scores(words, x[:, rows]), y[rows] - words.start)
+        out = np.empty(len(targets))
+        out[order] = found
+        return out
+
+    def class_scores(self, x: np.ndarray) -> np.ndarray:
+        """A row per class, a column per state."""
+        out = self.to_class.T @ x
+        out += self.class_bias[:, None]
+        return out
+
+    def word_scores(self, words: slice, x: np.ndarray) -> np.ndarray:
+        """A row per word of one class, a column per state."""
+        out = self.to_word[words] @ x
+        out += self.word_bias[words, None]
         return out
 
 
@@ -207,48 +220,55 @@ class Trainer:
         if not len(real):
             return h
         scale = F32(1 / len(real))
-        x, y = flat[real], goal[real]
-        d_class = _softmax(x @ m.to_class + m.class_bias)
+        by, classes = m.by_class(goal[real])
+        real = real[by]  # targets in the order of their classes, states as columns
+        y, rows_of = goal[real], flat[real]
+        x = np.ascontiguousarray(rows_of.T)
         klass = m.class_of[y]
         self.wanted += np.bincount(klass, minlength=len(self.wanted))
-        d_class[np.arange(len(y)), klass] -= 1
+        d_class = _softmax(m.class_scores(x))
+        d_class[klass, np.arange(len(y))] -= 1
         d_class *= scale
         d_to_word, d_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
-        by, classes = m.by_class(y)
-        xs, ys, ds = x[by], y[by], np.zeros_like(x)
+        dx = m.to_class @ d_class
         for words, rows in classes:
             if words.stop - words.start == 1:
                 continue  # its only word is sure
-            d = _softmax(xs[rows] @ m.to_word[words].T + m.word_bias[words])
-            d[np.arange(len(d)), ys[rows] - words.start] -= 1
+            d = _softmax(m.word_scores(words, x[:, rows]))
+            d[y[rows] - words.start, np.arange(d.shape[1])] -= 1
             d *= scale
-            d_to_word[words] = d.T @ xs[rows]
-            d_word_bias[words] = d.sum(axis=0)
-            ds[rows] = d @ m.to_word[words]
-        dx = d_class @ m.to_class.T
-        dx[by] += ds
+            d_to_word[words] = d @ rows_of[rows]
+            d_word_bias[words] = d.sum(axis=1)
+            dx[:, rows] += m.to_word[words].T @ d
         d_states = np.zeros_like(flat)
-        d_states[real] = dx
+        d_states[real] = dx.T
         d_states = d_states.reshape(T, B, HIDDEN)
-        d_gates = np.empty((T, B, 3 * HIDDEN), F32)
-        d_state = np.zeros_like(m.state)
+        d_gates, d_sums = np.empty((T, B, 3 * HIDDEN), F32), np.empty((T, B, 3 * HIDDEN), F32)
         dh = np.zeros((B, HIDDEN), F32)
         for t in range(T - 1, -1, -1):
             z, r, n, s = seen[t]
-            dh = dh + d_states[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (past[t] - n) * z * (1 - z)
-            dr = dn * s * r * (1 - r)
-            d_gates[t, :, :HIDDEN], d_gates[t, :, HIDDEN : 2 * HIDDEN], d_gates[t, :, 2 * HIDDEN :] = dz, dr, dn
-            back = np.concatenate([dz, dr, dn * r], axis=1)
-            d_state += past[t].T @ back
-            dh = (dh * z + back @ m.state.T) * keep[t]
+            dh += d_states[t]
+            dz, dr, dn = (d_gates[t, :, i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
+            rest = 1 - z
+            np.multiply(dh, rest, out=dn)
+            dn *= 1 - n * n
+            np.multiply(dh, past[t] - n, out=dz)
+            dz *= z * rest
+            np.multiply(dn, s, out=dr)
+            dr *= r * (1 - r)
+            back = d_sums[t]
+            back[:, : 2 * HIDDEN] = d_gates[t, :, : 2 * HIDDEN]
+            np.multiply(dn, r, out=back[:, 2 * HIDDEN :])
+            dh *= z
+            dh += back @ m.state.T
+            dh *= keep[t]
+        d_state = np.concatenate(past).T @ d_sums.reshape(-1, 3 * HIDDEN)
         used = inputs.ravel()
         order = _order(used)
         word, begin, times = np.unique(used[order], return_index=True, return_counts=True)
         self.read[word] += times
         d_inputs = Rows(word, np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0), len(m.inputs))
-        self._update([d_inputs, d_state, x.T @ d_class, d_class.sum(axis=0), d_to_word, d_word_bias])
+        self._update([d_inputs, d_state, x @ d_class.T, d_class.sum(axis=1), d_to_word, d_word_bias])
         return h
 
     def _update(self, gradients: list[np.ndarray | Rows]) -> None:
