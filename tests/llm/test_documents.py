@@ -418,6 +418,7 @@ def test_the_vocabulary_grows_with_the_corpus(spark, monkeypatch):
     assert model.class_of[-1] <= math.sqrt(model.other) + 1 and np.diff(model.ends).min() > 0
     assert np.isclose(np.exp(model.log_probability(np.zeros((1802, gru.HIDDEN), np.float32), np.arange(1802))).sum(), 1, rtol=1e-4)
     assert lm.least_count(4_000_000) == 40 and lm.least_count(0) == 1
+    assert lm.most_listed(0) == 4096 and lm.most_listed(130_000_000) == 8105 and lm.most_listed(27 * 10**12) == 480_000
 
 
 def test_a_hot_anchor_is_split(spark, monkeypatch):

@@ -2,10 +2,11 @@
 
 All training texts are counted and learned. Each task trains a copy of the model on its own
 texts, the copies are averaged in Spark, each entry by the tokens it has learned from, and the
-average goes on with the other half of the texts. The model lists every word whose count
-reaches a least one that grows with the root of the corpus, so its size grows with that root
-too: words of at least sqrt(tokens) / LISTED are at most LISTED * sqrt(tokens). Counts of the words the model does not list, and of words too rare to
-ship with the task, are joined by word.
+average goes on with the other half of the texts. The model lists the most frequent words, as
+many as grow with the cube root of the corpus: about 8,000 of 130 million tokens, half a million
+of 100 TB, so the model travels with every task and its copies stay few parts of the texts they
+learn from. Counts of the words the model does not list, and of words too rare to ship with the
+task, are joined by word: what is counted grows with the corpus itself.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from veta.llm.text import store, text_or_empty
 
 SHIPPED = 50_000  # most frequent words whose counts travel with the task; the rest is joined
 LISTED = 50  # words are listed from a count of sqrt(training tokens) / LISTED up
+FEWEST, PER_ROOT = 4096, 16  # of these at most PER_ROOT * cbrt(training tokens), or FEWEST if that is more
 BLOCK = 8192  # weights averaged together
 HELD_TOKENS = 400_000  # tokens a training task gathers before it learns them
 SCORED_TOKENS = 4_000_000  # tokens scored side by side
@@ -65,6 +67,11 @@ def least_count(tokens: int) -> int:
     return max(1, math.ceil(math.sqrt(tokens) / LISTED))
 
 
+def most_listed(tokens: int) -> int:
+    """How many words are listed at most, the most frequent ones."""
+    return max(FEWEST, round(PER_ROOT * math.cbrt(tokens)))
+
+
 def _averaged(rows: DataFrame, start: np.ndarray) -> np.ndarray:
     """Mean of the copies' weights by what each has learned from, block by block; start where none has."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +139,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = (sums["n"] or 0) + n_train, sums["v"] + (n_train > 0)
     least = least_count(total)
-    n_listed = counts.filter(F.col("c") >= least).count()
-    often = counts.orderBy(F.desc("c"), "word").limit(max(SHIPPED, n_listed)).collect()  # at most LISTED * sqrt(total) are listed
+    n_listed = min(counts.filter(F.col("c") >= least).count(), most_listed(total))
+    often = counts.orderBy(F.desc("c"), "word").limit(max(SHIPPED, n_listed)).collect()
     known = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in often}
 
     listed = list(known.items())[:n_listed]
