@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veta.operators import assoc, design, schema, split, transforms
+from veta.operators import assoc, design, schema, sparse, split, transforms
 from veta.operators.design import ModelSpec
 
 from . import fixtures as fx
@@ -205,6 +205,60 @@ def design_matrix(spark, d):
     return design.design_matrix(fx.line_model(spark, d), spec, keep=["key"])
 
 
+# --- wide categories: parts as text, more levels than a dense design takes ------------------
+
+WIDE_CTES = """
+WITH places AS (SELECT CAST(l_partkey AS VARCHAR) AS level, dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 AS place
+  FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)),
+width AS (SELECT greatest(count(*) - 1, 0) AS w FROM places),
+line AS (SELECT l_orderkey, l_linenumber, row_number() OVER () AS row_id, l_quantity AS qty, l_discount AS disc, l_tax AS tax, coalesce(place, 0) AS place, w
+  FROM lineitem CROSS JOIN width LEFT JOIN places ON CAST(l_partkey AS VARCHAR) = level),
+entries AS (SELECT *, 1 AS position, qty AS value FROM line UNION ALL SELECT *, 1 + place, 1.0 FROM line WHERE place > 0
+  UNION ALL SELECT *, 1 + w + place, qty FROM line WHERE place > 0)"""
+
+
+def _wide(spark, d):
+    rows = fx.table(spark, d, "lineitem")
+    spec = ModelSpec.of(["qty"], ["part"], [("qty", "part")])
+    return rows.withColumns({"qty": F.col("l_quantity"), "part": F.col("l_partkey").cast("string"), "disc": F.col("l_discount"), "tax": F.col("l_tax")}), spec
+
+
+@query("design_matrix_wide", WIDE_CTES + " SELECT l_orderkey, l_linenumber, CAST(position AS BIGINT) AS position, value FROM entries")
+def design_matrix_wide(spark, d):
+    """Every non-zero design column of every row."""
+    df, spec = _wide(spark, d)
+    rows = sparse.sparse_design(df, spec, ["l_orderkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", F.explode(F.arrays_zip("positions", "values")).alias("e")).select(
+        "l_orderkey", "l_linenumber", F.col("e.positions").alias("position"), F.col("e.values").alias("value"))
+
+
+@query("moment_matrix_wide", WIDE_CTES + f""",
+whole AS (SELECT row_id, position, value FROM entries WHERE qty IS NOT NULL AND disc IS NOT NULL
+  UNION ALL SELECT row_id, 0, 1.0 FROM line WHERE qty IS NOT NULL AND disc IS NOT NULL
+  UNION ALL SELECT row_id, 2 * w + 2, disc FROM line WHERE qty IS NOT NULL AND disc IS NOT NULL)
+SELECT CAST(a.position AS BIGINT) AS i, CAST(b.position AS BIGINT) AS j, {R('sum(a.value * b.value)', 4)} AS value
+FROM whole a JOIN whole b ON a.row_id = b.row_id AND a.position <= b.position GROUP BY ALL""")
+def moment_matrix_wide(spark, d):
+    df, spec = _wide(spark, d)
+    return rounded(sparse.SparseDesign.fit(df, spec).cross_products(df, "disc"), 4)
+
+
+@query("ols_wide_category", WIDE_CTES + f""",
+whole AS (SELECT place, disc AS x, tax AS z, qty AS y FROM line WHERE disc IS NOT NULL AND tax IS NOT NULL AND qty IS NOT NULL),
+means AS (SELECT place, avg(x) AS x, avg(z) AS z, avg(y) AS y FROM whole GROUP BY place),
+within AS (SELECT w.x - m.x AS x, w.z - m.z AS z, w.y - m.y AS y FROM whole w JOIN means m USING (place)),
+s AS (SELECT sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy FROM within),
+b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM s),
+effects AS (SELECT place, y - bx * x - bz * z AS effect FROM means, b),
+base AS (SELECT place, effect FROM effects ORDER BY place LIMIT 1)
+SELECT 'const' AS term, NULL AS level, {R('effect')} AS estimate FROM base
+UNION ALL SELECT 'disc', NULL, {R('bx')} FROM b UNION ALL SELECT 'tax', NULL, {R('bz')} FROM b
+UNION ALL SELECT 'part', level, {R('e.effect - base.effect')} FROM effects e JOIN base ON e.place > base.place JOIN places p ON p.place = e.place""")
+def ols_wide_category(spark, d):
+    df, _ = _wide(spark, d)
+    return rounded(sparse.ols_wide(df, ModelSpec.of(["disc", "tax"]), "part", "qty"))
+
+
 @query("align_design_columns", sql("doc_model", """
 SELECT doc_id, letters, """ + ", ".join(
     f"(source = '{v}')::INT::DOUBLE AS \"source_{v}\"" for v in ("b", "c")) + """ FROM

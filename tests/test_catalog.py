@@ -23,6 +23,7 @@ FEW = [
     "stratified_kfold_big_key", "stratified_kfold_text_key", "one_hot", "cv_logit_auc", "duplicate_rows_all_columns",
     "parquet_roundtrip_rows", "accuracy_by_split", "ols_coefficients", "select_stepwise_bic_ols",
     "repeated_cv_ols", "logit_fit", "optimal_cutoff", "roc_curve", "density_by_group",
+    "design_matrix_wide", "moment_matrix_wide", "ols_wide_category",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("VETA_ALL_QUERIES") else FEW
 
