@@ -498,3 +498,12 @@ def test_one_of_each_group_on_hard_rows(data, docs, none):
     rows = {key(r) for r in data}
     assert all(key(tuple(r)) in rows for r in kept)
     assert sorted(key((r["doc_id"],)) for r in kept) == sorted(key((g[0]["component_id"],)) for g in found.values())
+
+
+def test_hot_anchors_stay_where_they_are(data, docs, monkeypatch):
+    """With all keys shuffled, and with all keys taken for hot, the same bytes go."""
+    got = []
+    for share in (1, 1 << 40):
+        monkeypatch.setattr(windows, "HOT", share)
+        got.append(sorted(map(tuple, suffix_dedup.duplicate_bytes(docs, length=20, gram=8).collect()), key=key))
+    assert got[0] == got[1] and any(r[2] for r in got[0])

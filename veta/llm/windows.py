@@ -27,6 +27,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NO_ID = -(1 << 63)
+HOT = 1024  # a key is hot with more than 1 / HOT of all rows: fewer than HOT keys can be
 SPANS = "gram bigint, digest bigint, d bigint, t bigint, lo bigint, hi bigint"
 Tokens = Callable[[str], np.ndarray]
 
@@ -138,15 +139,26 @@ def repeated(keyed_docs: DataFrame, tokens: Tokens, length: int, gram: int) -> F
                     )
 
     every = store(keyed_docs.select("_d", "_t", "_text").mapInArrow(lambda b: merged(scan(b)), SPANS))
-    twice = every.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
-    kept = store(every.join(twice, "gram", "left_semi"))
+    twice = store(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    kept = store(_among(every, twice, ["gram"]))
     distinct = store(kept.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "hi")).alias("one")))
-    whole = kept.join(distinct.filter("n > 1").select("gram", "digest"), ["gram", "digest"], "left_semi").select("d", "t", "lo", "hi")
-    open_ = distinct.groupBy("gram").agg(F.min("n").alias("_m")).filter("_m = 1").select("gram")
-    edges = distinct.join(open_, "gram", "left_semi").select("gram", "one.d", "one.t", "one.lo", "one.hi", "n")
+    whole = _among(kept, distinct.filter("n > 1").select("gram", "digest", "n"), ["gram", "digest"]).select("d", "t", "lo", "hi")
+    open_ = distinct.groupBy("gram").agg(F.min("n").alias("_m"), F.count("*").alias("n")).filter("_m = 1")
+    edges = _among(distinct, open_, ["gram"]).select("gram", "one.d", "one.t", "one.lo", "one.hi", "n")
     return Found(whole, store(edges))
 
 
+def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The stored rows whose key is in keys, which tells with n how many rows each has.
+
+    Rows of a hot key are not shuffled: fewer than HOT keys can be hot, so these are broadcast.
+    """
+    most = rows.count() // HOT
+    hot = F.broadcast(keys.filter(F.col("n") > most).select(*on))
+    cold = keys.filter(F.col("n") <= most).select(*on)
+    return rows.join(hot, on, "left_semi").union(rows.join(hot, on, "left_anti").join(cold, on, "left_semi"))
+
+
 def merged(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Fewer, larger batches."""
     held, n = [], 0
