@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -365,6 +366,37 @@ def test_lm_counts_and_base_score(data, docs, none, monkeypatch):
     assert lm.scores(none).count() == 0
 
 
+def test_lm_words_are_cut_counted_and_numbered_in_columns(spark, monkeypatch):
+    """Whatever stretch of texts is cut at a time, the words are those of a plain split; no loop runs over words."""
+    texts = [" a B\x0b\x0cb ", "", "É x\x1cy\x85z\n", " \t", "one", "É\u2003a\r\nQ" * 40, "q"]
+    want = [t.encode().lower().decode().encode().split() for t in texts]
+    for size in (1, 60, 10**6):
+        monkeypatch.setattr(lm, "CUT_BYTES", size)
+        got = [x for some, words_, lengths in lm._cut(pa.array(["-", *texts])[1:]) for x in zip(some.to_pylist(), lm._closed(np.array(words_.to_pylist(), object), lengths, None), strict=True)]
+        assert [t for t, _ in got] == texts
+        assert [[w.encode() for w in ws[:-1]] for _, ws in got] == want and all(ws[-1] is None for _, ws in got)
+    assert not [x for x in lm._cut(pa.array([], pa.string())) if len(x[0])]
+    assert lm._numbered(pa.array(["b", "é", "a", "b"]), pa.array(["a", "b"])).tolist() == [1, -1, 0, 1]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert {r["word"].encode(): r["c"] for r in lm._counted(frame).collect()} == Counter(w for ws in want for w in ws)
+
+
+def test_gru_scores_need_no_maximum_while_weights_are_small():
+    """Softmaxes with and without their maximum taken off agree; weights out of bounds take it off."""
+    rng = np.random.default_rng(1)
+    model = gru.Model.start(rng.integers(1, 10**6, gru.WORDS).astype(float), 30.0)
+    model = model.like(model.flat() + rng.standard_normal(model.flat().size))
+    h, goals = np.tanh(rng.standard_normal((5000, gru.HIDDEN))).astype(np.float32), rng.integers(0, gru.OTHER + 1, 5000)
+    heads = model.heads()
+    assert heads.narrow
+    plain = model.log_probability(h, goals)
+    assert np.allclose(plain, model.log_probability(h, goals, gru.Heads(heads.classes, heads.words, False)), atol=1e-4)
+    scores = (h @ model.to_class + model.class_bias).astype(float)
+    assert np.allclose(model.log_probability(h, np.full(5000, gru.OTHER)), scores[:, -1] - np.log(np.exp(scores).sum(axis=1)), atol=1e-4)
+    model.to_word *= 100
+    assert not model.heads().narrow and np.isfinite(model.log_probability(h, goals)).all()
+
+
 def test_gru_gradients_and_carried_state():
     rng = np.random.default_rng(0)
     model = gru.Model.start(rng.integers(1, 50, gru.WORDS).astype(float), 30.0)

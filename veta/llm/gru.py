@@ -9,6 +9,7 @@ P(word | class, state).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,29 +17,43 @@ import numpy as np
 HIDDEN = 16
 WORDS = 1024  # places of the smallest model; a larger corpus has more, see Model.other
 OTHER = WORDS  # the number of every word not listed, in the smallest model
-SCORED_ROWS = 32_768  # states whose softmax is held at a time
+SCORED_ROWS = 32_768  # states sorted by class at a time
+COLUMNS = 2048  # states whose scores of all classes are held at a time, so that they stay in the cache
+NARROW = 60  # scores within this of their bias need no maximum taken off: float32 holds their exponentials and sums
 LANES, WINDOW = 512, 16
 RATE = 0.015
 F32 = np.float32
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(1) / (F32(1) + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> None:
+    """In x itself."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += F32(1)
+    np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of every column, so that sums run along whole rows; works in x itself, which no caller keeps."""
-    x -= x.max(axis=0)
+def _exp(x: np.ndarray, narrow: bool) -> np.ndarray:
+    """Exponentials of every column in x itself, by its maximum unless the scores are narrow; gives the columns' sums."""
+    if not narrow:
+        x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=0)
+    return x.sum(axis=0)
+
+
+def _softmax_less(x: np.ndarray, goal: np.ndarray, scale: np.floating, narrow: bool) -> np.ndarray:
+    """(Softmax of every column, less 1 at its `goal`) * scale; works in x itself, which no caller keeps."""
+    x *= scale / _exp(x, narrow)
+    x[goal, np.arange(x.shape[1])] -= scale
     return x
 
 
-def _log_softmax_at(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+def _log_softmax_at(x: np.ndarray, goal: np.ndarray, narrow: bool) -> np.ndarray:
     """The entry `goal` of every column's log softmax; works in x itself."""
-    x -= x.max(axis=0)
+    if not narrow:
+        x -= x.max(axis=0)
     wanted = x[goal, np.arange(x.shape[1])]
-    return wanted - np.log(np.exp(x, out=x).sum(axis=0))
+    return wanted - np.log(_exp(x, True))
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
@@ -72,6 +87,15 @@ class Rows:
         return np.asarray(self).ravel()
 
 
+@dataclass
+class Heads:
+    """The two softmaxes with the biases as last column, each less the greatest of its softmax."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    narrow: bool  # a state's entries lie within 1, so no score leaves its bias by more than NARROW
+
+
 @dataclass
 class Model:
     """inputs: a row of gate inputs per word; state: hidden to gates; then the two softmaxes."""
@@ -119,13 +143,26 @@ class Model:
             at += p.size
         return Model(*out, self.ends)
 
+    def heads(self) -> Heads:
+        tops = np.repeat(np.maximum.reduceat(self.word_bias, self.ends[:-1]), np.diff(self.ends))
+        classes = np.column_stack([self.to_class.T, self.class_bias - self.class_bias.max()])
+        words = np.column_stack([self.to_word, self.word_bias - tops])
+        reach = max((np.abs(w) @ np.ones(HIDDEN, F32)).max() for w in (self.to_class.T, self.to_word))
+        return Heads(classes, words, bool(reach <= NARROW))
+
     def step(self, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """New state and what the way back needs."""
-        g, s = self.inputs[word], h @ self.state
-        gates = _sigmoid(g[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, s[:, 2 * HIDDEN :]
+        """New state and what the way back needs; a column per state, so that gates are whole rows."""
+        g, s = np.ascontiguousarray(self.inputs[word].T), self.state.T @ h
+        gates, n = g[: 2 * HIDDEN], g[2 * HIDDEN :]
+        gates += s[: 2 * HIDDEN]
+        _sigmoid(gates)
+        z, r = gates[:HIDDEN], gates[HIDDEN:]
+        n += r * s[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n, s[2 * HIDDEN :]
 
     def by_class(self, targets: np.ndarray):
         """Order of the targets by class, and (words, rows in that order) of the listed classes met."""
@@ -138,37 +175,29 @@ class Model:
             for c, a, b in zip(met.tolist(), first.tolist(), last.tolist(), strict=True) if c < len(self.ends) - 1
         ]
 
-    def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def log_probability(self, h: np.ndarray, targets: np.ndarray, heads: Heads | None = None) -> np.ndarray:
         """Natural logarithm; of an unlisted word only that it is one."""
-        out = np.empty(len(targets))
+        heads, out = heads or self.heads(), np.empty(len(targets))
         for at in range(0, len(targets), SCORED_ROWS):
             part = slice(at, at + SCORED_ROWS)
-            out[part] = self._log_probability(h[part], targets[part])
+            out[part] = self._log_probability(h[part], targets[part], heads)
         return out
 
-    def _log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def _log_probability(self, h: np.ndarray, targets: np.ndarray, heads: Heads) -> np.ndarray:
         order, classes = self.by_class(targets)
-        x, y = np.ascontiguousarray(h[order].T), targets[order]
-        found = _log_softmax_at(self.class_scores(x), self.class_of[y]).astype(float)
+        x, y = np.ones((HIDDEN + 1, len(order)), F32), targets[order]
+        x[:HIDDEN] = h[order].T  # the 1 below takes up the bias
+        klass, found = self.class_of[y], np.empty(len(y))
+        for at in range(0, len(y), COLUMNS):
+            part = slice(at, at + COLUMNS)
+            found[part] = _log_softmax_at(heads.classes @ x[:, part], klass[part], heads.narrow)
         for words, rows in classes:
             if words.stop - words.start > 1:
-                found[rows] += _log_softmax_at(self.word_scores(words, x[:, rows]), y[rows] - words.start)
+                found[rows] += _log_softmax_at(heads.words[words] @ x[:, rows], y[rows] - words.start, heads.narrow)
         out = np.empty(len(targets))
         out[order] = found
         return out
 
-    def class_scores(self, x: np.ndarray) -> np.ndarray:
-        """A row per class, a column per state."""
-        out = self.to_class.T @ x
-        out += self.class_bias[:, None]
-        return out
-
-    def word_scores(self, words: slice, x: np.ndarray) -> np.ndarray:
-        """A row per word of one class, a column per state."""
-        out = self.to_word[words] @ x
-        out += self.word_bias[words, None]
-        return out
-
 
 class Trainer:
     """Truncated backpropagation through time with Adam; the state runs on across windows."""
@@ -181,6 +210,14 @@ class Trainer:
         # how often each word was read and each class was wanted: what a copy's rows weigh in an average
         self.read = np.zeros(model.other + 1, np.int64)
         self.wanted = np.zeros(len(model.ends), np.int64)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Room that the next window uses again; fresh pages would cost as much as the work on them."""
+        size = math.prod(shape)
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, F32)
+        return self.rooms[name][:size].reshape(shape)
 
     def weights(self) -> np.ndarray:
         """For every entry of model.flat() the number of tokens it has learned from."""
@@ -204,87 +241,108 @@ class Trainer:
             h = self.window(inputs[t : t + WINDOW], targets[t : t + WINDOW], h, end)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int) -> np.ndarray:
-        m = self.model
+        m, h = self.model, np.ascontiguousarray(h.T)
         T, B = inputs.shape
         inputs = np.maximum(inputs, 0)
-        keep = (inputs != end).astype(F32)[:, :, None]  # a text starts from an empty state
-        past, seen, states = [], [], np.empty((T, B, HIDDEN), F32)
+        keep = (inputs != end).astype(F32)  # a text starts from an empty state
+        past, seen, states = [], [], self._room("states", T, B, HIDDEN)
         for t in range(T):
             h = h * keep[t]
             past.append(h)
             h, *rest = m.step(inputs[t], h)
             seen.append(rest)
-            states[t] = h
+            states[t] = h.T
         flat, goal = states.reshape(-1, HIDDEN), targets.ravel()
         real = np.flatnonzero(goal >= 0)
         if not len(real):
-            return h
+            return h.T
         scale = F32(1 / len(real))
         by, classes = m.by_class(goal[real])
-        real = real[by]  # targets in the order of their classes, states as columns
-        y, rows_of = goal[real], flat[real]
-        x = np.ascontiguousarray(rows_of.T)
+        real = real[by]  # targets in the order of their classes, states as rows and as columns
+        y, heads = goal[real], m.heads()
+        rows_of, x = self._room("rows", len(y), HIDDEN + 1), self._room("columns", HIDDEN + 1, len(y))
+        rows_of[:, :HIDDEN], rows_of[:, HIDDEN] = flat[real], 1  # the 1 takes up the bias
+        x[:] = rows_of.T
         klass = m.class_of[y]
         self.wanted += np.bincount(klass, minlength=len(self.wanted))
-        d_class = _softmax(m.class_scores(x))
-        d_class[klass, np.arange(len(y))] -= 1
-        d_class *= scale
-        d_to_word, d_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
-        dx = m.to_class @ d_class
+        d_classes, d_words, dx = np.zeros_like(heads.classes), np.zeros_like(heads.words), self._room("dx", HIDDEN, len(y))
+        for at in range(0, len(y), COLUMNS):
+            part = slice(at, at + COLUMNS)
+            d = _softmax_less(heads.classes @ x[:, part], klass[part], scale, heads.narrow)
+            d_classes += d @ rows_of[part]
+            dx[:, part] = m.to_class @ d
         for words, rows in classes:
             if words.stop - words.start == 1:
                 continue  # its only word is sure
-            d = _softmax(m.word_scores(words, x[:, rows]))
-            d[y[rows] - words.start, np.arange(d.shape[1])] -= 1
-            d *= scale
-            d_to_word[words] = d @ rows_of[rows]
-            d_word_bias[words] = d.sum(axis=1)
+            d = _softmax_less(heads.words[words] @ x[:, rows], y[rows] - words.start, scale, heads.narrow)
+            d_words[words] = d @ rows_of[rows]
             dx[:, rows] += m.to_word[words].T @ d
-        d_states = np.zeros_like(flat)
+        d_states = flat  # the states themselves are not read again
+        d_states[:] = 0
         d_states[real] = dx.T
         d_states = d_states.reshape(T, B, HIDDEN)
-        d_gates, d_sums = np.empty((T, B, 3 * HIDDEN), F32), np.empty((T, B, 3 * HIDDEN), F32)
-        dh = np.zeros((B, HIDDEN), F32)
+        d_gates, d_rows = self._room("gates", 3 * HIDDEN, B), self._room("inputs", T, B, 3 * HIDDEN)
+        back, d_state = self._room("back", 3 * HIDDEN, B), np.zeros_like(m.state)
+        dh = np.zeros((HIDDEN, B), F32)
         for t in range(T - 1, -1, -1):
             z, r, n, s = seen[t]
-            dh += d_states[t]
-            dz, dr, dn = (d_gates[t, :, i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
+            dh += d_states[t].T
+            dz, dr, dn = (d_gates[i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
             rest = 1 - z
             np.multiply(dh, rest, out=dn)
-            dn *= 1 - n * n
-            np.multiply(dh, past[t] - n, out=dz)
-            dz *= z * rest
+            rest *= z
+            np.subtract(past[t], n, out=dz)
+            dz *= dh
+            dz *= rest
+            n *= n  # not read again
+            np.subtract(1, n, out=n)
+            dn *= n
             np.multiply(dn, s, out=dr)
-            dr *= r * (1 - r)
-            back = d_sums[t]
-            back[:, : 2 * HIDDEN] = d_gates[t, :, : 2 * HIDDEN]
-            np.multiply(dn, r, out=back[:, 2 * HIDDEN :])
+            np.multiply(dn, r, out=back[2 * HIDDEN :])
+            dr *= r
+            np.subtract(1, r, out=r)
+            dr *= r
+            back[: 2 * HIDDEN] = d_gates[: 2 * HIDDEN]
+            d_rows[t] = d_gates.T
+            d_state += past[t] @ back.T
             dh *= z
-            dh += back @ m.state.T
+            dh += m.state @ back
             dh *= keep[t]
-        d_state = np.concatenate(past).T @ d_sums.reshape(-1, 3 * HIDDEN)
         used = inputs.ravel()
         order = _order(used)
         word, begin, times = np.unique(used[order], return_index=True, return_counts=True)
         self.read[word] += times
-        d_inputs = Rows(word, np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0), len(m.inputs))
-        self._update([d_inputs, d_state, x @ d_class.T, d_class.sum(axis=1), d_to_word, d_word_bias])
-        return h
+        d_rows = np.take(d_rows.reshape(-1, 3 * HIDDEN), order, axis=0, out=self._room("sorted", len(used), 3 * HIDDEN), mode="clip")
+        d_inputs = Rows(word, np.add.reduceat(d_rows, begin, axis=0), len(m.inputs))
+        self._update([
+            d_inputs, d_state, np.ascontiguousarray(d_classes[:, :HIDDEN].T), np.ascontiguousarray(d_classes[:, HIDDEN]),
+            np.ascontiguousarray(d_words[:, :HIDDEN]), np.ascontiguousarray(d_words[:, HIDDEN]),
+        ])
+        return h.T
 
     def _update(self, gradients: list[np.ndarray | Rows]) -> None:
         """Adam; of a gradient in rows only those rows move, so a step does not cost the whole table."""
         self.updates += 1
         values = [g.values if isinstance(g, Rows) else g for g in gradients]
-        norm = float(np.sqrt(sum(float((v * v).sum()) for v in values)))
+        norm = float(np.sqrt(sum(float(np.vdot(v, v)) for v in values)))
         shrink = F32(min(1.0, 1.0 / max(norm, 1e-12)))
         rate = F32(RATE * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
         for p, g, v, a, b in zip(self.model.parts(), gradients, values, self.first, self.second, strict=True):
-            v = v * shrink
             at = g.at if isinstance(g, Rows) else slice(None)
             one, two = a[at], b[at]
-            one += F32(0.1) * (v - one)
-            two += F32(0.001) * (v * v - two)
-            p[at] -= rate * one / (np.sqrt(two) + F32(1e-8))
+            v = np.multiply(v, shrink, out=self._room("step", *v.shape))
+            square = np.multiply(v, v, out=self._room("square", *v.shape))
+            square *= F32(0.001)
+            two *= F32(0.999)
+            two += square
+            v *= F32(0.1)
+            one *= F32(0.9)
+            one += v
+            move = np.sqrt(two, out=square)
+            move += F32(1e-8)
+            np.divide(one, move, out=move)
+            move *= rate
+            p[at] -= move
             if isinstance(g, Rows):
                 a[at], b[at] = one, two
 
@@ -297,22 +355,22 @@ def score(model: Model, texts: list[np.ndarray], end: int, window: int = 32) ->
     words = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, int)
     starts = np.cumsum(falling) - falling
     total = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), F32)
+    h, heads = np.zeros((HIDDEN, len(texts)), F32), model.heads()
     last = np.full(len(texts), end)
     for t0 in range(0, int(falling[0]) if len(texts) else 0, window):
         active = int(np.searchsorted(-falling, -t0, side="left"))  # texts longer than t0
-        h, last = h[:active], last[:active]
+        h, last = np.ascontiguousarray(h[:, :active]), last[:active]
         steps = min(window, int(falling[0]) - t0)
         at = t0 + np.arange(steps)[:, None]
         inside = at < falling[:active]
         grid = words[np.minimum(starts[:active] + at, len(words) - 1)]
-        states = np.empty((steps, active, HIDDEN), F32)
+        states = np.empty((steps, HIDDEN, active), F32)
         for t in range(steps):
             h = model.step(last, h)[0]
             states[t] = h
             last = grid[t]
         row = np.broadcast_to(np.arange(active), inside.shape)[inside]
-        total[:active] += np.bincount(row, model.log_probability(states[inside], grid[inside]), minlength=active)
+        total[:active] += np.bincount(row, model.log_probability(states.transpose(0, 2, 1)[inside], grid[inside], heads), minlength=active)
     out = np.zeros(len(texts))
     out[order] = total
     return out

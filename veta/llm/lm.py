@@ -12,11 +12,11 @@ task, are joined by word: what is counted grows with the corpus itself.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ BLOCK = 8192  # weights averaged together
 HELD_TOKENS = 400_000  # tokens a training task gathers before it learns them
 SCORED_TOKENS = 4_000_000  # tokens scored side by side
 COUNTED_WORDS = 300_000  # distinct words a task counts before it hands the counts on
+CUT_BYTES = 8_000_000  # texts cut into words at a time
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -38,26 +39,47 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def _tokens(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) words between the six ASCII blanks."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _cut(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Some of the texts, all their lower-cased (A-Z) words between the six ASCII blanks, and how many each text has."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    starts = [0, *(np.flatnonzero(np.diff(ends // CUT_BYTES)) + 1).tolist()][: len(texts)]
+    for a, b in zip(starts, [*starts[1:], len(texts)][: len(starts)], strict=True):
+        some = pc.ascii_trim_whitespace(pc.ascii_lower(texts[a:b]))
+        lists = pc.ascii_split_whitespace(some)
+        empty = pc.equal(some, "").to_numpy(zero_copy_only=False)  # cut into one empty piece
+        words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield texts[a:b], words.filter(pc.not_equal(words, "")) if empty.any() else words, np.where(empty, 0, lengths)
+
+
+def _numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known, -1 for others."""
+    return pc.index_in(words, value_set=known.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _closed(numbers: np.ndarray, lengths: np.ndarray, end: int) -> list[np.ndarray]:
+    """Texts of these lengths one by one, each closed by `end`."""
+    last = np.cumsum(lengths)
+    return np.split(np.insert(numbers, last, end), (last + np.arange(1, len(last) + 1))[:-1])
 
 
 def _counted(texts: DataFrame) -> DataFrame:
     """word, c: how often each word occurs; tasks count first, Spark adds."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            found = [w.decode("utf-8", "surrogatepass") for w in into]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(into.values(), pa.int64())], ["word", "c"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            yield from found.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
-        into: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                into.update(_tokens(text.as_py()))
-                if len(into) > COUNTED_WORDS:
-                    yield flush()
-                    into.clear()
-        yield flush()
+            for _, words, _ in _cut(batch.column(0)):
+                found = pc.value_counts(words)
+                held.append(pa.table({"word": found.field("values").cast(pa.string()), "c": found.field("counts")}))
+                size += len(found)
+                if size > COUNTED_WORDS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     return texts.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -96,19 +118,19 @@ def _averaged(rows: DataFrame, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trained(texts: DataFrame, model: gru.Model, number: dict[bytes, int], end: int) -> gru.Model:
+def _trained(texts: DataFrame, model: gru.Model, listed: pa.Array, end: int) -> gru.Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = gru.Trainer(model.like(model.flat()))
         held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = [number.get(w, model.other) for w in _tokens(text.as_py())]
-                ids.append(end)
-                held.append(np.array(ids))
-                size += len(ids)
-                if size >= HELD_TOKENS:
-                    trainer.text(np.concatenate(held), end)
-                    held, size = [], 0
+            for _, words, lengths in _cut(batch.column(0)):
+                at = _numbered(words, listed)
+                for ids in _closed(np.where(at < 0, model.other, at), lengths, end):
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= HELD_TOKENS:
+                        trainer.text(np.concatenate(held), end)
+                        held, size = [], 0
         if held:
             trainer.text(np.concatenate(held), end)
         n = trainer.weights().astype(np.float32)
@@ -140,15 +162,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     total, kinds = (sums["n"] or 0) + n_train, sums["v"] + (n_train > 0)
     least = least_count(total)
     n_listed = min(counts.filter(F.col("c") >= least).count(), most_listed(total))
-    often = counts.orderBy(F.desc("c"), "word").limit(max(SHIPPED, n_listed)).collect()
-    known = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in often}
+    often = counts.orderBy(F.desc("c"), "word").limit(max(SHIPPED, n_listed)).toArrow()
+    known, times = pa.concat_arrays([pa.array([], pa.string()), *often["word"].cast(pa.string()).chunks]), often["c"].to_numpy()
 
-    listed = list(known.items())[:n_listed]
+    listed = known[:n_listed]  # the most frequent words come first
     frequency = np.zeros(max(gru.WORDS, len(listed) + 1))
-    frequency[: len(listed)] = [c for _, c in listed]
+    frequency[: len(listed)] = times[:n_listed]
     end = len(listed)
     frequency[end] = n_train
-    number = {w: i for i, (w, _) in enumerate(listed)}
     other, other_kinds = total - frequency.sum(), kinds - len(listed) - (n_train > 0)
     log_other = math.log10(other + 0.5 * (other_kinds + 1))
     log_base = math.log10(total + 0.5 * (kinds + 1))
@@ -156,39 +177,44 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     half = F.crc32(F.concat(F.lit("half"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) % 2
     for part in (0, 1):
-        model = _trained(training.filter(half == part).select("text"), model, number, end)
+        model = _trained(training.filter(half == part).select("text"), model, listed, end)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the tokens whose counts are known here, and the words to look up."""
-        def flush(rows: list) -> pa.RecordBatch:
-            logs = gru.score(model, [r[2] for r in rows], end) / math.log(10)
-            fields = [[r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [r[3] for r in rows], [r[4] for r in rows], logs + np.array([r[5] for r in rows]), [r[6] for r in rows]]
-            kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds_, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
-
-        place = {w: i for i, w in enumerate(known)}  # listed words come first
-        log_of = np.log10(np.array([*known.values(), 0]) + 0.5)
+        def flush() -> pa.RecordBatch:
+            logs = gru.score(model, texts, end) / math.log(10)
+            doc, out, lengths, n_known, base, other_logs, rare = zip(*held, strict=True)
+            joined = [np.concatenate(x) for x in (lengths, n_known, base, other_logs)]
+            joined[-1] += logs
+            columns = [*map(pa.concat_arrays, (doc, out)), *map(pa.array, joined), pa.concat_arrays(rare)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
+
+        log_of = np.log10(np.append(times, 0) + 0.5)
         log_end = math.log10(n_train + 0.5)
-        rows, size = [], 0
+        held, texts, size = [], [], 0
         for batch in batches:
-            for doc, out, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                tokens = _tokens(text.as_py())
-                at = np.array([place.get(w, -1) for w in tokens], dtype=int)
-                shipped = at >= 0
-                logs = log_of[at]
-                other_words = (at < 0) | (at >= len(listed))
-                ids = np.append(np.where(other_words, model.other, at), end)
-                rare = [tokens[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(~shipped)]
-                rows.append((
-                    doc.as_py(), out.as_py(), ids, int(shipped.sum()) + (n_train > 0), float(logs[shipped].sum()) + log_end,
-                    float(logs[shipped & other_words].sum()) - int(other_words.sum()) * log_other, rare,
+            done = 0
+            for some, words, lengths in _cut(batch.column(2)):
+                rows, done = slice(done, done + len(some)), done + len(some)
+                at = _numbered(words, known)
+                shipped, other_words = at >= 0, (at < 0) | (at >= len(listed))
+                text = np.repeat(np.arange(len(lengths)), lengths)
+                added = lambda x: np.bincount(text, x, len(lengths))  # noqa: B023, E731
+                n_shipped, n_other = added(shipped).astype(np.int64), added(other_words)
+                logs = np.where(shipped, log_of[at], 0)
+                rare = words.filter(pa.array(~shipped)).cast(pa.string())
+                stops = np.append(0, np.cumsum(lengths - n_shipped)).astype(np.int32)
+                held.append((
+                    batch.column(0)[rows], batch.column(1)[rows], lengths + 1, n_shipped + (n_train > 0), added(logs) + log_end,
+                    added(logs * other_words) - n_other * log_other, pa.ListArray.from_arrays(stops, rare),
                 ))
-                size += len(ids)
+                texts += _closed(np.where(other_words, model.other, at), lengths, end)
+                size += len(words) + len(some)
                 if size >= SCORED_TOKENS:
-                    yield flush(rows)
-                    rows, size = [], 0
-        if rows:
-            yield flush(rows)
+                    yield flush()
+                    held, texts, size = [], [], 0
+        if held:
+            yield flush()
 
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, rare array<string>"
     rated = base.select("doc_id", "held_out", "text").mapInArrow(rate, kind)
